@@ -27,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def mounted(path: str) -> str:
+    """A file: location as a path that the driver and all workers open."""
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        return path
+    if scheme != "file":
+        raise ValueError(f"memory-mapped files need a mounted shared folder in spark.checkpoint.dir, not {path}")
+    return "/" + rest.lstrip("/")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import exact_dedup, simhash
+from tidewheel.llm import exact_dedup, lm, simhash
+from tidewheel.llm.common import bucket_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = bucket_of(F.col("doc_id"), 7) == 2
+    model = lm.fit(docs.where(~held_out))
+    found = lm.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -21,7 +30,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op1_lm_score": op1_lm_score, "op3_exact_dedup": op3_exact_dedup, "op10_simhash": op10_simhash}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
