@@ -86,11 +86,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (a run of other bytes than blanks), and each text's number of words."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (a run of bytes that aren't gaps; by default, blanks), and each text's number of words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(max(0, len(offsets) - 1), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~gaps[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     begins = solid.copy()

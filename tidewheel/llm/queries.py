@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import exact_dedup, lm, simhash
+from tidewheel.llm import exact_dedup, lm, quality, simhash, toxicity
 from tidewheel.llm.common import bucket_of
 
 
@@ -21,6 +21,23 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def _predicted(found: DataFrame, modulus: int, remainder: int, threshold: float) -> DataFrame:
+    held_out = bucket_of(F.col("doc_id"), modulus) == remainder
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    net = quality.fit(docs, labels.where(bucket_of(F.col("doc_id"), 3) != 1), "quality")
+    return _predicted(quality.score(docs, net), 3, 1, 0.5)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    tagger = toxicity.fit(docs, labels.where(bucket_of(F.col("doc_id"), 4) != 2), "toxic")
+    return _predicted(toxicity.score(docs, tagger), 4, 2, 0.3)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -30,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op3_exact_dedup": op3_exact_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
