@@ -82,14 +82,14 @@ def pooled(net: ByteConvNet, data: np.ndarray, offsets: np.ndarray, where: bool
     return mean, top, active, at, count, start, owner, end
 
 
-def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, batch: int = 48, rate: float = 0.01, seed: int = 11) -> ByteConvNet:
+def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, least_steps: int = 400, batch: int = 48, rate: float = 0.01, seed: int = 11) -> ByteConvNet:
     """Adam on the weighted log loss; weights restore the shares of the classes before balanced sampling."""
     rng = np.random.default_rng(seed)
     net = ByteConvNet(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, 2 * FILTERS), 0.0)
     if not len(texts):
         return net
     state = [[np.zeros_like(p, np.float64), np.zeros_like(p, np.float64)] for p in (net.filters, net.shift, net.weights, np.zeros(1))]
-    step = 0
+    step, epochs = 0, max(epochs, -(-least_steps * batch // len(texts)))
     for epoch in range(epochs):
         for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
             step += 1
