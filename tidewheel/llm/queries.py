@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, exact_dedup, lm, quality, simhash, token_counts, toxicity
+from tidewheel.llm import bpe, exact_dedup, lm, packing, quality, simhash, token_counts, toxicity
 from tidewheel.llm.common import bucket_of
 
 
@@ -43,6 +43,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False)
@@ -57,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op5_bpe": op5_bpe, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_packing": op4_packing, "op5_bpe": op5_bpe, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
