@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, exact_dedup, lm, packing, quality, simhash, token_counts, toxicity
+from tidewheel.llm import bpe, embed_dedup, exact_dedup, lm, packing, quality, simhash, token_counts, toxicity
 from tidewheel.llm.common import bucket_of
 
 
@@ -52,6 +52,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -61,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_packing": op4_packing, "op5_bpe": op5_bpe, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_packing": op4_packing, "op5_bpe": op5_bpe, "op6_embeddings": op6_embeddings, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
