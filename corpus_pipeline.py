@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewheel.llm import exact_dedup, simhash
-from tidewheel.llm.common import staged
+from tidewheel.llm import exact_dedup, packing, pii, quality, simhash
+from tidewheel.llm.common import bucket_of, staged
+from tidewheel.llm.queries import PII_KEY
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts (score of 0.5 or more); labels of held-out documents aren't learnt from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(bucket_of(F.col("doc_id"), 3) != 1)
+    return quality.keep_good(docs, quality.fit(docs, labels, "quality"), 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_exact_duplicates(docs)
+    """Of equal texts, the document with the largest id stays."""
+    return exact_dedup.drop_exact_duplicates(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    """Of each component of similar fingerprints, the document with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs, shingle=3, max_bits=3, seed=42)
+
+
+def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data and secrets; the count of characters follows the new text."""
+    return pii.replace_entities(docs, PII_KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
-STAGES = [("exact_dedup", drop_copies), ("simhash", drop_near_copies)]
+STAGES = [("quality", keep_quality), ("exact_dedup", drop_copies), ("simhash", drop_near_copies), ("pii", replace_private), ("packing", pack)]
 
-#: Trained models, byte convolutions and tokenisation are beyond SQL; tests/llm compares the stages with brute force.
+#: A trained network, SimHash, keyed hashes and tokenisation are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
