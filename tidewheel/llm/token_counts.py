@@ -164,8 +164,14 @@ class TextPrefixes:
         k = bisect_right(self.sums, budget) - 1
         if k >= len(self.pieces):
             return len(self.text)
-        piece = self.pieces[k]
-        return self.starts[k] + max((q for q in range(len(piece)) if self.sums[k] + (self._part(piece, q) if q else 0) <= budget), default=0)
+        piece, left = self.pieces[k], budget - self.sums[k]
+        if piece[0] == "'":
+            return self.starts[k] + max(q for q in range(len(piece)) if q == 0 or self._part(piece, q) <= left)
+        table, at, most = self.counter.counts(piece), 0, 0
+        for q, char in enumerate(piece[:-1], 1):
+            at += len(char.encode())
+            most = q if table[at] <= left else most
+        return self.starts[k] + most
 
 
 @lru_cache(maxsize=2)
