@@ -125,7 +125,25 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def sized_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], limit: int = 500_000) -> DataFrame:
+#: Keys (of up to 100 bytes) that are broadcast at most.
+BROADCAST_KEYS = 500_000
+
+
+def sized_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_KEYS) -> DataFrame:
     """Left semi join with a staged key table: it is broadcast if its count is within the limit, else shuffled."""
     few = keys.count() <= limit
     return rows.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), on, "left_semi")
+
+
+def drop_keys(rows: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
+    """rows without those whose keys `decided` (keys, kept) never keeps; of several rows with kept keys, one stays.
+
+    The keys that go are broadcast up to a checked number, so that texts aren't shuffled; beyond it
+    both sides are. Missing keys are equal to one another.
+    """
+    by = staged(decided.groupBy(*keys).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "decided")
+    gone = by.where("not kept").select(*(F.col(k).alias(f"gone{k}") for k in keys))
+    few = gone.count() <= BROADCAST_KEYS
+    condition = [F.col(k).eqNullSafe(F.col(f"gone{k}")) for k in keys]
+    left = rows.join(F.broadcast(gone) if few else gone, condition, "left_anti")
+    return left if by.where("kept").isEmpty() else left.dropDuplicates(keys)

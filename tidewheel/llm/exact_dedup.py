@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import salt, sized_semi_join, staged, texts_of
+from tidewheel.llm.common import drop_keys, salt, sized_semi_join, staged, texts_of
 
 
 def md5_key(text: Column) -> Column:
@@ -49,9 +49,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of repeated rows with one id and text, one stays.
     """
-    kept = staged(exact_duplicates(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept")
-    marked = docs.withColumns({"_id": docs[id_col], "_sha": F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)})
-    left = marked.alias("d").join(kept.alias("k"), F.col("d._id").eqNullSafe(F.col("k._id")) & (F.col("d._sha") == F.col("k._sha")), "left_semi")
-    if not marked.groupBy("_id", "_sha").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["_id", "_sha"])
-    return left.drop("_id", "_sha")
+    decided = exact_duplicates(docs, id_col, text_col, keep).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept")
+    marked = docs.withColumns({"_id": docs[id_col], "_sha": F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))})
+    return drop_keys(marked, decided, ["_id", "_sha"]).drop("_id", "_sha")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import components, salt, slices, staged, text_buffer, texts_of, word_spans
+from tidewheel.llm.common import components, drop_keys, salt, slices, staged, text_buffer, texts_of, word_spans
 
 #: Generator polynomial of the perfect binary Golay code (23, 12, 7).
 GOLAY = 0b110001110101
@@ -219,9 +219,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each component (the one of the smallest id), all columns as they are."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = staged(kept, "kept")
-    left = docs.withColumn("_id", docs[id_col]).alias("d").join(kept.alias("k"), F.col("d._id").eqNullSafe(F.col("k._id")), "left_semi")
-    if not docs.groupBy(docs[id_col]).count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["_id"])
-    return left.drop("_id")
+    found = near_duplicates(docs, id_col, text_col, **options)
+    decided = found.select(F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return drop_keys(docs.withColumn("_id", docs[id_col]), decided, ["_id"]).drop("_id")
