@@ -109,20 +109,20 @@ def components(edges: DataFrame) -> DataFrame:
     vanish, so the edge set shrinks by a constant factor. All state is in staged tables.
     """
     graph = staged(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
-    labels, turn = None, 0
-    while labels is None or not graph.isEmpty():
+    steps, turn = [], 0
+    while not steps or not graph.isEmpty():
         rank = lambda c, t=turn: F.xxhash64(c, F.lit(t))
         both = graph.union(graph.select("dst", "src"))
         least = both.groupBy("src").agg(F.min(F.struct(rank(F.col("dst")).alias("rank"), F.col("dst").alias("node"))).alias("hook"))
         step = staged(least.select(F.col("src").alias("node"), F.when(F.col("hook.rank") < rank(F.col("src")), F.col("hook.node")).otherwise(F.col("src")).alias("parent")), "hooks")
         a, b = step.select(F.col("node").alias("src"), F.col("parent").alias("a")), step.select(F.col("node").alias("dst"), F.col("parent").alias("b"))
         graph = staged(graph.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges")
-        if labels is None:
-            labels = step.withColumnRenamed("parent", "root")
-        else:
-            labels = staged(labels.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("parent", "root").alias("root")), "labels")
+        steps.append(step)
         turn += 1
-    return labels
+    labels = steps[0].withColumnRenamed("parent", "root")
+    for step in steps[1:]:
+        labels = labels.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+    return staged(labels, "labels")
 
 
 #: Keys (of up to 100 bytes) that are broadcast at most.
