@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN of all floating-point columns to NULL."""
-    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType | T.FloatType)}
-    return df.select(*(F.when(~F.isnan(df[c]), df[c]).alias(c) if c in floats else df[c] for c in df.columns))
+    floats = {f.name: f.metadata for f in df.schema.fields if isinstance(f.dataType, T.DoubleType | T.FloatType)}
+    return df.select(*(F.when(~F.isnan(df[c]), df[c]).alias(c, metadata=floats[c]) if c in floats else df[c] for c in df.columns))
 
 
 def is_true(predicate: Column) -> Column:
