@@ -82,4 +82,14 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        sound AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, links.dst FROM reach JOIN links ON reach.other = links.src),
+        degree AS (SELECT src, count(*) AS n FROM links GROUP BY src)
+        SELECT reach.vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, min(other) = reach.vec_id AS kept
+        FROM reach LEFT JOIN degree ON src = reach.vec_id GROUP BY reach.vec_id
+    """,
 }
