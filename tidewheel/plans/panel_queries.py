@@ -26,8 +26,8 @@ def _drought_sql(thresholds, lengths):
 
 @query(_drought_sql((10, 20, 25), (1, 3, 6, 12)))
 def drought_runs(spark, sf_dir):
-    """WIN-2 to WIN-7."""
-    return drought.drought_columns(drought.seasonal_percentile(series(spark, sf_dir), "plant_id", "month", "value"), "plant_id", "month")
+    """WIN-2 to WIN-7: after the series' aggregation one exchange by plant serves all windows."""
+    return drought.drought_columns(drought.seasonal_percentile(series(spark, sf_dir).repartition("plant_id"), "plant_id", "month", "value"), "plant_id", "month")
 
 
 @query(f"""WITH {SERIES} SELECT plant_id, month, value, round((2 * (rank() OVER (PARTITION BY plant_id, month(month) ORDER BY value) - 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions import calendar, kernels, nulls
@@ -35,16 +35,18 @@ def harmonise(sources: Sequence[DataFrame], key: str = "glohydrores_plant_id", b
     """Sources (date, generation_value, generation_unit, ...) in order of priority as one row for each plant and month.
 
     The first source's first row counts; values become mean MW; plants with a negative value, or with
-    zeros in a share of their months, are left out; so are rows that `drop` marks.
+    zeros in a share of their months, are left out; so are rows that `drop` marks. A plant has a few
+    hundred rows, so all three windows share one exchange by plant.
     """
     df = dedup.union_by_priority(sources).where(F.col(key).isNotNull())
     df = df.withColumn("month", calendar.month_of(F.col("date"))).where(F.col("month") < F.lit(before).cast("date"))
     if drop is not None:
         df = df.where(~nulls.is_true(drop))
-    df = dedup.keep_first(df, [key, "month"], ["source_priority", "row_ordinal"])
+    df = dedup.keep_first(df.repartition(key), [key, "month"], ["source_priority", "row_ordinal"])
     df = df.withColumn("observed_generation_mw", kernels.mean_power_mw(F.col("generation_value"), F.col("generation_unit"), F.col("month")))
-    df = dedup.drop_entities_with(df, key, F.col("observed_generation_mw") < 0)
-    return dedup.drop_entities_by_share(df, key, F.col("observed_generation_mw") == 0, zero_share)
+    w, mw = Window.partitionBy(key), F.col("observed_generation_mw")
+    df = df.withColumns({"_bad": F.max(nulls.is_true(mw < 0)).over(w), "_zeros": F.avg(nulls.is_true(mw == 0).cast("int")).over(w)})
+    return df.where(~F.col("_bad") & (F.col("_zeros") < zero_share)).drop("_bad", "_zeros")
 
 
 def with_attributes(df: DataFrame, plants: DataFrame, key: str = "glohydrores_plant_id", ordinal: str | None = None) -> DataFrame:
@@ -75,9 +77,9 @@ def with_country_means(df: DataFrame, grids: Mapping[str, DataFrame], countries:
 
 
 def drought_labels(flow: DataFrame, cells: DataFrame, key: str = "glohydrores_plant_id") -> DataFrame:
-    """Percentiles and drought runs of the flow at each plant's cell: one exchange by plant serves all windows but the seasonal ones."""
+    """Percentiles and drought runs of the flow at each plant's cell: one exchange by plant serves all windows."""
     at = flow.join(cells.select(key, "lat_idx", "lon_idx"), ["lat_idx", "lon_idx"]).select(key, "month", F.col("value").alias("streamflow_data"))
-    return drought.drought_columns(drought.seasonal_percentile(at, key, "month", "streamflow_data"), key, "month")
+    return drought.drought_columns(drought.seasonal_percentile(at.repartition(key), key, "month", "streamflow_data"), key, "month")
 
 
 def train_and_score(training: DataFrame, everywhere: DataFrame, columns: Sequence[str], key: str, label: str, capacity: str, params: Mapping | None = None) -> DataFrame:
