@@ -275,3 +275,16 @@ def test_pipeline_stages(spark):
         else:
             assert list(b.columns) == list(a.columns)
     assert corpus_pipeline.run(spark, sf).count() == now.count()
+
+
+def test_operators_on_odd_documents(spark):
+    """Columns with clashing names stay as they are, row by row."""
+    out = pii.replace_entities(docs(spark), "key")
+    assert out.columns == docs(spark).columns and out.count() == len(rows())
+    assert {r["_key0"] for r in out.collect()} == {3} and {r["kept"] for r in out.collect()} == {"k"}
+    labels = [("a.b", ".c" * 20_000), ("x", "@" * 20_000), ("+1 (" * 5_000, "")]
+    long = spark.createDataFrame([(i, f"{a}@{b}.com " + "password=" + "z" * 30_000) for i, (a, b) in enumerate(labels)], "doc_id long, text string")
+    assert all("zzzz" not in r.text for r in pii.replace_entities(long, "key").collect())
+    data = np.frombuffer(b"w" * 200 + b" " + b"w" * 201, np.uint8)
+    found = toxicity.features(data, np.array([0, 201]), np.array([200, 402]))
+    assert found[0, 0] != found[1, 0] and (found[0, 1:] == found[1, 1:]).all()

@@ -135,15 +135,20 @@ def sized_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], limit: int
     return rows.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), on, "left_semi")
 
 
-def drop_keys(rows: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
-    """rows without those whose keys `decided` (keys, kept) never keeps; of several rows with kept keys, one stays.
+def drop_keys(rows: DataFrame, keyed: dict[str, Column], decided: DataFrame) -> DataFrame:
+    """rows without those whose keys (expressions by name) `decided` (the names, kept) never keeps; of several rows with kept keys, one stays.
 
     The keys that go are broadcast up to a checked number, so that texts aren't shuffled; beyond it
     both sides are. Missing keys are equal to one another.
     """
+    keys = list(keyed)
     by = staged(decided.groupBy(*keys).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "decided")
-    gone = by.where("not kept").select(*(F.col(k).alias(f"gone{k}") for k in keys))
+    gone = by.where("not kept").select(*keys)
     few = gone.count() <= BROADCAST_KEYS
-    condition = [F.col(k).eqNullSafe(F.col(f"gone{k}")) for k in keys]
-    left = rows.join(F.broadcast(gone) if few else gone, condition, "left_anti")
-    return left if by.where("kept").isEmpty() else left.dropDuplicates(keys)
+    own = {k: next(n for n in (f"_key{i}" + "_" * j for j in range(len(rows.columns) + 1)) if n not in rows.columns) for i, k in enumerate(keys)}
+    marked = rows.withColumns({own[k]: keyed[k] for k in keys})
+    other = gone.select(*(F.col(k).alias(f"_gone{i}") for i, k in enumerate(keys)))
+    condition = [marked[own[k]].eqNullSafe(other[f"_gone{i}"]) for i, k in enumerate(keys)]
+    left = marked.join(F.broadcast(other) if few else other, condition, "left_anti")
+    left = left if by.where("kept").isEmpty() else left.dropDuplicates(list(own.values()))
+    return left.drop(*own.values())

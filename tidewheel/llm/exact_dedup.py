@@ -49,6 +49,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of repeated rows with one id and text, one stays.
     """
-    decided = exact_duplicates(docs, id_col, text_col, keep).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept")
-    marked = docs.withColumns({"_id": docs[id_col], "_sha": F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))})
-    return drop_keys(marked, decided, ["_id", "_sha"]).drop("_id", "_sha")
+    decided = exact_duplicates(docs, id_col, text_col, keep).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept")
+    return drop_keys(docs, {"doc_id": docs[id_col], "sha": F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))}, decided)

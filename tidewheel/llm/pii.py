@@ -20,7 +20,7 @@ from tidewheel.llm.common import staged
 #: Entities and documents that are broadcast at most; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){0,30}\.\p{L}{2,}"
 SECRET_LEAD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 SECRET = r"(?<!\p{L})" + SECRET_LEAD + r"[^\s\"',;]{4,}"
 CLOUD_KEY = r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"

@@ -220,5 +220,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each component (the one of the smallest id), all columns as they are."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    decided = found.select(F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return drop_keys(docs.withColumn("_id", docs[id_col]), decided, ["_id"]).drop("_id")
+    return drop_keys(docs, {"doc_id": docs[id_col]}, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))

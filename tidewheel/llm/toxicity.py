@@ -22,8 +22,8 @@ from tidewheel.llm.quality import SAMPLE_ROWS, SAMPLE_TEXT_BYTES, labelled_sampl
 
 #: Hashed features: whole words, and beginnings of so many bytes of longer words.
 BEGINNINGS, BITS = (4, 5, 6, 7, 8), 20
-#: Longest chain: a longer sentence is cut.
-CHAIN = 64
+#: Longest chain: a longer sentence is cut. Bytes of a word that are hashed side by side with those of others.
+CHAIN, SHORT = 64, 64
 STEP_BYTES = 1 << 20
 _U = np.uint64
 _GAP = np.ones(256, bool)
@@ -56,11 +56,14 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
         longest = int((ends - starts).max())
         hashed = np.zeros(len(starts), np.uint64)
         left = np.arange(len(starts))
-        for k in range(longest):  # byte by byte over all words that are long enough
+        for k in range(min(longest, SHORT)):  # byte by byte over all words that are long enough
             left = left[(ends - starts)[left] > k]
             if k in BEGINNINGS:
                 out[left, 1 + BEGINNINGS.index(k)] = _fold(hashed[left] + _U(k))
             hashed[left] += _CODE[data[starts[left] + k]] * _FORWARD[k & 0xFFFF]
+        for i in np.flatnonzero(ends - starts > SHORT).tolist():  # the rest of long words
+            rest = data[starts[i] + SHORT : ends[i]]
+            hashed[i] += np.sum(_CODE[rest] * _FORWARD[np.arange(SHORT, SHORT + len(rest)) & 0xFFFF], dtype=np.uint64)
         out[:, 0] = _fold(hashed)
     return out
 
