@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import slices, staged, text_buffer, texts_of
 
 #: Bound of the training sample: so many labelled rows of each class at most.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 5000
 #: Labelled texts longer than this are not taken for training (they are scored whole like all others).
 SAMPLE_TEXT_BYTES = 32_768
 CHUNK, OVERLAP, FILTERS, WIDTH = 256, 32, 16, 6
