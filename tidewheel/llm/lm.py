@@ -16,7 +16,9 @@ renamed, so a task that runs again replaces them whole.
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +35,8 @@ from tidewheel.llm.common import mounted, shared_dir, slices, text_buffer, texts
 SHARD_BYTES = 8 << 20
 #: Tokens that a counting task holds before it packs and sends them.
 FLUSH_TOKENS = 3_000_000
+#: Shards that a worker keeps mapped.
+MAPPED = 15_000 if sys.version_info >= (3, 13) else 200
 _U = np.uint64
 _ODD, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
 END, BEGIN = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
@@ -173,6 +177,16 @@ def _write(path: str, *arrays: np.ndarray) -> None:
         os.replace(temporary, f"{path}.{i}")
 
 
+def _mapped(path: str, kind: np.dtype) -> np.ndarray:
+    """A file's array, mapped; where Python can, without a file descriptor that stays open."""
+    with open(path, "rb") as file:
+        try:
+            pages = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        except TypeError:
+            pages = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    return np.frombuffer(pages, kind)
+
+
 @dataclass(frozen=True)
 class NgramModel:
     """Where the sorted arrays are, and the totals and discounts by count class (1, 2, 3 or more)."""
@@ -302,7 +316,9 @@ class Reader:
             base = f"{self.model.path}/{kind}-{shard:06d}"
             there = os.path.exists(f"{base}.0") and os.path.getsize(f"{base}.0")
             value = WORD if kind == "words" else np.dtype("<u4")
-            self.open[kind, shard] = (np.memmap(f"{base}.0", np.uint64, "r"), np.memmap(f"{base}.1", value, "r")) if there else (np.zeros(0, np.uint64), np.zeros(0, value))
+            if len(self.open) >= MAPPED:
+                self.open.clear()
+            self.open[kind, shard] = (_mapped(f"{base}.0", np.dtype(np.uint64)), _mapped(f"{base}.1", value)) if there else (np.zeros(0, np.uint64), np.zeros(0, value))
         return self.open[kind, shard]
 
     def look_up(self, kind: str, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
