@@ -15,7 +15,7 @@ def test_brazil(spark):
     hourly = spark.createDataFrame(data, "din_instante string, nom_tipocombustivel string, nom_usina string, val_geracao double")
     names = spark.createDataFrame([("X", "old", 1), ("X", "G1", 2), ("Y", None, 3)], "ons_plant_name string, hydropower_plant_id string, ordinal int")
     out = national.brazil(hourly, names)
-    assert rows(out, "glohydrores_plant_id", "date", "generation_value") == [("G1", date(2020, 1, 31), 2.0), ("G1", date(2020, 2, 29), None), ("G1", date(2020, 3, 31), 5.0)]
+    assert rows(out, "plant_id", "date", "generation_value") == [("G1", date(2020, 1, 31), 2.0), ("G1", date(2020, 2, 29), None), ("G1", date(2020, 3, 31), 5.0)]
     assert out.first().generation_unit == "MW"
 
 
@@ -29,32 +29,32 @@ def test_europe(spark):
     review = national.europe_review(units, plants, ["Dam Big", "Other"])
     assert rows(review, "name", "match", "score", "plant_country", "plant_capacity") == [("Big Dam", "Dam Big", 100, "Austria", 60.0)]
     mapping = spark.createDataFrame([("Big Dam", "Dam Big", "Austria"), ("gone", "Other", "Nowhere")], "eic_plant_name string, plant_name string, country string")
-    assert rows(national.europe(units, mapping, plants), "glohydrores_plant_id", "plant_name", "generation_value", "generation_unit") == [("G1", "Dam Big", 16.0, "MW")]
+    assert rows(national.europe(units, mapping, plants), "plant_id", "plant_name", "generation_value", "generation_unit") == [("G1", "Dam Big", 16.0, "MW")]
 
 
 def test_usa(spark):
     monthly = spark.createDataFrame([("a", 1, 2019, "Feb", "RectifHyd", 5.0, 6.0), ("a", 1, 2019, "Mar", "EIA", 5.0, 6.0), ("b", 2, 2019, "Feb", "EIA", 1.0, 2.0)], "plant string, EIA_ID long, year long, month string, recommended_data string, RectifHyd_MWh double, EIA_MWh double")
     walk = spark.createDataFrame([("1.0", "h1"), ("2", "h2"), ("2", "h3"), ("NA", "h4"), ("9", "h1")], "eia_ptid string, eha_ptid string")
     plants = spark.createDataFrame([("EHA", "h1", "G1", 1), ("X", "h1", "G9", 2), ("EHA", "h2", "G2", 3)], "plant_source string, plant_source_id string, ID string, ordinal int")
-    assert rows(national.usa(monthly, walk, plants), "glohydrores_plant_id", "date", "generation_value", "generation_unit") == [("G1", date(2019, 2, 1), 5.0, "MWH"), ("G1", date(2019, 3, 1), 6.0, "MWH")]
+    assert rows(national.usa(monthly, walk, plants), "plant_id", "date", "generation_value", "generation_unit") == [("G1", date(2019, 2, 1), 5.0, "MWH"), ("G1", date(2019, 3, 1), 6.0, "MWH")]
 
 
 def test_india(spark):
     state = spark.createDataFrame([("Chilla", 3.5, "4", "2020"), ("None", 1.0, "4", "2020")], "plant_name string, actual_generation double, m string, y string")
     one = national.india_state_months(state, {"Chilla": "G5"}, "m", "y")
-    assert rows(one, "glohydrores_plant_id", "date", "generation_value") == [("G5", date(2020, 4, 1), 3.5)]
+    assert rows(one, "plant_id", "date", "generation_value") == [("G5", date(2020, 4, 1), 3.5)]
     sheet = "01022010.xls"
     grid = [("BASPA-HEP", "baspa 2", "Larji"), ("100", "20", "7"), ("1.5", "30", None), ("50", "x", "9"), ("999", "999", "999")]
     marks = ["", "01:00", "11:00", "12:00", "13:00"]
     cells = spark.createDataFrame([(sheet, i, j, v, marks[i]) for i, line in enumerate(grid) for j, v in enumerate(line)] + [("02022010.xls", 0, 0, "5", "x")], "sheet string, row_no int, column_no int, cell string, marker string")
     two = national.india_daily_blocks(cells, {"baspa": "G1", "larji": "G2", "giri": "G3"})
-    assert rows(two, "glohydrores_plant_id", "date", "generation_value") == [("G1", date(2010, 2, 1), pytest.approx(200 / 4000)), ("G2", date(2010, 2, 1), pytest.approx(16 / 4000)), ("G3", date(2010, 2, 1), 0.0)]
-    plants = spark.createDataFrame([("A", 10.0, "G1"), ("A2", 10.0, "G1"), ("Z", 0.0, "G2"), ("N", 5.0, None)], "plant_name string, installed_capacity_mw double, glohydrores_plant_id string")
+    assert rows(two, "plant_id", "date", "generation_value") == [("G1", date(2010, 2, 1), pytest.approx(200 / 4000)), ("G2", date(2010, 2, 1), pytest.approx(16 / 4000)), ("G3", date(2010, 2, 1), 0.0)]
+    plants = spark.createDataFrame([("A", 10.0, "G1"), ("A2", 10.0, "G1"), ("Z", 0.0, "G2"), ("N", 5.0, None)], "plant_name string, installed_capacity_mw double, plant_id string")
     reports = spark.createDataFrame([("A", 10.0, date(2021, 1, 1), 1.25, 1), ("A", 10.0, date(2021, 1, 1), 9.0, 2), ("A2", 10.0, date(2021, 1, 1), 1.22, 3), ("Q", 1.0, date(2021, 2, 1), 3.0, 4)], "plant_name string, installed_capacity_mw double, date date, value double, ordinal int")
     three = national.india_national(plants, reports)
-    assert rows(three, "glohydrores_plant_id", "date", "generation_value") == [("G1", date(2021, 1, 1), 1.2), ("G1", date(2021, 2, 1), 0.0)]
+    assert rows(three, "plant_id", "date", "generation_value") == [("G1", date(2021, 1, 1), 1.2), ("G1", date(2021, 2, 1), 0.0)]
     both = national.first_of_sources([three, two])
-    assert both.where("glohydrores_plant_id = 'G1'").count() == 3
+    assert both.where("plant_id = 'G1'").count() == 3
 
 
 def test_renewables_and_cells(spark):

@@ -301,22 +301,22 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_small_world_end_to_end(spark):
     m = months(60)
     gen = lambda p, unit, k: [(p, x, float(k + i % 12), unit, i) for i, x in enumerate(m)]
-    schema = "glohydrores_plant_id string, date date, generation_value double, generation_unit string, row_ordinal int"
+    schema = "plant_id string, date date, generation_value double, generation_unit string, row_ordinal int"
     first = spark.createDataFrame(gen("A", "MW", 5) + [("B", m[0], -1.0, "MW", 0), (None, m[0], 3.0, "MW", 1)], schema)
     second = spark.createDataFrame(gen("A", "GWH", 900) + gen("B", "MW", 7) + gen("C", "MW", 2), schema)
     df = pipelines.harmonise([first, second])
-    assert {r.glohydrores_plant_id: (r["count"], r.most) for r in df.groupBy("glohydrores_plant_id").agg(F.count("*").alias("count"), F.max("observed_generation_mw").alias("most")).collect()} == {"A": (60, 16.0), "C": (60, 13.0)}
+    assert {r.plant_id: (r["count"], r.most) for r in df.groupBy("plant_id").agg(F.count("*").alias("count"), F.max("observed_generation_mw").alias("most")).collect()} == {"A": (60, 16.0), "C": (60, 13.0)}
     plants = spark.createDataFrame([("A", "STO", 12.0, None, 30.0, 1.0, 50.0), ("C", None, 99.0, 20.0, None, None, 10.0)], "ID string, plant_type string, capacity_mw double, head_m double, dam_height_m double, res_vol_km3 double, plant_lat double")
     df = pipelines.with_attributes(df, plants)
-    assert values(df.select("glohydrores_plant_id", "installed_capacity_mw", "head_m").distinct(), "glohydrores_plant_id", "installed_capacity_mw", "head_m") == [("A", 16.0, 30.0), ("C", 99.0, 20.0)]
+    assert values(df.select("plant_id", "installed_capacity_mw", "head_m").distinct(), "plant_id", "installed_capacity_mw", "head_m") == [("A", 16.0, 30.0), ("C", 99.0, 20.0)]
     flow = spark.createDataFrame([(i, 0, x, float(10 + t % 12 + i)) for i in range(2) for t, x in enumerate(m)], "lat_idx int, lon_idx int, month date, value double")
-    cells = spark.createDataFrame([("A", 0, 0), ("C", 1, 0)], "glohydrores_plant_id string, lat_idx int, lon_idx int")
-    heads = df.select("glohydrores_plant_id", "head_m").distinct()
+    cells = spark.createDataFrame([("A", 0, 0), ("C", 1, 0)], "plant_id string, lat_idx int, lon_idx int")
+    heads = df.select("plant_id", "head_m").distinct()
     lagged = pipelines.with_power_lags(df, flow, cells, heads)
-    row = lagged.where((F.col("glohydrores_plant_id") == "A") & (F.col("month") == m[6])).first()
+    row = lagged.where((F.col("plant_id") == "A") & (F.col("month") == m[6])).first()
     assert [row[f"physical_hydropower_{k}n"] for k in range(7)] == pytest.approx([(10 + 6 - k) * 30 * 9.81 / 1000 for k in range(7)])
     countries = spark.createDataFrame([(0, 0, 4), (1, 0, 4)], "lat_idx int, lon_idx int, country_code int")
     means = pipelines.with_country_means(lagged.withColumn("country_code", F.lit(4)), {"temperature": flow}, countries)
-    assert means.where((F.col("glohydrores_plant_id") == "C") & (F.col("month") == m[0])).first().temperature == 10.5
+    assert means.where((F.col("plant_id") == "C") & (F.col("month") == m[0])).first().temperature == 10.5
     dry = pipelines.drought_labels(flow, cells)
     assert dry.count() == 120 and "drought_25_pooled_12length" in dry.columns

@@ -1,6 +1,6 @@
 """National sources as harmonised generation tables, plant matching and renewable densities.
 
-All functions give, or start from, rows of (glohydrores_plant_id, date, generation_value,
+All functions give, or start from, rows of (plant_id, date, generation_value,
 generation_unit, country, generation_source, ...). Where the survey's appendix finds a defect in the
 described behaviour, its evident intent is built and named by its number.
 """
@@ -37,8 +37,8 @@ def brazil(hourly: DataFrame, names: DataFrame) -> DataFrame:
     rows = rows.withColumn("datetime", calendar.parse_date(F.substring(F.col("datetime").cast("string"), 1, 10), "yyyy-MM-dd")).select("datetime", "plant_name", "generation_value")
     monthly = panel.monthly(rows, ["plant_name"], "datetime", "generation_value", "mean")
     known = names.where(F.col("hydropower_plant_id").isNotNull())
-    out = lookup.lookup(monthly, known, {"plant_name": "ons_plant_name"}, {"glohydrores_plant_id": "hydropower_plant_id"}, "ordinal")
-    out = out.where(F.col("glohydrores_plant_id").isNotNull()).withColumnRenamed("month", "date")
+    out = lookup.lookup(monthly, known, {"plant_name": "ons_plant_name"}, {"plant_id": "hydropower_plant_id"}, "ordinal")
+    out = out.where(F.col("plant_id").isNotNull()).withColumnRenamed("month", "date")
     return tagged(out, "MW", "Brazil", "https://dados.ons.org.br/dataset/geracao-usina-2/resource/b56e215c-074e-418f-83c7-3d7a6d1292ff")
 
 
@@ -70,10 +70,10 @@ def europe(units: DataFrame, mapping: DataFrame, plants: DataFrame) -> DataFrame
 
     Names that the review leaves out, and pairs of name and country without a plant, vanish.
     """
-    ids = lookup.lookup(mapping, plants, {"plant_name": "name", "country": "country"}, {"glohydrores_plant_id": "ID"}, "ordinal").select("eic_plant_name", "glohydrores_plant_id")
+    ids = lookup.lookup(mapping, plants, {"plant_name": "name", "country": "country"}, {"plant_id": "ID"}, "ordinal").select("eic_plant_name", "plant_id")
     rows = units.join(ids, "eic_plant_name")
-    sums = panel.aggregate(rows, ["glohydrores_plant_id", "date"], {"generation_value": nulls.sum_or_zero(F.col("ActualGenerationOutput")), "installed_capacity_mw": nulls.sum_or_zero(F.col("InstalledGenCapacity"))})
-    out = lookup.lookup(sums, plants, {"glohydrores_plant_id": "ID"}, {"plant_name": "name", "country": "country"}, "ordinal")
+    sums = panel.aggregate(rows, ["plant_id", "date"], {"generation_value": nulls.sum_or_zero(F.col("ActualGenerationOutput")), "installed_capacity_mw": nulls.sum_or_zero(F.col("InstalledGenCapacity"))})
+    out = lookup.lookup(sums, plants, {"plant_id": "ID"}, {"plant_name": "name", "country": "country"}, "ordinal")
     return out.withColumns({"generation_unit": F.lit("MW"), "generation_source": F.lit("ENTSOE")})
 
 
@@ -86,17 +86,17 @@ def usa(monthly: DataFrame, crosswalk: DataFrame, plants: DataFrame) -> DataFram
     walk = walk.join(monthly.select(F.col("EIA_ID").cast("double").alias("eia")).distinct(), "eia", "left_semi")
     rows = monthly.withColumns({"_eia": F.col("EIA_ID").cast("double"), "plant_source": F.lit("EHA")})
     rows = lookup.lookup_unique(rows, walk, {"_eia": "eia"}, {"eha_ptid": "eha_ptid"})
-    rows = lookup.lookup(rows, plants, {"plant_source": "plant_source", "eha_ptid": "plant_source_id"}, {"glohydrores_plant_id": "ID"}, "ordinal").where(F.col("glohydrores_plant_id").isNotNull())
+    rows = lookup.lookup(rows, plants, {"plant_source": "plant_source", "eha_ptid": "plant_source_id"}, {"plant_id": "ID"}, "ordinal").where(F.col("plant_id").isNotNull())
     value = F.when(F.col("recommended_data") == "RectifHyd", F.col("RectifHyd_MWh")).otherwise(F.col("EIA_MWh"))
-    out = rows.select(F.col("plant").alias("plant_name"), "glohydrores_plant_id", calendar.month_from_parts(F.col("year").cast("int"), calendar.month_number(F.col("month"))).alias("date"), value.alias("generation_value"))
+    out = rows.select(F.col("plant").alias("plant_name"), "plant_id", calendar.month_from_parts(F.col("year").cast("int"), calendar.month_number(F.col("month"))).alias("date"), value.alias("generation_value"))
     return tagged(out, "MWH", "USA", "https://www.nature.com/articles/s41597-022-01748-x")
 
 
 def india_state_months(rows: DataFrame, ids: Mapping[str, str], month: str, year: str, source: str = "https://www.ujvnl.com/") -> DataFrame:
     """Monthly rows (plant_name, actual_generation) with year and month, which sources.tables.file_part takes from file names."""
     table = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
-    out = rows.select("plant_name", calendar.month_from_parts(F.col(year).cast("int"), F.col(month).cast("int")).alias("date"), F.col("actual_generation").alias("generation_value"), table[F.col("plant_name")].alias("glohydrores_plant_id"))
-    return tagged(out.where(F.col("glohydrores_plant_id").isNotNull()), "GWH", "India", source)
+    out = rows.select("plant_name", calendar.month_from_parts(F.col(year).cast("int"), F.col(month).cast("int")).alias("date"), F.col("actual_generation").alias("generation_value"), table[F.col("plant_name")].alias("plant_id"))
+    return tagged(out.where(F.col("plant_id").isNotNull()), "GWH", "India", source)
 
 
 def india_daily_blocks(cells: DataFrame, ids: Mapping[str, str], plants: Sequence[str] = BLOCK_PLANTS, after: int = 2004, source: str = "https://hpaldc.org/index.asp?pg=dgoph") -> DataFrame:
@@ -116,29 +116,29 @@ def india_daily_blocks(cells: DataFrame, ids: Mapping[str, str], plants: Sequenc
     days = used.select("date").distinct().withColumn("plant_name", F.explode(F.array(*map(F.lit, plants))))
     whole = days.join(daily, ["date", "plant_name"], "left").where(F.year("date") > after).withColumn("generation_value", kernels.block_energy(F.coalesce("both", F.lit(0.0)), F.lit(0.0)))
     table = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
-    monthly = panel.monthly(whole, ["plant_name"], "date", "generation_value", "sum", at_end=False).withColumns({"generation_value": F.col("generation_value") / 10, "glohydrores_plant_id": table[F.col("plant_name")]})
-    return tagged(monthly.where(F.col("glohydrores_plant_id").isNotNull()).withColumnRenamed("month", "date"), "GWH", "India", source)
+    monthly = panel.monthly(whole, ["plant_name"], "date", "generation_value", "sum", at_end=False).withColumns({"generation_value": F.col("generation_value") / 10, "plant_id": table[F.col("plant_name")]})
+    return tagged(monthly.where(F.col("plant_id").isNotNull()).withColumnRenamed("month", "date"), "GWH", "India", source)
 
 
 def india_national(plants: DataFrame, reports: DataFrame, source: str = "https://npp.gov.in/") -> DataFrame:
     """Monthly reports (plant_name, installed_capacity_mw, date, value, ordinal) for the listed plants (plant_name, installed_capacity_mw,
-    glohydrores_plant_id): the first report of equal name and capacity, 0 if a month has none (RSH-3 stays long, D21).
+    plant_id): the first report of equal name and capacity, 0 if a month has none (RSH-3 stays long, D21).
 
     Values are rounded to one decimal, half to even; equal rows of state and central files count once; then sums by plant.
     """
     span = reports.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
-    listed = plants.where(nulls.differs(F.col("installed_capacity_mw"), 0) & F.col("glohydrores_plant_id").isNotNull())
+    listed = plants.where(nulls.differs(F.col("installed_capacity_mw"), 0) & F.col("plant_id").isNotNull())
     wanted = listed.withColumn("date", F.explode(F.sequence(F.lit(span.a), F.lit(span.b), F.expr("interval 1 month")))).join(reports.select("date").distinct(), "date", "left_semi")
     on = {c: c for c in ("plant_name", "installed_capacity_mw", "date")}
     rows = lookup.lookup_first_or(wanted, reports, on, {"generation_value": "value"}, "ordinal", 0.0).withColumn("generation_value", F.bround("generation_value", 1))
-    rows = dedup.distinct_on(rows, ["glohydrores_plant_id", "installed_capacity_mw", "date", "generation_value"])
-    sums = panel.aggregate(rows, ["glohydrores_plant_id", "date"], {c: nulls.sum_or_zero(F.col(c)) for c in ("generation_value", "installed_capacity_mw")})
+    rows = dedup.distinct_on(rows, ["plant_id", "installed_capacity_mw", "date", "generation_value"])
+    sums = panel.aggregate(rows, ["plant_id", "date"], {c: nulls.sum_or_zero(F.col(c)) for c in ("generation_value", "installed_capacity_mw")})
     return tagged(sums, "GWH", "India", source).withColumn("date", calendar.month_of(F.col("date")))
 
 
 def first_of_sources(sources: Sequence[DataFrame]) -> DataFrame:
     """One row for each plant and date, by the order of the sources."""
-    return dedup.keep_first(dedup.union_by_priority(sources), ["glohydrores_plant_id", "date"], ["source_priority", "row_ordinal"]).drop("source_priority", "row_ordinal")
+    return dedup.keep_first(dedup.union_by_priority(sources), ["plant_id", "date"], ["source_priority", "row_ordinal"]).drop("source_priority", "row_ordinal")
 
 
 def renewable_capacity(onshore: DataFrame, offshore: DataFrame, solar: DataFrame, years: Sequence[str], names: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ COUNTRY_OVERRIDES = {
 }
 
 
-def harmonise(sources: Sequence[DataFrame], key: str = "glohydrores_plant_id", before: str = "2023-01-01", zero_share: float = 0.2, drop: Column | None = None) -> DataFrame:
+def harmonise(sources: Sequence[DataFrame], key: str = "plant_id", before: str = "2023-01-01", zero_share: float = 0.2, drop: Column | None = None) -> DataFrame:
     """Sources (date, generation_value, generation_unit, ...) in order of priority as one row for each plant and month.
 
     The first source's first row counts; values become mean MW; plants with a negative value, or with
@@ -49,7 +49,7 @@ def harmonise(sources: Sequence[DataFrame], key: str = "glohydrores_plant_id", b
     return df.where(~F.col("_bad") & (F.col("_zeros") < zero_share)).drop("_bad", "_zeros")
 
 
-def with_attributes(df: DataFrame, plants: DataFrame, key: str = "glohydrores_plant_id", ordinal: str | None = None) -> DataFrame:
+def with_attributes(df: DataFrame, plants: DataFrame, key: str = "plant_id", ordinal: str | None = None) -> DataFrame:
     """Plant attributes by lookup, head from the dam's height, no volume for run-of-river plants, rows with a head, repaired capacity and its factor."""
     names = ("plant_type", "capacity_mw", "head_m", "dam_height_m", "res_vol_km3", "plant_lat")
     out = lookup.lookup(df, plants, {key: "ID"}, {n: n for n in names}, ordinal)
@@ -59,7 +59,7 @@ def with_attributes(df: DataFrame, plants: DataFrame, key: str = "glohydrores_pl
     return out.withColumn("capacity_factor", nulls.clip(nulls.ratio(F.col("observed_generation_mw"), F.col("installed_capacity_mw")), 0, 1))
 
 
-def with_power_lags(df: DataFrame, flow: DataFrame, cells: DataFrame, heads: DataFrame, key: str = "glohydrores_plant_id") -> DataFrame:
+def with_power_lags(df: DataFrame, flow: DataFrame, cells: DataFrame, heads: DataFrame, key: str = "plant_id") -> DataFrame:
     """Seven monthly lags of hydraulic power at each plant's cell, made on the whole flow series before the join.
 
     flow: (lat_idx, lon_idx, month, value); cells: (key, lat_idx, lon_idx); heads: (key, head_m).
@@ -76,7 +76,7 @@ def with_country_means(df: DataFrame, grids: Mapping[str, DataFrame], countries:
     return df
 
 
-def drought_labels(flow: DataFrame, cells: DataFrame, key: str = "glohydrores_plant_id") -> DataFrame:
+def drought_labels(flow: DataFrame, cells: DataFrame, key: str = "plant_id") -> DataFrame:
     """Percentiles and drought runs of the flow at each plant's cell: one exchange by plant serves all windows."""
     at = flow.join(cells.select(key, "lat_idx", "lon_idx"), ["lat_idx", "lon_idx"]).select(key, "month", F.col("value").alias("streamflow_data"))
     return drought.drought_columns(drought.seasonal_percentile(at.repartition(key), key, "month", "streamflow_data"), key, "month")
