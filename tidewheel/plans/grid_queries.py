@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidewheel.functions import kernels, nulls
+from tidewheel.functions import kernels
 from tidewheel.functions.kernels import POWER_CURVE
 from tidewheel.operators import grid, lookup, panel
 from tidewheel.plans.registry import query, table
