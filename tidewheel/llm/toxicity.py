@@ -15,7 +15,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidewheel.llm.common import slices, text_buffer, texts_of, word_spans
 from tidewheel.llm.quality import SAMPLE_ROWS, SAMPLE_TEXT_BYTES, labelled_sample
