@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewheel.llm.common import slices, text_buffer, texts_of, word_spans
-from tidewheel.llm.quality import SAMPLE_ROWS, SAMPLE_TEXT_BYTES, labelled_sample
+from tidewheel.llm.quality import SAMPLE_TEXT_BYTES, labelled_sample
 
+#: Bound of the training sample: so many labelled rows of each class at most. Its word features are held by the driver.
+SAMPLE_ROWS = 3000
 #: Hashed features: whole words, and beginnings of so many bytes of longer words.
 BEGINNINGS, BITS = (4, 5, 6, 7, 8), 20
 #: Longest chain: a longer sentence is cut. Bytes of a word that are hashed side by side with those of others.
@@ -48,7 +50,7 @@ class Tagger:
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(tokens, 1 + beginnings) hashed features; -1 where a word is no longer than the beginning."""
-    out = np.full((len(starts), 1 + len(BEGINNINGS)), -1, np.int64)
+    out = np.full((len(starts), 1 + len(BEGINNINGS)), -1, np.int32)
     if not len(starts):
         return out
     with np.errstate(over="ignore"):
@@ -131,11 +133,15 @@ def _copies(feats: np.ndarray, at: np.ndarray) -> np.ndarray:
 def lexicon(feats: np.ndarray, owner: np.ndarray, toxic: np.ndarray, lift: float = 4.0) -> np.ndarray:
     """Features that occur in toxic texts `lift` times as often as in others, beyond what chance gives among so many."""
     size = 1 << BITS
-    flat, text = feats.ravel(), np.repeat(owner, feats.shape[1])
-    pairs = np.unique(text[flat >= 0] * size + flat[flat >= 0])
-    text, feat = pairs // size, pairs % size
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    a, b = np.bincount(feat[toxic[text]], minlength=size), np.bincount(feat[~toxic[text]], minlength=size)
+    a, b = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for s in range(0, len(toxic), 200):  # texts with a feature are counted by blocks of texts, which bounds the pairs that are held
+        part = slice(*np.searchsorted(owner, [s, s + 200]))
+        flat, text = feats[part].ravel(), np.repeat(owner[part], feats.shape[1])
+        pairs = np.unique(text[flat >= 0] * size + flat[flat >= 0])
+        text, feat = pairs // size, pairs % size
+        a += np.bincount(feat[toxic[text]], minlength=size)
+        b += np.bincount(feat[~toxic[text]], minlength=size)
     share = (a + b) / (n1 + n0)
     part = lambda x, n: x * np.log(np.maximum(x, 1e-9) / np.maximum(n * share, 1e-9))
     ratio = 2 * (part(a, n1) + part(b, n0) + part(n1 - a, n1 * (1 / np.maximum(share, 1e-9) - 1)) + part(n0 - b, n0 * (1 / np.maximum(share, 1e-9) - 1)))
