@@ -116,20 +116,20 @@ def wind_curve(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(hub, 6).alias("hub"), F.round(kernels.wind_capacity_factor(hub), 6).alias("factor"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice * 500 / (1000 * 86400) * 0.9 * 0.95, 9) AS factor, round(round(l_extendedprice * 500 / (1000 * 86400) * 0.9 * 0.95, 9) * l_quantity * day(last_day(l_shipdate)) * 24, 3) AS energy,
-    round(round(l_extendedprice * 500 / (1000 * 86400) * 0.9 * 0.95, 9) * l_quantity * day(last_day(l_shipdate)) * 24 / 1234.5, 3) AS density FROM lineitem""")
+@query("""WITH f AS (SELECT *, l_extendedprice * 500 / (1000 * 86400) * 0.9 * 0.95 AS x FROM lineitem), e AS (SELECT *, x * l_quantity * day(last_day(l_shipdate)) * 24 AS energy FROM f)
+    SELECT l_orderkey, l_linenumber, x AS factor, energy, energy / 1234.5 AS density FROM e""")
 def solar_curve(spark, sf_dir):
     """DOM-8, PRJ-19, PRJ-20."""
-    factor = F.round(kernels.solar_capacity_factor(F.col("l_extendedprice") * 500), 9)
+    factor = kernels.solar_capacity_factor(F.col("l_extendedprice") * 500)
     energy = kernels.month_energy(factor, F.col("l_quantity"), F.col("l_shipdate"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", factor.alias("factor"), F.round(energy, 3).alias("energy"), F.round(kernels.energy_density(energy, F.lit(1234.5)), 3).alias("density"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", factor.alias("factor"), energy.alias("energy"), kernels.energy_density(energy, F.lit(1234.5)).alias("density"))
 
 
-@query("""SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, round(sum((l_quantity + l_extendedprice / 100) / 400) / 10, 6) AS energy FROM lineitem WHERE regexp_full_match(CAST(CAST(l_quantity AS INT) AS VARCHAR), '[0-9]+') GROUP BY ALL""")
+@query("""SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, round(sum((l_quantity + l_extendedprice / 100) / 400) / 10, 9) AS energy FROM lineitem WHERE regexp_full_match(CAST(CAST(l_quantity AS INT) AS VARCHAR), '[0-9]+') GROUP BY ALL""")
 def block_energy_monthly(spark, sf_dir):
     """DOM-15."""
     rows = table(spark, sf_dir, "lineitem").withColumn("e", kernels.block_energy(F.col("l_quantity"), F.col("l_extendedprice") / 100))
-    return panel.monthly(rows, ["l_suppkey"], "l_shipdate", "e", "sum", fill_gaps=False, at_end=False).select("l_suppkey", "month", F.round(F.col("e") / 10, 6).alias("energy"))
+    return panel.monthly(rows, ["l_suppkey"], "l_shipdate", "e", "sum", fill_gaps=False, at_end=False).select("l_suppkey", "month", F.round(F.col("e") / 10, 9).alias("energy"))
 
 
 _E2 = (1 / 298.257223563) * (2 - 1 / 298.257223563)

@@ -61,12 +61,12 @@ def monthly_sum_gapfill(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'MWH' WHEN 'O' THEN 'GWH' ELSE 'MW' END AS unit, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-    round(CASE o_orderstatus WHEN 'F' THEN o_totalprice / (day(last_day(o_orderdate)) * 24) WHEN 'O' THEN o_totalprice * 1000 / (day(last_day(o_orderdate)) * 24) ELSE o_totalprice END, 6) AS mean_mw FROM orders""")
+    CASE o_orderstatus WHEN 'F' THEN o_totalprice / (day(last_day(o_orderdate)) * 24) WHEN 'O' THEN o_totalprice * 1000 / (day(last_day(o_orderdate)) * 24) ELSE o_totalprice END AS mean_mw FROM orders""")
 def unit_convert_hours(spark, sf_dir):
     """PRJ-6, DT-4, DT-6."""
     unit = F.when(F.col("o_orderstatus") == "F", "MWH").when(F.col("o_orderstatus") == "O", "GWH").otherwise("MW")
     month = calendar.month_of(F.col("o_orderdate"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", unit.alias("unit"), month.alias("month"), F.round(kernels.mean_power_mw(F.col("o_totalprice"), unit, month), 6).alias("mean_mw"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", unit.alias("unit"), month.alias("month"), kernels.mean_power_mw(F.col("o_totalprice"), unit, month).alias("mean_mw"))
 
 
 @query("SELECT * FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -980)")
