@@ -64,6 +64,15 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_simhash_drop_tells_rows_by_id_and_text(spark):
+    a, b, c, d = "one clean text about rivers", "another text of quite other words", "alpha beta gamma delta epsilon", "some words that no other row has"
+    table = spark.createDataFrame([(None, a), (None, b), (None, c), (None, c), (7, c), (7, d), (8, d), (9, "x y z"), (9, "x\ty z"), (9, "x y z")], "doc_id long, text string")
+    for parts in (1, 4):
+        kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(table.repartition(parts)).collect()]
+        nine = [r for r in kept if r[0] == 9]
+        assert len(nine) == 1 and Counter(r for r in kept if r[0] != 9) == Counter([(None, a), (None, b), (7, c), (7, d)])
+
+
 def test_golay_code():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 23, 4000)

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import components, drop_keys, salt, slices, staged, text_buffer, texts_of, word_spans
@@ -115,17 +115,25 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed:
     return out
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp: the fingerprint as a signed long) of each row; a text without words has 0."""
+def sha_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp: the fingerprint as a signed long) of each row, if hashed also sha, the text's SHA-256; a text without words has 0."""
+    names = ["doc_id", "fp", *(["sha"] if hashed else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 prints = fingerprints(*text_buffer(part.column("text")), shingle, seed)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+                shas = [part.column("sha")] if hashed else []
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64)), *shas], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    texts = texts_of(docs, id_col, text_col)
+    texts = texts.withColumn("sha", sha_of(F.col("text"))) if hashed else texts
+    return texts.mapInArrow(run, f"doc_id {kind}, fp bigint" + ", sha binary" * hashed)
 
 
 def _bucket_links(max_bits: int):
@@ -207,17 +215,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link; a null doc_id is never a component's id unless it has no other; repeated rows keep their
     own result rows; an empty table gives an empty result; further columns are ignored.
     """
-    rows = staged(simhash(docs, id_col, text_col, shingle, seed).withColumn("salt", salt(F.col("doc_id"))), "prints")
-    part = rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("low"))
+    rows = simhash(docs, id_col, text_col, shingle, seed)
+    return _with_lowest(rows, F.min("doc_id"), max_bits).select("doc_id", "fp", F.col("low").alias("component_id"))
+
+
+def _with_lowest(prints: DataFrame, lowest: Column, max_bits: int) -> DataFrame:
+    """The rows of prints with low: the minimum `lowest` over each component of linked fingerprints."""
+    rows = staged(prints.withColumn("salt", salt(F.col("doc_id"))), "prints")
+    part = rows.groupBy("fp", "salt").agg(lowest.alias("low"))
     groups = staged(part.groupBy("fp").agg(F.min("low").alias("low"), F.collect_list("salt").alias("salts")), "classes")
     roots = components(near_links(groups, max_bits))
     named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = named.select("fp", "root", "salts").join(lows, "root").select("fp", "component_id", F.explode("salts").alias("salt"))
-    return rows.join(classes, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    lows = named.groupBy("root").agg(F.min("low").alias("low"))
+    classes = named.select("fp", "root", "salts").join(lows, "root").select("fp", "low", F.explode("salts").alias("salt"))
+    return rows.join(classes, ["fp", "salt"]).drop("salt")
+
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
+    """docs with one row of each component, all columns as they are.
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component (the one of the smallest id), all columns as they are."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    return drop_keys(docs, {"doc_id": docs[id_col]}, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    It is a row of the smallest id, a null id being the largest; of an id's different texts in one
+    component, that of the smallest hash. Rows are told apart by id and text, so rows of other
+    components stay whatever their ids are; of repeated rows with one id and text, one stays.
+    """
+    rows = simhash(docs, id_col, text_col, shingle, seed, hashed=True)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("sha")))
+    kept = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("sha") == F.col("low.sha"))
+    decided = _with_lowest(rows, best, max_bits).select("doc_id", "sha", kept.alias("kept"))
+    return drop_keys(docs, {"doc_id": docs[id_col], "sha": sha_of(F.coalesce(docs[text_col], F.lit("")))}, decided)
