@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -250,6 +251,25 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(out)) == 2500 and not set(out) & {f"call 555-{i:04d} now" for i in range(2500)}
 
 
+def test_names_do_not_run_out(spark):
+    names = ["".join(p).capitalize() for p in itertools.islice(itertools.product("qwxyu", repeat=6), 5000)]
+    table = spark.createDataFrame([(i, f"met Mr. {n} today") for i, n in enumerate(names)], "doc_id long, text string").repartition(4)
+    out = [r.text for r in pii.replace_entities(table, "key").collect()]
+    assert len(set(out)) == 5000 and not set(out) & {f"met Mr. {n} today" for n in names}
+
+
+def test_a_person_has_one_name_by_any_title(spark):
+    texts = ["Dr. Anna Smith", "Mrs. Anna Smith", "Prof. Anna SMITH", "Dr. Paul Jones", "Mr. Paul Jones", "Prof. Lee", "Mr. Kim", "Ms. Kim", "Dr. Kim"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text.split(" ", 1) for r in pii.replace_entities(table, "key").orderBy("doc_id").collect()]
+    assert [t for t, _ in out] == [t.split(" ")[0] for t in texts]
+    names = [n for _, n in out]
+    assert names[0] == names[1] == names[2] and names[0].split(" ")[0].endswith("a")
+    assert names[3] == names[4] and names[3].split(" ")[0].endswith("en") and names[5].endswith("en")
+    assert names[6] == names[8] and names[6].removesuffix("en") == names[7].removesuffix("a") != names[6]
+    assert len({names[0], names[3], names[5], names[6], names[7]}) == 5
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     now = spark.read.parquet(f"{sf}/documents.parquet")

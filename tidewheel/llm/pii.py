@@ -4,8 +4,10 @@ Entities are found by one pattern. An entity's identity is its type and normal f
 separators don't count), its surrogate a keyed hash of that, so one entity has one surrogate all over
 the corpus. Surrogates keep the type and what can be seen of it: digits and separators of numbers, the
 issuer digit and check digit of cards, length and letter case of secrets, title, gender and script of
-names. Collisions (two entities with one surrogate, or a surrogate that is itself an entity of the
-corpus) are found over all entities and removed by hashing again with a higher attempt.
+names. A person is known by the name without its title; a title without gender takes that of the corpus's
+other mentions of the name. Collisions (two entities with one surrogate, or a surrogate that is itself an entity of the
+corpus) are found over all entities and removed by hashing again with a higher attempt, in which names
+have a syllable more for each word, so they don't run out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ SECRET_LEAD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=
 SECRET = r"(?<!\p{L})" + SECRET_LEAD + r"[^\s\"',;]{4,}"
 CLOUD_KEY = r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"
 FEMALE, MALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа|госпожа|Κυρία|κυρία", "Mr|Herr|Señor|Sr|Monsieur|Господин|господин|Κύριος|κύριος"
-TITLE = rf"(?:{FEMALE}|{MALE}|Dr|Prof)\.?[  ]"
+ANY_GENDER = "Dr|Prof"
+TITLE = rf"(?:{FEMALE}|{MALE}|{ANY_GENDER})\.?[  ]"
 NAME = r"(?<!\p{L})" + TITLE + r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\p{{L}}\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
@@ -76,11 +79,16 @@ def identity(match: Column) -> Column:
     return let(kind_of(match), lambda kind: F.concat(kind, F.lit("\n"), _form(match, kind)))
 
 
+def gender(match: Column) -> Column:
+    """f or m by the title of a name, u if it tells neither, null for other mentions."""
+    titled = lambda titles: match.rlike(rf"^(?:{titles})\.?[\x20\xA0]")
+    return F.when(titled(FEMALE), "f").when(titled(MALE), "m").when(titled(ANY_GENDER), "u")
+
+
 def _form(match: Column, kind: Column) -> Column:
     def person(name: Column) -> Column:
-        gender = F.when(match.rlike(rf"^(?:{FEMALE})\.?[  ]"), "f").otherwise("m")
         script = F.when(name.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-        return F.concat_ws("\n", gender, script, F.size(F.split(name, " ")).cast("string"), F.lower(name))
+        return F.concat_ws("\n", script, F.lower(name))
 
     return (
         F.when(kind == "email", F.lower(match)).when(kind == "secret", let(secret_value(match), lambda v: F.concat(F.length(v).cast("string"), F.lit("\n"), F.lower(v))))
@@ -96,13 +104,14 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(10 - total % 10, F.lit(10)).cast("string")
 
 
-def surrogate(entity: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an identity, without the separators and letter case of one mention."""
+def surrogate(entity: Column, attempt: Column, key: str, female: Column | None = None) -> Column:
+    """The surrogate of an identity, without the separators and letter case of one mention; names have a male ending if not female."""
+    female = F.lit(False) if female is None else female
     seed = F.concat_ws("\n", F.lit(key), attempt.cast("string"), entity)
-    return let(F.struct(F.split(entity, "\n").alias("fields"), seed.alias("seed"), F.sha2(seed, 256).alias("h")), lambda x: _made(x["fields"], x["seed"], x["h"]))
+    return let(F.struct(F.split(entity, "\n").alias("fields"), seed.alias("seed"), F.sha2(seed, 256).alias("h"), (attempt + 3).alias("syllables"), female.alias("female")), lambda x: _made(x["fields"], x["seed"], x["h"], x["syllables"], x["female"]))
 
 
-def _made(fields: Column, seed: Column, h: Column) -> Column:
+def _made(fields: Column, seed: Column, h: Column, syllables: Column, female: Column) -> Column:
     kind, form = fields[0], fields[1]
     figures, letters = F.translate(h, "abcdef", "012345"), F.translate(h, "0123456789abcdef", "abcdefghkmnprstv")
     n = F.length(form)
@@ -110,18 +119,21 @@ def _made(fields: Column, seed: Column, h: Column) -> Column:
     ip = F.concat_ws(".", (number(F.lit(1), 2) % 223 + 1).cast("string"), *(number(F.lit(i), 2).cast("string") for i in (3, 5, 7)))
     card = F.concat(F.substring(form, 1, 1), F.substr(figures, F.lit(1), n - 2))
     long = lambda size: F.substr(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((size - 1) / 64).cast("int")), lambda i: F.sha2(F.concat(seed, i.cast("string")), 256)), ""), F.lit(1), size)
-    tables = F.create_map(*(y for script, syllables in SYLLABLES.items() for y in (F.lit(script), F.array(*map(F.lit, syllables)))))
-    endings = F.create_map(*(y for script, (male, female) in ENDINGS.items() for y in (F.lit(script), F.create_map(F.lit("m"), F.lit(male), F.lit("f"), F.lit(female)))))
+    tables = F.create_map(*(y for script, table in SYLLABLES.items() for y in (F.lit(script), F.array(*map(F.lit, table)))))
+    endings = F.create_map(*(y for script, (male, woman) in ENDINGS.items() for y in (F.lit(script), F.when(female, woman).otherwise(male))))
 
-    def word(i: Column, table: Column) -> Column:
-        syllable = lambda j: F.get(table, number(i * 8 + j, 1))
-        return F.initcap(F.concat(syllable(1), syllable(2), syllable(3), F.when(i == 0, endings[fields[2]][form]).otherwise("")))
+    def words(x: Column) -> Column:
+        def word(i: Column) -> Column:
+            each = F.transform(F.split(F.substr(x["figures"], i * syllables + 1, syllables), "(?!$)"), lambda d: F.get(x["table"], F.conv(d, 16, 10).cast("int")))
+            return F.initcap(F.concat(F.array_join(each, ""), F.when(i == 0, endings[form]).otherwise("")))
 
-    words = lambda table: F.array_join(F.transform(F.sequence(F.lit(0), fields[3].cast("int") - 1), lambda i: word(i, table)), " ")
+        return F.array_join(F.transform(F.sequence(F.lit(0), x["n"] - 1), word), " ")
+
+    person = let(F.size(F.split(fields[2], " ")), lambda n: let(F.struct(n.alias("n"), tables[form].alias("table"), long(n * syllables).alias("figures")), words))
     return (
         F.when(kind == "email", F.concat(F.substring(letters, 1, 12), F.lit("@"), F.substring(letters, 13, 5), F.lit(".example.org")))
         .when(kind == "secret", let(form.cast("int"), long)).when(kind == "cloud_key", F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))))
-        .when(kind == "name", let(tables[fields[2]], words)).when(kind == "ip", ip).when(kind == "ssn", F.concat(F.lit("9"), F.substring(figures, 1, 8)))
+        .when(kind == "name", person).when(kind == "ip", ip).when(kind == "ssn", F.concat(F.lit("9"), F.substring(figures, 1, 8)))
         .when(kind == "iban", F.concat(F.substring(form, 1, 2), F.substr(figures, F.lit(1), n - 2)))
         .when(kind == "card", let(card, lambda c: F.concat(c, _luhn(c)))).otherwise(F.concat(F.substring(form, 1, 1), F.substr(figures, F.lit(1), n - 1)))
     )
@@ -152,18 +164,22 @@ def dress(match: Column, found: Column) -> Column:
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The distinct identities of a corpus, one row each (entity)."""
+    """The distinct identities of a corpus, one row each (entity), and whether mentions have female, male and other titles (f, m, u)."""
     found = docs.select(F.explode(mentions_of(docs[text_col])).alias("m"))
-    return found.select(identity(F.col("m")).alias("entity")).distinct()
+    each = found.select(identity(F.col("m")).alias("entity"), gender(F.col("m")).alias("gender"))
+    return each.groupBy("entity").agg(*(F.coalesce(F.bool_or(F.col("gender") == g), F.lit(False)).alias(g) for g in "fmu"))
 
 
 def attempts(known: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """(entity, attempt) of the staged identities whose first surrogate collides; no collision is left with these."""
+    known = known.select("entity")
     state = known.withColumn("attempt", F.lit(0))
+    form = lambda female: normal_of_surrogate(F.col("entity"), surrogate(F.col("entity"), F.col("attempt"), key, F.lit(female)))
     for _ in range(rounds):
-        state = staged(state.withColumn("made", normal_of_surrogate(F.col("entity"), surrogate(F.col("entity"), F.col("attempt"), key))), "surrogates")
+        state = staged(state.withColumn("made", form(False)).withColumn("other", F.when(F.col("entity").startswith("name\n"), form(True))), "surrogates")
         shared = state.groupBy("made").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1").select("made", "first")
-        taken = state.join(known.select(F.col("entity").alias("made")), "made", "left_semi").select("made", F.lit(None).cast("string").alias("first")).distinct()
+        shown = state.select("made", F.explode(F.array_compact(F.array("made", "other"))).alias("shown"))
+        taken = shown.join(known.select(F.col("entity").alias("shown")), "shown", "left_semi").select("made", F.lit(None).cast("string").alias("first")).distinct()
         clash = staged(shared.join(taken, "made", "left_anti").unionByName(taken), "clashes")
         if clash.isEmpty():
             break
@@ -186,20 +202,25 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     each and alike; rows with a null id are treated like others; an empty table gives an empty result.
     """
     known = staged(entities(docs, text_col), "entities")
-    moved = staged(attempts(known, key), "moved")
+    female = known.where("u and f and not m").select("entity", F.lit(True).alias("female"))
+    moved = staged(attempts(known, key).join(female, "entity", "full").select("entity", F.struct(F.coalesce("attempt", F.lit(0)).alias("attempt"), F.coalesce("female", F.lit(False)).alias("female")).alias("how")), "moved")
     columns = docs.columns
     plain = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(columns)))
     row_id, text = f"c{columns.index(id_col)}", F.col(f"c{columns.index(text_col)}")
-    again = F.create_map().cast("map<string,int>")
+    again = F.create_map().cast("map<string,struct<attempt:int,female:boolean>>")
     if not moved.isEmpty():
         mentions = plain.select(F.col(row_id).alias("id"), F.explode(F.array_distinct(F.transform(mentions_of(text), identity))).alias("entity")).distinct()
-        tables = staged(mentions.join(_small(moved), "entity").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("again")), "attempts")
+        tables = staged(mentions.join(_small(moved), "entity").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "how"))).alias("again")), "attempts")
         plain = plain.join(_small(tables), F.col(row_id).eqNullSafe(F.col("id")), "left").drop("id")
         again = F.coalesce(F.col("again"), again)
     found = plain.withColumn("m", mentions_of(text)).withColumn("again", again)
 
     def swap(match: Column) -> Column:
-        made = let(identity(match), lambda entity: surrogate(entity, F.coalesce(F.col("again")[entity], F.lit(0)), key))
+        def made_by(x: Column) -> Column:
+            told = gender(match)
+            return surrogate(x["entity"], F.coalesce(x["how"]["attempt"], F.lit(0)), key, F.coalesce((told == "f") | ((told == "u") & x["how"]["female"]), F.lit(False)))
+
+        made = let(identity(match), lambda entity: let(F.struct(entity.alias("entity"), F.col("again")[entity].alias("how")), made_by))
         return let(made, lambda found: dress(match, found))
 
     new = F.transform("m", swap)
