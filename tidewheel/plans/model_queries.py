@@ -96,6 +96,14 @@ def ols_score(spark, sf_dir):
     return models.predict(model, lines.where("l_orderkey % 4 = 0"), ["l_quantity"]).select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("prediction"))
 
 
+@query("""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(a * l_quantity + b, 2) AS prediction FROM lineitem, m""")
+def ols_score_all(spark, sf_dir):
+    """MDL-1, MDL-7, MLP-7: one feature, fitted and scored on all rows."""
+    lines = table(spark, sf_dir, "lineitem")
+    model = models.ols(lines, ["l_quantity"], "l_extendedprice")
+    return models.predict(model, lines, ["l_quantity"]).select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("prediction"))
+
+
 def _lagged(spark, sf_dir):
     lagged = panel.lag_features(series(spark, sf_dir), "plant_id", "month", "value").dropna()
     return lagged.withColumn("season", F.month("month")), [f"physical_hydropower_{k}n" for k in range(1, 7)] + ["season"]
