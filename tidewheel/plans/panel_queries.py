@@ -155,6 +155,15 @@ def lookup_unique(spark, sf_dir):
     return lookup.lookup_unique(supplier, parts, {"size": "p_size"}, {"p_name": "p_name"}).select("s_suppkey", "p_name")
 
 
+@query("""SELECT p.p_partkey, d.larger FROM part p LEFT JOIN (SELECT p_brand, p_type, p_size, p_name AS larger FROM part QUALIFY count(*) OVER (PARTITION BY p_brand, p_type, p_size) = 1) d
+    ON p.p_brand = d.p_brand AND p.p_type = d.p_type AND p.p_size + 1 = d.p_size""")
+def lookup_unique_all(spark, sf_dir):
+    """JN-7: for each part, the only one of its brand and type that is one size larger; none if there are several."""
+    parts = table(spark, sf_dir, "part")
+    smaller = parts.select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), (F.col("p_size") + 1).alias("size"))
+    return lookup.lookup_unique(smaller, parts, {"brand": "p_brand", "type": "p_type", "size": "p_size"}, {"larger": "p_name"}).select("p_partkey", "larger")
+
+
 @query("""SELECT n.n_nationkey, n.n_name, coalesce(d.s_acctbal, 0) AS balance FROM nation n LEFT JOIN (SELECT s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 5000
     QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = 1) d ON n.n_nationkey = d.s_nationkey""")
 def lookup_first_or_zero(spark, sf_dir):
@@ -203,6 +212,15 @@ def outer_merge_total(spark, sf_dir):
     return lookup.outer_total(a, b, ["country"], "capacity").withColumn("capacity", F.round("capacity", 2))
 
 
+@query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS amount FROM orders GROUP BY 1), b AS (SELECT CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY 1)
+    SELECT coalesce(a.day, b.day) AS day, round(coalesce(a.amount, 0) + coalesce(b.amount, 0), 2) AS amount FROM a FULL JOIN b ON a.day = b.day""")
+def outer_merge_total_all(spark, sf_dir):
+    """JN-3: amounts ordered and shipped by day, all rows of both tables; some days have only one of them."""
+    a = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("amount"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum("l_extendedprice"), 2).alias("amount"))
+    return lookup.outer_total(a, b, ["day"], "amount").withColumn("amount", F.round("amount", 2))
+
+
 @query("""SELECT s_nationkey, year, make_date(year, CAST(m.m AS BIGINT), 1) AS month, capacity FROM (SELECT s_nationkey, 2000 + s_suppkey % 5 AS year, s_acctbal AS capacity FROM supplier), generate_series(1, 12) m(m)""")
 def year_to_months(spark, sf_dir):
     """JN-13."""
