@@ -29,39 +29,62 @@ def words(text):
     return [*re.findall(rb"[^\x20\x09-\x0d]+", lowered), b"</s>"]
 
 
-def test_language_model_against_brute_force(spark):
-    model = lm.fit(docs(spark).where("doc_id is null or doc_id <> 3"))
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_against_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(lm, "FLUSH_TOKENS", 7000)  # the long text is cut
+    model = lm.fit(docs(spark).where("doc_id is null or doc_id <> 3"), order)
     texts = [words(r[1]) for r in rows() if r[0] != 3]
-    count, pairs = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip([b"<s>", *t], t, strict=False))
-    n, v, total = sum(count.values()), len(count), Counter()
-    before, kinds = Counter(w for _, w in pairs), defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in pairs.items():
-        total[a] += c
-        kinds[a][min(c, 3) - 1] += 1
-    assert (model.train_tokens, model.vocabulary, model.pairs) == (n, v, len(pairs))
-    assert model.word_discounts == lm.discounts(np.array([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)]))
-    less = lambda d, c: d[min(c, 3) - 1] if c else 0
-    spare = sum(less(model.word_discounts, c) for c in before.values()) / len(pairs)
-
-    def p(a, w):
-        low = max(before[w] - less(model.word_discounts, before[w]), 0) / len(pairs) + spare / (v + 1)
-        if not total[a]:
-            return low
-        c = pairs[a, w]
-        return (max(c - less(model.pair_discounts, c), 0) + sum(d * k for d, k in zip(model.pair_discounts, kinds[a], strict=True)) * low) / total[a]
-
-    assert sum(p(b"the", w) for w in count) + p(b"the", b"unseen") == pytest.approx(1)
+    grams = lambda t, k: zip(*[([b"<s>"] * (k - 1) + t)[j:] for j in range(k)], strict=False)
+    count = {order: Counter(g for t in texts for g in grams(t, order))}
+    for k in range(order - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in count[k + 1])
+    word = Counter(w for t in texts for w in t)
+    n, v = sum(word.values()), len(word)
+    assert (model.train_tokens, model.vocabulary, model.pairs) == (n, v, sum(count[1].values()))
+    for k in count:
+        assert model.discounts[k - 1] == lm.discounts(np.array([sum(c == i for c in count[k].values()) for i in (1, 2, 3, 4)]))
+    less = lambda k, c: model.discounts[k - 1][min(c, 3) - 1] if c else 0
+    after = {k: defaultdict(list) for k in count}
+    for k in count:
+        for g, c in count[k].items():
+            after[k][g[:-1]].append(c)
+
+    def p(gram):
+        k = len(gram)
+        if k == 1:
+            every = sum(count[1].values())
+            return max(count[1][gram] - less(1, count[1][gram]), 0) / every + sum(less(1, c) for c in count[1].values()) / every / (v + 1)
+        seen = after[k].get(gram[:-1])
+        if not seen:
+            return p(gram[1:])
+        return (max(count[k][gram] - less(k, count[k][gram]), 0) + sum(less(k, c) for c in seen) * p(gram[1:])) / sum(seen)
+
+    for context in ((b"the",), (b"<s>", b"the"), (b"over", b"the"), (b"no", b"such")):
+        if len(context) < order:
+            assert sum(p((*context, w)) for w in word) + p((*context, b"unseen")) == pytest.approx(1)
     found = {(str(r.doc_id), r.n_tokens): r for r in lm.score(docs(spark), model).collect()}
     for r in rows():
         t = words(r[1])
         got = found[str(r[0]), len(t)]
-        assert got.n_known == sum(count[w] > 0 for w in t) and got.train_tokens == n
-        assert got.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t))
-        assert got.score == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip([b"<s>", *t], t, strict=False)))
-    nothing = lm.fit(empty(spark))
+        assert got.n_known == sum(word[w] > 0 for w in t) and got.train_tokens == n
+        assert got.base_score == pytest.approx(sum(math.log10((word[w] + 1) / (n + v + 1)) for w in t))
+        known: dict = {}
+        assert got.score == pytest.approx(sum(known.get(g) or known.setdefault(g, math.log10(p(g))) for g in grams(t, order)))
+    nothing = lm.fit(empty(spark), order)
     assert nothing.train_tokens == 0 and lm.score(docs(spark), nothing).count() == len(rows()) and lm.score(empty(spark), model).count() == 0
 
 
+def test_tables_hold_any_key_and_count(tmp_path):
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 2**48, 5000, dtype=np.uint64))
+    for wide, k in ((False, keys), (True, lm._mix(keys))):
+        fields = [rng.integers(0, 3, len(k)), np.where(rng.random(len(k)) < 0.02, rng.integers(0, 2**40, len(k)), 1)]
+        order = rng.permutation(len(k))
+        lm.write_table(str(tmp_path / "t"), k[order], [f[order] for f in fields], wide)
+        table = lm.Table(str(tmp_path / "t"))
+        assert (table.look_up(k) == np.stack(fields, 1)).all() and not table.look_up(k ^ np.uint64(1))[~np.isin(k ^ np.uint64(1), k)].any()
+
+
 def labelled(spark, n=300):
     rng = np.random.default_rng(4)
     stock = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 9))) for _ in range(400)]

@@ -1,21 +1,26 @@
-"""Interpolated modified Kneser-Ney language model: counted in Spark, stored as sorted hash arrays,
-memory-mapped by the workers that score texts.
-
-The model is of order 2: words after one word of context. Counting has two shuffles.
-
-1. Each task counts the words and word pairs of its texts and sends one packed blob for each shard.
-   A pair's shard depends on its first word and on a salt of its second, so a frequent first word
-   is spread over several shards.
-2. Each pair shard sums its pairs, writes them as a sorted array, and sends for each first word its
-   totals and for each second word the number of distinct first words.
-3. Each word shard sums those and the word counts and writes a sorted array.
-
-The driver sees a row of a few numbers for each shard. Files are written under another name and
-renamed, so a task that runs again replaces them whole.
+"""Interpolated modified Kneser-Ney language model of any order from 2 on: counted in Spark, stored as
+sorted hash arrays, memory-mapped by the workers that score texts.
+
+Counting is a chain of shuffles of packed blobs, one for each length of n-grams.
+
+1. Each task counts the n-grams of its texts, up to FLUSH_TOKENS at once, and sends a blob to each
+   shard that gets any: the words once, the n-grams as small numbers of them. The shard of the longest
+   n-grams follows from their inner words and from salts of the first and last one, so n-grams that
+   share much meet, and none of their parts, however frequent, is in one shard alone.
+2. Each shard sums its n-grams, writes them as a sorted table, and sends what it knows of the next
+   shorter ones: of those that end an n-gram, the distinct words before them; of those that begin one,
+   the totals of what follows. Shorter n-grams are dealt by a hash of the whole of them.
+3. Word shards sum the same of words, join them with the words' counts and write a sorted table.
+
+A blob is sent only if it isn't empty, so their number grows with the n-grams. A word within an n-gram
+is known by 48 bits of its hash (two of a billion words share one with a chance of 4e-6 each), an
+n-gram by 48 bits within its shard; a word's own count goes by 64 bits. The driver sees sums of a few
+numbers. Files are written under another name and renamed, so a task that runs again replaces them.
 """
 
 from __future__ import annotations
 
+import glob
 import mmap
 import os
 import sys
@@ -32,10 +37,14 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import mounted, shared_dir, slices, text_buffer, texts_of, word_spans
 
 #: Text bytes for each shard of the model.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 #: Tokens that a counting task holds before it packs and sends them.
-FLUSH_TOKENS = 3_000_000
-#: Shards that a worker keeps mapped.
+FLUSH_TOKENS = 2_000_000
+#: Text bytes that are scored at once.
+SCORE_BYTES = 4 << 20
+#: Partitions of the shuffles at most; a partition holds several shards beyond that.
+PARTITIONS = 50_000
+#: Tables that a worker keeps mapped.
 MAPPED = 15_000 if sys.version_info >= (3, 13) else 200
 _U = np.uint64
 _ODD, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
@@ -44,14 +53,12 @@ _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BYTE[65:91] = _BYTE[97:123]
 
-#: Of a word: its count, the distinct words before it, and as a context: tokens after it, distinct ones seen once, twice, more often.
-WORD = np.dtype([("count", "<u8"), ("total", "<u8"), ("before", "<u4"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4")])
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+        return x ^ (x >> _U(31))
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -82,122 +89,192 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return out, words + 1
 
 
-def contexts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The token before each token; at a text's start the begin mark."""
-    before = np.empty_like(hashes)
-    if len(hashes):
-        before[1:] = hashes[:-1]
-        before[np.concatenate([[0], np.cumsum(counts)[:-1]])] = BEGIN
-    return before
-
-
-def _short(h: np.ndarray) -> np.ndarray:
-    """48 bits of a word's hash, as pairs carry them."""
+def short(h: np.ndarray) -> np.ndarray:
+    """48 bits of a word's hash, as n-grams carry them."""
     return h >> _U(16)
 
 
-def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mix(_mix(first + _STEP) + second * _ODD)
+def grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each token its n-gram's words, first one first; before a text's start there are begin marks."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = [words]
+    for k in range(1, order):
+        before = np.full(len(words), short(BEGIN), np.uint64)
+        before[k:] = np.where(place[k:] >= k, words[:-k] if k else words, before[k:])
+        out.append(before)
+    return out[::-1]
 
 
-def _pair_shard(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
-    salts = _U(max(16, shards // 8))
+def gram_key(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each n-gram."""
     with np.errstate(over="ignore"):
-        return (_mix(first * _ODD + _mix(second) % salts) % _U(shards)).astype(np.int64)
+        key = np.full(len(columns[0]), _U(len(columns)))
+        for column in columns:
+            key = _mix(key * _ODD + column + _STEP)
+    return key
 
 
-def _word_shard(word: np.ndarray, shards: int) -> np.ndarray:
-    return (word >> _U(20)).astype(np.int64) * shards >> 28  # by the top bits of 48, so shards are ranges
+def _whole_shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (_mix(key ^ _STEP) % _U(shards)).astype(np.int64)
 
 
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _top_shard(columns: list[np.ndarray], key: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of the longest n-grams; with a share of all n-grams for a word in the middle, an eighth of the shards at least get it."""
+    if len(columns) < 3:
+        return _whole_shard(key, shards)
+    salts = _U(max(4, shards // 8))
+    with np.errstate(over="ignore"):
+        salted = gram_key(columns[1:-1]) + (_mix(columns[0]) % salts) * _ODD + (_mix(columns[-1] + _STEP) % salts) * _STEP
+    return _whole_shard(salted, shards)
 
 
-def _unsix(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _word_shard(word: np.ndarray, shards: int) -> np.ndarray:
+    return (word >> _U(20)).astype(np.int64) * shards >> 28  # by the top bits of 48, so shards are ranges
 
 
-def _pack(*parts: bytes) -> bytes:
-    head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+def _pack(*parts: np.ndarray) -> bytes:
+    """Arrays, each with its type and length, compressed."""
+    head = ";".join(f"{p.dtype.str},{len(p)}" for p in parts).encode()
+    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(p).tobytes() for p in parts))
 
 
-def _unpack(blob: bytes) -> list[bytes]:
+def _unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    sizes, at, out = np.frombuffer(raw, "<u4", n, 4), 4 + 4 * n, []
-    for size in sizes.tolist():
-        out.append(raw[at : at + size])
-        at += size
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = []
+    for kind, n in (p.split(",") for p in raw[4:at].decode().split(";")):
+        out.append(np.frombuffer(raw, kind, int(n), at))
+        at += out[-1].nbytes
     return out
 
 
-def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return (keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values), order[first])
-
-
-def _pair_blobs(hashes: list[np.ndarray], before: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
-    all_words, first = np.concatenate(hashes), _short(np.concatenate(before))
-    word, count = np.unique(all_words, return_counts=True)
-    edges = np.searchsorted(_word_shard(_short(word), shards), np.arange(shards + 1))
-    for k in range(shards):
-        if edges[k] < edges[k + 1]:
-            part = slice(edges[k], edges[k + 1])
-            yield shards + k, _pack(word[part].tobytes(), count[part].astype("<u4").tobytes())
-    second = _short(all_words)
-    order = np.lexsort((second, first, shard := _pair_shard(first, second, shards)))
-    first, second, shard = first[order], second[order], shard[order]
-    new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
-    count = np.diff(np.append(new, len(first)))
-    first, second, shard = first[new], second[new], shard[new]
-    edges = np.searchsorted(shard, np.arange(shards + 1))
-    for k in range(shards):
-        if edges[k] < edges[k + 1]:
-            part = slice(edges[k], edges[k + 1])
-            run = np.flatnonzero(np.concatenate([[True], first[part][1:] != first[part][:-1]]))
-            yield k, _pack(_six(first[part][run]), np.diff(np.append(run, edges[k + 1] - edges[k])).astype("<u4").tobytes(), _six(second[part]), count[part].astype("<u4").tobytes())
-
-
-def _blob_batch(rows: list[tuple[int, bytes]], names: tuple[str, str] = ("shard", "blob")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=list(names))
-
-
-def _write(path: str, *arrays: np.ndarray) -> None:
-    """A file for each array, written under another name and renamed into place."""
-    for i, array in enumerate(arrays):
-        temporary = f"{path}.{i}.{uuid.uuid4().hex}"
-        array.tofile(temporary)
-        os.replace(temporary, f"{path}.{i}")
-
-
-def _mapped(path: str, kind: np.dtype) -> np.ndarray:
-    """A file's array, mapped; where Python can, without a file descriptor that stays open."""
-    with open(path, "rb") as file:
-        try:
-            pages = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
-        except TypeError:
-            pages = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-    return np.frombuffer(pages, kind)
+def _planes(ids: np.ndarray, most: int) -> list[np.ndarray]:
+    """The two low bytes of small numbers apart from one another, and the high part if there is any."""
+    return [(ids & 255).astype(np.uint8), (ids >> 8 & 255).astype(np.uint8), (ids >> 16).astype("<u4") if most >> 16 else np.zeros(0, "<u4")]
+
+
+def _whole(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
+    out = low.astype(np.int64) | middle.astype(np.int64) << 8
+    return out | high.astype(np.int64) << 16 if len(high) else out
+
+
+Section = tuple[list[np.ndarray], list[np.ndarray]]
+
+
+def encode(words: np.ndarray, sections: list[Section]) -> bytes:
+    """Pack rows of n-grams: (columns of numbers of words, fields) for each section; words are sent once, as six bytes."""
+    every = np.concatenate([c for columns, _ in sections for c in columns])
+    if len(words) < 8 * len(every):
+        there = np.zeros(len(words), bool)
+        there[every] = True
+        used, number = np.flatnonzero(there), np.cumsum(there) - 1
+        local = number[every]
+    else:
+        used, local = np.unique(every, return_inverse=True)
+    parts, at = [words[used].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].ravel()], 0
+    for columns, fields in sections:
+        n = len(columns[0])
+        for _ in columns:
+            parts += _planes(local[at : at + n], len(used))
+            at += n
+        for f in fields:
+            parts += [np.minimum(f, 255).astype(np.uint8), f[f >= 255].astype("<i8")]
+    return _pack(np.array([len(sections), *(x for c, f in sections for x in (len(c), len(f)))], "<i4"), *parts)
+
+
+def decode(blob: bytes) -> tuple[np.ndarray, list[Section]]:
+    head, raw, *rest = _unpack(blob)
+    words = np.zeros((len(raw) // 6, 8), np.uint8)
+    words[:, :6] = raw.reshape(-1, 6)
+    parts, out = iter(rest), []
+    for k in range(int(head[0])):
+        columns = [_whole(next(parts), next(parts), next(parts)) for _ in range(head[1 + 2 * k])]
+        fields = []
+        for _ in range(head[2 + 2 * k]):
+            f, more = next(parts).astype(np.int64), next(parts)
+            f[f == 255] = more
+            fields.append(f)
+        out.append((columns, fields))
+    return words.view("<u8").ravel(), out
+
+
+def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of small numbers: the first row of each distinct one, sorted by all columns; each row's number among them; the first row's number by all but the last column."""
+    key, first = columns[0], None
+    prefix = np.zeros(len(key), np.int64)
+    for i, column in enumerate(columns[1:] or [np.zeros(len(key), np.int64)]):
+        prefix = np.unique(key, return_inverse=True)[1] if i or len(columns) == 1 else key
+        key = prefix << 32 | column
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return first, inverse, prefix[first]
+
+
+def _sums(inverse: np.ndarray, n: int, fields: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.bincount(inverse, f, n).astype(np.int64) for f in fields]
+
+
+def _blobs(words: np.ndarray, sections: list[Section], shard_of: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
+    """A blob for each shard that gets a row of any section."""
+    kind = np.uint16 if shards < 1 << 16 else np.int64
+    orders = [np.argsort(s.astype(kind), kind="stable") for s in shard_of]
+    ranked = [s[o] for s, o in zip(shard_of, orders, strict=True)]
+    for k in np.unique(np.concatenate(ranked)).tolist():
+        parts = []
+        for (columns, fields), order, r in zip(sections, orders, ranked, strict=True):
+            rows = order[np.searchsorted(r, k) : np.searchsorted(r, k, side="right")]
+            parts.append(([c[rows] for c in columns], [f[rows] for f in fields]))
+        yield k, encode(words, parts)
+
+
+def _blob_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "blob"])
+
+
+def _counted(hashes: np.ndarray, columns: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
+    """Blobs of n-grams, and of words under the shard numbers from `shards` on."""
+    word, number, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    edges = np.searchsorted(_word_shard(short(word), shards), np.arange(shards + 1))
+    for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        part = slice(edges[k], edges[k + 1])
+        yield shards + k, _pack(word[part], count[part].astype("<i8"))
+    rank = np.empty(len(word), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(1, len(word) + 1)  # frequent words have small numbers
+    names = np.empty(len(word) + 1, np.uint64)
+    names[0], names[rank] = short(BEGIN), short(word)
+    last = rank[number]
+    ids = []
+    for k in range(len(columns) - 1, 0, -1):
+        wanted, before = columns[len(columns) - 1 - k], np.zeros(len(last), np.int64)  # the begin mark is number 0
+        before[k:] = last[:-k]
+        before[wanted == names[0]] = 0
+        cut = np.flatnonzero(names[before] != wanted)  # where a text was cut, the words before are those of an earlier piece
+        more, at = np.unique(wanted[cut], return_inverse=True)
+        before[cut] = len(names) + at
+        names = np.concatenate([names, more])
+        ids.append(before)
+    ids.append(last)
+    inner = [*ids[1:-1], ids[0], ids[-1]]
+    first, _, _ = (found := _distinct(inner))
+    count = np.bincount(found[1], minlength=len(first))
+    ids = [c[first] for c in ids]
+    shorts = [names[c] for c in ids]
+    yield from _blobs(names, [(ids, [count])], [_top_shard(shorts, gram_key(shorts), shards)], shards)
 
 
 @dataclass(frozen=True)
 class NgramModel:
-    """Where the sorted arrays are, and the totals and discounts by count class (1, 2, 3 or more)."""
+    """Where the tables are, and for each length of n-grams the discounts by count class (1, 2, 3 or more).
+
+    For words the classes are of the distinct words before them.
+    """
 
     path: str
     shards: int
+    order: int
     train_tokens: int
     vocabulary: int
     pairs: int
-    word_discounts: tuple[float, float, float]
-    pair_discounts: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]
     word_classes: tuple[int, int, int]
 
 
@@ -210,157 +287,284 @@ def discounts(n: np.ndarray) -> tuple[float, float, float]:
 
 
 def _classes(count: np.ndarray) -> np.ndarray:
-    return np.array([(count == k).sum() for k in (1, 2, 3, 4)] + [(count >= 3).sum()], np.int64)
+    return np.array([(count == k).sum() for k in (1, 2, 3, 4)] + [(count >= 3).sum(), len(count), count.sum()], np.int64)
+
+
+def write_table(path: str, keys: np.ndarray, fields: list[np.ndarray], wide: bool = False) -> None:
+    """A sorted table in one file: an index by the keys' top 16 bits, the rest of the keys (48 bits: four bytes,
+    64 bits: whole), one byte for each row that names one of the 255 commonest combinations of its fields,
+    and the other rows in full."""
+    order = np.argsort(keys)
+    keys, fields = keys[order], [f[order] for f in fields]
+    n, shift = len(keys), _U(48 if wide else 32)
+    index = np.searchsorted(keys >> shift, np.arange(65537, dtype=np.uint64)).astype("<u4")
+    small = np.ones(n, bool)
+    mark = np.zeros(n, np.uint64)
+    for i, f in enumerate(fields):
+        small &= f < 256
+        mark |= (f & 255).astype(np.uint64) << _U(8 * i)
+    value, count = np.unique(mark[small], return_counts=True)
+    value = np.sort(value[np.argsort(-count, kind="stable")[:255]])
+    code = np.full(n, 255, np.uint8)
+    if len(value):
+        at = np.minimum(np.searchsorted(value, mark), len(value) - 1)
+        code[small & (value[at] == mark)] = at[small & (value[at] == mark)]
+    rest = np.flatnonzero(code == 255)
+    full = np.stack([f[rest] for f in fields], axis=1)
+    full = full.astype("<u4") if not len(rest) or full.max() < 1 << 32 else full.astype("<i8")
+    parts = [index, keys.astype("<u8") if wide else (keys & _U(0xFFFFFFFF)).astype("<u4"), value.astype("<u8"), rest.astype("<u4"), full.ravel(), code]
+    head = np.array([n, len(fields), len(value), len(rest), wide, full.itemsize, 0, 0], "<u8")
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    with open(temporary, "wb") as file:
+        for part in (head, *parts):
+            file.write(part.tobytes())
+            file.write(b"\0" * (-part.nbytes % 8))
+    os.replace(temporary, path)
+
+
+class Table:
+    """A mapped table; where Python can, without a file descriptor that stays open."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as file:
+            try:
+                pages = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+            except TypeError:
+                pages = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        n, self.fields, codes, rest, wide, size, _, _ = np.frombuffer(pages, "<u8", 8).tolist()
+        self.shift, at, out = _U(48 if wide else 32), 64, []
+        for kind, length in (("<u4", 65537), ("<u8" if wide else "<u4", n), ("<u8", codes), ("<u4", rest), ("<u4" if size == 4 else "<i8", rest * self.fields), ("u1", n)):
+            out.append(np.frombuffer(pages, kind, length, at))
+            at += -(-out[-1].nbytes // 8) * 8
+        self.index, self.low, value, self.rest, full, self.code = out
+        self.full = full.reshape(-1, self.fields)
+        self.value = np.zeros((256, self.fields), np.int64)
+        for i in range(self.fields):
+            self.value[: len(value), i] = value >> _U(8 * i) & _U(255)
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The fields of each key, zeros where it is absent."""
+        out = np.zeros((len(keys), self.fields), np.int64)
+        if not len(self.low):
+            return out
+        bucket, want = (keys >> self.shift).astype(np.int64), keys.astype(self.low.dtype)
+        low, high = self.index[bucket].astype(np.int64), self.index[bucket + 1].astype(np.int64)
+        end, steps = high, int((high - low).max()).bit_length()
+        for _ in range(steps):  # a binary search of all keys at once
+            middle = (low + high) >> 1
+            less = (self.low[np.minimum(middle, len(self.low) - 1)] < want) & (middle < high)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        at = np.minimum(low, len(self.low) - 1)
+        hit = np.flatnonzero((low < end) & (self.low[at] == want))
+        at = at[hit]
+        code = self.code[at]
+        found = self.value[code]
+        long = np.flatnonzero(code == 255)
+        if len(long):
+            found[long] = self.full[np.searchsorted(self.rest, at[long])]
+        out[hit] = found
+        return out
+
+
+def _rows(out: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([_blob_batch(out)])
+
+
+def _gather(blobs: list[bytes]) -> tuple[np.ndarray, list[Section]]:
+    """The sections of several blobs as one, with common numbers of their words."""
+    decoded = [decode(b) for b in blobs]
+    words, number = np.unique(np.concatenate([w for w, _ in decoded]), return_inverse=True)
+    first = np.cumsum([0, *(len(w) for w, _ in decoded)])
+    out = []
+    for k in range(len(decoded[0][1])):
+        parts = [(first[i], sections[k]) for i, (_, sections) in enumerate(decoded)]
+        columns = [np.concatenate([number[at + s[0][j]] for at, s in parts]) for j in range(len(parts[0][1][0]))]
+        out.append((columns, [np.concatenate([s[1][j] for _, s in parts]) for j in range(len(parts[0][1][1]))]))
+    return words, out
+
 
+def _shorter(ids: list[np.ndarray], count: np.ndarray, prefix: np.ndarray) -> list[Section]:
+    """From distinct n-grams with sorted prefixes: their endings with the number of words before, their beginnings with totals and classes."""
+    ends = [c for c in ids[1:]]
+    first, inverse, _ = _distinct(ends)
+    before = np.bincount(inverse, minlength=len(first))
+    lead = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+    sums = [np.add.reduceat(x.astype(np.int64), lead) for x in (count, count == 1, count == 2, count > 2)]
+    return [([c[first] for c in ends], [before]), ([c[lead] for c in ids[:-1]], sums)]
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> NgramModel:
+
+def fit(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> NgramModel:
     """Count all texts of docs. A null text is the empty one, which has only an end token."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
     source = texts_of(docs, id_col, text_col).select("text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 16
-    while shards * SHARD_BYTES < size and shards < 1 << 20:
-        shards *= 2
+    shards = max(8, -(-size // SHARD_BYTES))
     path = mounted(f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}")
     os.makedirs(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, before, held = [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            hashes, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            yield _blob_batch(list(_counted(hashes, columns, shards)))
+
         for batch in batches:
             for part in slices(batch):
                 h, n = tokens(*text_buffer(part.column("text")))
-                hashes.append(h)
-                before.append(contexts(h, n))
-                held += len(h)
-                if held >= FLUSH_TOKENS:
-                    yield _blob_batch(list(_pair_blobs(hashes, before, shards)))
-                    hashes, before, held = [], [], 0
+                columns = grams(short(h), n, order)
+                for s in range(0, len(h), FLUSH_TOKENS):
+                    held.append(tuple(c[s : s + FLUSH_TOKENS] for c in (h, *columns)))
+                    if sum(len(x[0]) for x in held) >= FLUSH_TOKENS:
+                        yield from flush()
         if held:
-            yield _blob_batch(list(_pair_blobs(hashes, before, shards)))
-
-    def sum_pairs(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        blobs = [_unpack(b.as_py()) for b in table.column("blob")]
-        out = []
-        if shard >= shards:
-            word, total, _ = _sum_by(np.concatenate([np.frombuffer(b[0], np.uint64) for b in blobs]), np.concatenate([np.frombuffer(b[1], "<u4") for b in blobs]).astype(np.int64))
-            out.append((shard - shards, _pack(b"w", word.tobytes(), total.tobytes())))
-        else:
-            first = np.concatenate([np.repeat(_unsix(b[0]), np.frombuffer(b[1], "<u4")) for b in blobs])
-            second = np.concatenate([_unsix(b[2]) for b in blobs])
-            key, total, at = _sum_by(_pair_key(first, second), np.concatenate([np.frombuffer(b[3], "<u4") for b in blobs]).astype(np.int64))
-            first, second = first[at], second[at]
-            _write(f"{path}/pairs-{shard:06d}", key, np.minimum(total, 2**32 - 1).astype("<u4"))
-            ctx, tot, one, two, more, _ = _sum_by(first, total, (total == 1).astype(np.int64), (total == 2).astype(np.int64), (total > 2).astype(np.int64))
-            word, before, _ = _sum_by(second, np.ones(len(second), np.int64))
-            ctx_edges = np.searchsorted(_word_shard(ctx, shards), np.arange(shards + 1))
-            word_edges = np.searchsorted(_word_shard(word, shards), np.arange(shards + 1))
-            small = lambda x: np.minimum(x, 2**32 - 1).astype("<u4").tobytes()
-            for k in range(shards):
-                c, w = slice(ctx_edges[k], ctx_edges[k + 1]), slice(word_edges[k], word_edges[k + 1])
-                out.append((k, _pack(b"p", _six(ctx[c]), tot[c].tobytes(), small(one[c]), small(two[c]), small(more[c]), _six(word[w]), small(before[w]))))
-            out.append((-1, _pack(b"s", _classes(total).tobytes(), np.array([len(key), 0, 0], np.int64).tobytes())))
-        return pa.table({"shard": pa.array([k for k, _ in out], pa.int64()), "blob": pa.array([b for _, b in out], pa.binary())})
+            yield from flush()
+
+    def told(level: int, figures: np.ndarray, shard: int) -> tuple[int, bytes]:
+        return -1 - shard % 64, _pack(np.array([level], "<i8"), figures)
+
+    def summed(level: int):
+        def run(table: pa.Table) -> pa.Table:
+            shard = table.column("shard")[0].as_py()
+            blobs = [b.as_py() for b in table.column("blob")]
+            if shard < 0:
+                sums: dict[int, np.ndarray] = {}
+                for at, figures in map(_unpack, blobs):
+                    sums[int(at[0])] = sums.get(int(at[0]), 0) + figures
+                return _rows([told(k, v, -1 - shard) for k, v in sums.items()])
+            if shard >= shards:
+                if level == order:
+                    parts = list(map(_unpack, blobs))
+                    word, inverse = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+                    total = np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.uint64)
+                    temporary = f"{path}/counts-{shard - shards}.{uuid.uuid4().hex}"
+                    np.concatenate([word, total]).tofile(temporary)
+                    os.replace(temporary, f"{path}/counts-{shard - shards}")
+                return _rows([(shard - shards if level == 2 else shard, b"")])
+            words, sections = _gather([b for b in blobs if b])
+            ids, fields = sections[0]
+            if level < order:  # what begins longer n-grams may not end any, and the other way round
+                other, stats = sections[1]
+                zeros = lambda n: np.zeros(n, np.int64)
+                n, m = len(ids[0]), len(other[0])
+                ids = [np.concatenate(p) for p in zip(ids, other, strict=True)]
+                fields = [np.concatenate([fields[0], zeros(m)]), *(np.concatenate([zeros(n), f]) for f in stats)]
+            first, inverse, prefix = _distinct(ids)
+            ids, fields = [c[first] for c in ids], _sums(inverse, len(first), fields)
+            names = [words[c] for c in ids]
+            write_table(f"{path}/{level}-{shard}", short(gram_key(names)), fields)
+            seen = fields[0] > 0
+            out = [told(level, _classes(fields[0][seen]), shard)]
+            if seen.any():
+                ids = [c[seen] for c in ids]
+                below = _shorter(ids, fields[0][seen], prefix[seen])
+                if level > 2:
+                    keys = [gram_key([words[c] for c in columns]) for columns, _ in below]
+                    out += _blobs(words, below, [_whole_shard(k, shards) for k in keys], shards)
+                else:
+                    out += _blobs(words, below, [_word_shard(words[columns[0]], shards) for columns, _ in below], shards)
+            return _rows(out)
+
+        return run
 
     def sum_words(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        blobs = [_unpack(b.as_py()) for b in table.column("blob")]
-        if shard < 0:
-            pair, figures = sum(np.frombuffer(b[1], np.int64) for b in blobs), sum(np.frombuffer(b[2], np.int64) for b in blobs)
-            return pa.table({"kind": pa.array(["pairs"]), "classes": pa.array([pair.tolist()], pa.list_(pa.int64())), "figures": pa.array([figures.tolist()], pa.list_(pa.int64()))})
-        whole = [b for b in blobs if b[0] == b"w"]
-        word, count = (np.concatenate([np.frombuffer(b[i], t) for b in whole] or [np.zeros(0, t)]) for i, t in ((1, np.uint64), (2, "<i8")))
-        order = np.argsort(word)
-        word, count = word[order], count[order]
-        short = _short(word)
-        begin = _short(np.array([BEGIN]))
-        extra = begin if shard == _word_shard(begin, shards)[0] else begin[:0]
-        short_all = np.append(short, extra)
-        order = np.argsort(short_all)
-        ranked = short_all[order]
-        rows = np.zeros(len(short_all), WORD)
-        rows["count"][: len(word)] = count
-        for b in blobs:
-            if b[0] == b"p":
-                at = order[np.searchsorted(ranked, _unsix(b[1]))]
-                for name, i in (("total", 2), ("one", 3), ("two", 4), ("more", 5)):
-                    rows[name][at] += np.frombuffer(b[i], "<u8" if name == "total" else "<u4")
-                at = order[np.searchsorted(ranked, _unsix(b[6]))]
-                rows["before"][at] += np.frombuffer(b[7], "<u4")
-        full = np.append(word, np.full(len(extra), BEGIN, np.uint64))
-        order = np.argsort(full)
-        _write(f"{path}/words-{shard:06d}", full[order], rows[order])
-        return pa.table({"kind": pa.array(["words"]), "classes": pa.array([_classes(rows["before"].astype(np.int64)).tolist()], pa.list_(pa.int64())), "figures": pa.array([[int(count.sum()), len(word), int(rows["before"].astype(np.int64).sum())]], pa.list_(pa.int64()))})
-
-    blob = "shard bigint, blob binary"
-    shuffled = source.mapInArrow(count, blob).groupBy("shard").applyInArrow(sum_pairs, blob)
-    told = shuffled.groupBy("shard").applyInArrow(sum_words, "kind string, classes array<bigint>, figures array<bigint>")
-    sums = {r.kind: r for r in told.groupBy("kind").agg(F.array(*(F.sum(F.col("classes")[i]) for i in range(5))).alias("classes"), F.array(*(F.sum(F.col("figures")[i]) for i in range(3))).alias("figures")).collect()}
+        blobs = [b.as_py() for b in table.column("blob")]
+        if shard >= 0:
+            word, total = np.fromfile(f"{path}/counts-{shard}", np.uint64).reshape(2, -1) if os.path.exists(f"{path}/counts-{shard}") else np.zeros((2, 0), np.uint64)
+            extra = np.array([BEGIN] if shard == _word_shard(short(np.array([BEGIN])), shards)[0] else [], np.uint64)
+            word, total = np.append(word, extra), np.append(total, extra * _U(0)).view(np.int64)
+            order_ = np.argsort(short(word), kind="stable")
+            ranked = short(word)[order_]
+            fields = [total, *(np.zeros(len(word), np.int64) for _ in range(5))]
+            there = [b for b in blobs if b]
+            if there:
+                names, sections = _gather(there)
+                for (columns, values), places in zip(sections, ((1,), (2, 3, 4, 5)), strict=True):
+                    at = order_[np.searchsorted(ranked, names[columns[0]])]
+                    for f, place in zip(values, places, strict=True):
+                        np.add.at(fields[place], at, f)
+            write_table(f"{path}/1-{shard}", _mix(word), fields, wide=True)
+            seen = _classes(fields[1][fields[1] > 0])
+            blobs = [told(1, seen, shard)[1], told(0, np.array([total.sum(), (total > 0).sum(), 0, 0, 0, 0, 0], np.int64), shard)[1]]
+        figures = [_unpack(b) for b in blobs]
+        return pa.table({"level": pa.array([int(at[0]) for at, _ in figures], pa.int64()), "figures": pa.array([f.tolist() for _, f in figures], pa.list_(pa.int64()))})
+
+    parts = int(min(PARTITIONS, shards))
+    blobs = source.mapInArrow(count, "shard bigint, blob binary")
+    for level in range(order, 1, -1):
+        blobs = blobs.repartition(parts, "shard").groupBy("shard").applyInArrow(summed(level), "shard bigint, blob binary")
+    figures = blobs.repartition(parts, "shard").groupBy("shard").applyInArrow(sum_words, "level bigint, figures array<bigint>")
+    sums = {r.level: [r[f"f{i}"] for i in range(7)] for r in figures.groupBy("level").agg(*(F.sum(F.col("figures")[i]).alias(f"f{i}") for i in range(7))).collect()}
+    for temporary in glob.glob(f"{path}/counts-*"):
+        os.remove(temporary)
     if not sums:
-        return NgramModel(path, shards, 0, 0, 0, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), (0, 0, 0))
-    words, pairs = sums["words"], sums["pairs"]
+        return NgramModel(path, shards, order, 0, 0, 0, ((0.5, 1.0, 1.5),) * order, (0, 0, 0))
     return NgramModel(
-        path, shards, words.figures[0], words.figures[1], pairs.figures[0], discounts(np.array(words.classes[:4])), discounts(np.array(pairs.classes[:4])),
-        (words.classes[0], words.classes[1], words.classes[4]),
+        path, shards, order, sums[0][0], sums[0][1], sums[1][6], tuple(discounts(np.array(sums[k][:4])) for k in range(1, order + 1)),
+        (sums[1][0], sums[1][1], sums[1][4]),
     )
 
 
 class Reader:
-    """The model's arrays, mapped into memory on first use."""
+    """The model's tables, mapped into memory on first use."""
 
     def __init__(self, model: NgramModel):
         self.model, self.open = model, {}
+        begin = short(np.array([BEGIN]))
+        self.begin = {k: self.look_up(k, self.shard(k, [begin] * k), short(gram_key([begin] * k))) for k in range(2, model.order)}
+        self.begin[1] = self.look_up(1, _word_shard(begin, model.shards), _mix(np.array([BEGIN])))
+
+    def shard(self, level: int, columns: list[np.ndarray]) -> np.ndarray:
+        key = gram_key(columns)
+        return _top_shard(columns, key, self.model.shards) if level == self.model.order else _whole_shard(key, self.model.shards)
 
-    def _arrays(self, kind: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        if (kind, shard) not in self.open:
-            base = f"{self.model.path}/{kind}-{shard:06d}"
-            there = os.path.exists(f"{base}.0") and os.path.getsize(f"{base}.0")
-            value = WORD if kind == "words" else np.dtype("<u4")
+    def table(self, level: int, shard: int) -> Table | None:
+        if (level, shard) not in self.open:
+            path = f"{self.model.path}/{level}-{shard}"
             if len(self.open) >= MAPPED:
                 self.open.clear()
-            self.open[kind, shard] = (_mapped(f"{base}.0", np.dtype(np.uint64)), _mapped(f"{base}.1", value)) if there else (np.zeros(0, np.uint64), np.zeros(0, value))
-        return self.open[kind, shard]
-
-    def look_up(self, kind: str, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The value of each distinct key, zero where it is absent; shard and keys sorted by shard, then key."""
-        out = np.zeros(len(keys), WORD if kind == "words" else np.dtype("<u4"))
-        edges = np.searchsorted(shard, np.arange(self.model.shards + 1))
-        for k in np.flatnonzero(edges[1:] > edges[:-1]):
-            part = slice(edges[k], edges[k + 1])
-            there, values = self._arrays(kind, int(k))
-            if len(there):
-                at = np.minimum(np.searchsorted(there, keys[part]), len(there) - 1)
-                hit = there[at] == keys[part]
-                out[part][hit] = values[at[hit]]
+            self.open[level, shard] = Table(path) if os.path.exists(path) else None
+        return self.open[level, shard]
+
+    def look_up(self, level: int, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The fields of each key, zeros where it is absent."""
+        out = np.zeros((len(keys), 6 if level == 1 else 1 if level == self.model.order else 5), np.int64)
+        order = np.argsort(shard.astype(np.uint64) << _U(32) | keys >> _U(32 if level == 1 else 16))
+        ranked = shard[order]
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(keys) else []
+        for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+            table = self.table(level, int(ranked[a]))
+            if table is not None:
+                out[order[a:b]] = table.look_up(keys[order[a:b]])
         return out
 
-    def score(self, hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its training count and the log10 of its probability after the token before it."""
+    def score(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token its training count and the log10 of its probability after the tokens before it."""
         m = self.model
-        both, inverse = np.unique(np.concatenate([hashes, before]), return_inverse=True)
-        found = self.look_up("words", _word_shard(_short(both), m.shards), both)
-        word, ctx = found[inverse[: len(hashes)]], found[inverse[len(hashes) :]]
-        first, second = _short(before), _short(hashes)
-        key = _pair_key(first, second)
-        pairs, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        shard = _pair_shard(first[at], second[at], m.shards)
-        order = np.argsort(shard, kind="stable")
-        count = np.zeros(len(pairs), np.float64)
-        count[order] = self.look_up("pairs", shard[order], pairs[order])
-        count = count[inverse]
-        d1, d2, d3 = m.word_discounts
-        seen = word["before"].astype(np.float64)
+        first = np.cumsum(counts) - counts
+        columns = grams(short(hashes), counts, m.order)
+        words = self.look_up(1, _word_shard(columns[-1], m.shards), _mix(hashes))
+        less = lambda count, d: np.maximum(count - np.choose(np.minimum(count, 3), [0.0, *d]), 0)
+        d = m.discounts[0]
         total = max(1, m.pairs)
-        spare = (d1 * m.word_classes[0] + d2 * m.word_classes[1] + d3 * m.word_classes[2]) / total if m.pairs else 1.0
-        low = np.maximum(seen - np.choose(np.minimum(seen, 3).astype(np.int64), [0, d1, d2, d3]), 0) / total + spare / (m.vocabulary + 1)
-        d1, d2, d3 = m.pair_discounts
-        total = ctx["total"].astype(np.float64)
-        top = np.maximum(count - np.choose(np.minimum(count, 3).astype(np.int64), [0, d1, d2, d3]), 0)
-        back = d1 * ctx["one"] + d2 * ctx["two"] + d3 * ctx["more"]
-        known = total > 0
-        total = np.where(known, total, 1)
-        p = np.where(known, top / total + back / total * low, low)
-        return word["count"], np.log10(p)
+        spare = sum(x * n for x, n in zip(d, m.word_classes, strict=True)) / total if m.pairs else 1.0
+        p = less(words[:, 1], d) / total + spare / (m.vocabulary + 1)
+        stats = words[:, 2:]
+        for level in range(2, m.order + 1):
+            context = np.empty_like(stats)
+            context[1:] = stats[:-1]
+            context[first] = self.begin[level - 1][0][-4:]
+            part = columns[m.order - level :]
+            found = self.look_up(level, self.shard(level, part), short(gram_key(part)))
+            d, total = m.discounts[level - 1], context[:, 0]
+            back = context[:, 1:] @ np.array(d)
+            p = np.where(total > 0, (less(found[:, 0], d) + back * p) / np.maximum(total, 1), p)
+            stats = found[:, 1:]
+        return words[:, 0], np.log10(p)
 
 
 def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,11 +579,11 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SCORE_BYTES):
                 h, n = tokens(*text_buffer(part.column("text")))
-                count, log = reader.score(h, contexts(h, n))
+                count, log = reader.score(h, n)
                 base = np.log10((count + 1.0) / (model.train_tokens + model.vocabulary + 1.0))
-                first = np.concatenate([[0], np.cumsum(n)[:-1]])
+                first = np.cumsum(n) - n
                 sums = [np.add.reduceat(x, first) for x in ((count > 0).astype(np.int64), base, log)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), model.train_tokens)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
