@@ -132,3 +132,38 @@ def test_embeddings_against_brute_force(spark):
     want = [(data[i][0], sum(near(i, j) for j in n) - 1, low[label[i]], data[i][0] == low[label[i]]) for i in n]
     assert sorted(map(tuple, embed_dedup.similar_vectors(table).collect()), key=str) == sorted(want, key=str)
     assert embed_dedup.similar_vectors(table.limit(0)).count() == 0
+
+
+def test_hot_cells_are_split(spark, monkeypatch):
+    """Many points in one cell: pieces of homes meet pieces of probes, and no link is lost or counted twice."""
+    monkeypatch.setattr(embed_dedup, "TILE", 7)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=24)
+    v = np.vstack([base + rng.normal(size=(150, 24)) * 0.04, base + rng.normal(size=(60, 24)) * 0.2, rng.normal(size=(60, 24))])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    label = brute_components(list(range(len(v))), lambda a, b: a == b or near[a, b])
+    table = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)], "vec_id long, embedding array<double>, label string").repartition(3)
+    got = sorted(map(tuple, embed_dedup.similar_vectors(table).collect()))
+    assert got == [(i, int(near[i].sum()) - 1, label[i], label[i] == i) for i in range(len(v))]
+    assert sum(g[1] for g in got) > 10_000
+
+
+def test_hubs_have_their_own_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB_DEGREE", 20)
+    monkeypatch.setattr(common, "HUBS", 10**9)
+    edges = [(1000, i) for i in range(200)] + [(i, i + 5000) for i in range(150)] + [(9000, 9001)]
+    got = defaultdict(set)
+    for r in common.components(spark.createDataFrame(edges, "src long, dst long")).collect():
+        got[r.root].add(r.node)
+    assert sorted(map(len, got.values())) == [2, 351]
+
+
+def test_scratch_deletes_but_what_is_taken_off(spark):
+    with common.scratch(spark) as made:
+        a, b = common.staged(spark.range(3), "a"), common.staged(spark.range(5), "b")
+        kept, gone = made.pop(), made[0]
+        assert a.count() == 3
+    assert b.count() == 5
+    fs = spark._jvm.org.apache.hadoop.fs.Path(kept).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.exists(spark._jvm.org.apache.hadoop.fs.Path(kept)) and not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(gone))

@@ -130,24 +130,142 @@ def test_convolution_sees_every_byte():
             assert top[0, 0] == quality.WIDTH and mean[0, 0] > 0
 
 
+def plain_messages(tagger, emission):
+    """Forward-backward over one chain, step by step."""
+    start, into, out_of, stay = np.exp(tagger.moves)
+    move, e = np.array([[1, into], [out_of, stay]]), np.exp(emission)
+    ahead, back = [np.array([1, start * e[0]])], [np.ones(2)]
+    for x in e[1:]:
+        f = ahead[-1] @ move * np.array([1, x])
+        ahead.append(f / f.sum())
+    for x in e[:0:-1]:
+        g = move @ (back[0] * np.array([1, x]))
+        back.insert(0, g / g.sum())
+    both = np.array(ahead) * np.array(back)
+    return both[:, 1] / both.sum(1)
+
+
 def test_messages_are_marginals():
     rng = np.random.default_rng(2)
-    tagger = toxicity.Tagger(np.zeros(1), 0.0, rng.normal(size=4), np.zeros(4))
-    start, into, out_of, stay = np.exp(tagger.moves)
-    move = [[1, into], [out_of, stay]]
-    for n in (1, 2, 7):
-        emission = rng.normal(size=n)
-        total = np.zeros(n)
-        z = 0.0
-        for tags in np.ndindex(*[2] * n):
-            w = start if tags[0] else 1.0
-            for a, b in zip(tags, tags[1:], strict=False):
-                w *= move[a][b]
-            w *= math.exp(sum(e for e, t in zip(emission, tags, strict=True) if t))
-            z += w
-            total += w * np.array(tags)
-        ahead, back = toxicity.messages(tagger, emission, np.array([0]))
-        assert ahead * back / (1 + ahead * back) == pytest.approx(total / z)
+    for sticky in (0, 3):
+        tagger = toxicity.Tagger(np.zeros(1), 0.0, rng.normal(size=4) + np.array([0, 0, 0, sticky]), np.zeros(4))
+        start, into, out_of, stay = np.exp(tagger.moves)
+        move = [[1, into], [out_of, stay]]
+        for n in (1, 2, 7):
+            emission = rng.normal(size=n)
+            total = np.zeros(n)
+            z = 0.0
+            for tags in np.ndindex(*[2] * n):
+                w = start if tags[0] else 1.0
+                for a, b in zip(tags, tags[1:], strict=False):
+                    w *= move[a][b]
+                w *= math.exp(sum(e for e, t in zip(emission, tags, strict=True) if t))
+                z += w
+                total += w * np.array(tags)
+            assert plain_messages(tagger, emission) == pytest.approx(total / z)
+        lengths = [3, 64, 1, 65, 128, 700, 2, 129, 5000]
+        emission, first = rng.normal(size=sum(lengths)) * 2, np.cumsum([0, *lengths[:-1]])
+        ahead, back = toxicity.messages(tagger, emission, first)
+        want = np.concatenate([plain_messages(tagger, emission[a : a + n]) for a, n in zip(first, lengths, strict=True)])
+        assert ahead * back / (1 + ahead * back) == pytest.approx(want, abs=1e-9)
+
+
+def test_toxicity_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(9)
+    feats = rng.integers(-1, 6, (90, 3))
+    first, y = np.array([0, 5, 6]), rng.integers(0, 2, 90).astype(float)
+    tagger = toxicity.Tagger(rng.normal(size=6), -0.3, rng.normal(size=4), np.zeros(4))
+
+    def likelihood(t):
+        total, emission = 0.0, toxicity.emissions(t, feats)
+        start, into, out_of, stay = t.moves
+        move = np.array([[0, into], [out_of, stay]])
+        for a, b in zip(first, [*first[1:], 90], strict=True):
+            tags, e = y[a:b].astype(int), emission[a:b]
+            log_z = np.array([0, start + e[0]])
+            for x in e[1:]:
+                log_z = np.logaddexp.reduce(log_z[:, None] + move, axis=0) + np.array([0, x])
+            total += start * tags[0] + (e * tags).sum() + sum(move[i, j] for i, j in zip(tags, tags[1:], strict=False)) - np.logaddexp.reduce(log_z)
+        return total
+
+    emission = toxicity.emissions(tagger, feats)
+    ahead, back = toxicity.messages(tagger, emission, first)
+    grad, small = toxicity.gradients(tagger, feats, y, ahead * back / (1 + ahead * back), emission, ahead, back, first)
+    step = 1e-5
+
+    def slope(change):
+        return (likelihood(change(step)) - likelihood(change(-step))) / (2 * step)
+
+    unit = lambda n, k: np.eye(n)[k]
+    for k in range(6):
+        assert grad[k] == pytest.approx(slope(lambda d, k=k: toxicity.Tagger(tagger.weights + d * unit(6, k), tagger.bias, tagger.moves, tagger.document)), abs=1e-5)
+    assert small[0] == pytest.approx(slope(lambda d: toxicity.Tagger(tagger.weights, tagger.bias + d, tagger.moves, tagger.document)), abs=1e-5)
+    for k in range(4):
+        assert small[1 + k] == pytest.approx(slope(lambda d, k=k: toxicity.Tagger(tagger.weights, tagger.bias, tagger.moves + d * unit(4, k), tagger.document)), abs=1e-5)
+
+
+def test_toxicity_words():
+    texts = ["you're id10t, ok", "日本語です。 ok", "ไทย x", "naïve Ünï", "", "…!", "a😀b"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    starts, ends, n = toxicity.tokens(data, offsets)
+    found = iter([bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)])
+    got = [[next(found) for _ in range(k)] for k in n]
+    assert got == [["you're", "id10t", "ok"], ["日", "本", "語", "で", "す", "。", "ok"], ["ไ", "ท", "ย", "x"], ["naïve", "Ünï"], [], ["…"], ["a", "😀", "b"]]
+
+
+def test_long_labelled_texts_train(spark):
+    """Pieces of a long text come from all of it."""
+    texts = spark.createDataFrame([(1, "".join(f"{i:07d} " for i in range(100_000))), (2, "short"), (3, None)], "doc_id long, text string")
+    got, labels, _ = quality.labelled_sample(texts, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int"), "quality")
+    long = next(t for t in got if len(t) > 10)
+    assert sorted(map(len, got)) == [0, 5, 16 * 2048 + 15] and long.startswith(b"0000000 ") and long.endswith(b"0099999 ") and set(labels) == {0, 1}
+
+
+def plain_network(net, text):
+    """The network on one text, byte by byte."""
+    size, step = quality.CHUNK, quality.CHUNK - quality.OVERLAP
+    starts = [0]
+    while starts[-1] + size < len(text):
+        starts.append(starts[-1] + step)
+    rows = []
+    for s in starts:
+        chunk = text[s : s + size]
+        places = range(max(1, len(chunk) - quality.WIDTH + 1))
+        padded = chunk + bytes(quality.WIDTH)
+        rows.append([max(0.0, max(sum(float(net.filters[k, padded[i + k], f]) for k in range(quality.WIDTH)) for i in places) + float(net.shift[f])) for f in range(quality.FILTERS)])
+    rows = np.array(rows)
+    return float(1 / (1 + np.exp(-(np.concatenate([rows.mean(0), rows.max(0)]) @ net.weights + net.bias))))
+
+
+def test_network_against_plain_loops():
+    rng = np.random.default_rng(3)
+    net = quality.ByteConvNet(rng.normal(0, 0.3, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), rng.normal(0, 0.1, quality.FILTERS).astype(np.float32), rng.normal(0, 0.3, 2 * quality.FILTERS), 0.1)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 5, 6, 40, 255, 256, 257, 479, 480, 481, 705)]
+    got = net.probability(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert got == pytest.approx([plain_network(net, t) for t in texts], abs=1e-4)
+
+
+def test_network_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(5)
+    net = quality.ByteConvNet(rng.normal(0, 0.3, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float64), rng.normal(0, 0.1, quality.FILTERS), rng.normal(0, 0.3, 2 * quality.FILTERS), 0.1)
+    texts = [rng.integers(97, 101, n).astype(np.uint8).tobytes() for n in (20, 300, 700)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    labels, weights = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+
+    def loss(n):
+        p = n.probability(data, offsets)
+        return float(-(weights * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / weights.sum() + 5e-5 * (n.weights**2).sum())
+
+    grads = quality.gradients(net, data, offsets, labels, weights)
+    step = 1e-3
+    for name, grad in zip(("filters", "shift", "weights"), grads, strict=False):
+        for place in [np.unravel_index(int(np.abs(grad).argmax()), grad.shape), *[tuple(rng.integers(0, n) for n in grad.shape) for _ in range(4)]]:
+            ends = []
+            for d in (step, -step):
+                value = getattr(net, name).copy()
+                value[place] += d
+                ends.append(loss(quality.ByteConvNet(**(net.__dict__ | {name: value}))))
+            assert grad[place] == pytest.approx((ends[0] - ends[1]) / (2 * step), abs=2e-3)
 
 
 def test_bpe_against_the_library(spark):

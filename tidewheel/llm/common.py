@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,14 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a temporary one if the session has none (tests)."""
+    """This application's folder below spark.checkpoint.dir. Without that setting a local session (tests) has a
+    temporary folder; on a cluster there is none, as each machine would write to its own disk."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "file:///tmp/checkpoints/" + uuid.uuid5(uuid.NAMESPACE_URL, tempfile.gettempdir() + spark.sparkContext.applicationId).hex
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        conf = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{conf.rstrip('/')}/corpus-{spark.sparkContext.applicationId}"
 
 
 def mounted(path: str) -> str:
@@ -37,13 +40,43 @@ def mounted(path: str) -> str:
     return "/" + rest.lstrip("/")
 
 
+#: Lists of the staged paths of the scratch blocks that are open.
+_OPEN: list[list[str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    noted(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def noted(path: str) -> None:
+    """The innermost scratch block deletes this path."""
+    if _OPEN:
+        _OPEN[-1].append(path)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what was staged within it, but for paths that are taken off the list. Without such a
+    block staged tables stay, as lazy results read them: delete the folder of shared_dir when all is written."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        delete(spark, made)
+
+
 def salt(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 
@@ -101,6 +134,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE)
     return starts, stops, np.diff(np.searchsorted(starts, offsets))
 
 
+#: Nodes of so many edges, or of so great a part of all, have their parents broadcast.
+HUB_DEGREE, HUBS = 20_000, 5_000
+
+
+def _parents(graph: DataFrame, end: str, name: str, step: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """graph with the parent of one end of each edge; the edges of a hub aren't shuffled to one task."""
+    named = step.select(F.col("node").alias(end), F.col("parent").alias(name))
+    if hubs is None:
+        return graph.join(named, end)
+    marked = graph.join(hubs.select(F.col("node").alias(end), F.col("parent").alias(name)), end, "left")
+    return marked.where(F.col(name).isNotNull()).unionByName(marked.where(F.col(name).isNull()).drop(name).join(named, end))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (src, dst: long) as (node, root), for the nodes that have an edge.
 
@@ -110,14 +156,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     graph = staged(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
     steps, turn = [], 0
-    while not steps or not graph.isEmpty():
+    while (count := graph.count()) or not steps:
         rank = lambda c, t=turn: F.xxhash64(c, F.lit(t))
         both = graph.union(graph.select("dst", "src"))
-        least = both.groupBy("src").agg(F.min(F.struct(rank(F.col("dst")).alias("rank"), F.col("dst").alias("node"))).alias("hook"))
-        step = staged(least.select(F.col("src").alias("node"), F.when(F.col("hook.rank") < rank(F.col("src")), F.col("hook.node")).otherwise(F.col("src")).alias("parent")), "hooks")
-        a, b = step.select(F.col("node").alias("src"), F.col("parent").alias("a")), step.select(F.col("node").alias("dst"), F.col("parent").alias("b"))
-        graph = staged(graph.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges")
-        steps.append(step)
+        least = both.groupBy("src").agg(F.min(F.struct(rank(F.col("dst")).alias("rank"), F.col("dst").alias("node"))).alias("hook"), F.count("*").alias("degree"))
+        parent = F.when(F.col("hook.rank") < rank(F.col("src")), F.col("hook.node")).otherwise(F.col("src"))
+        step = staged(least.select(F.col("src").alias("node"), parent.alias("parent"), "degree"), "hooks")
+        hubs = step.where(F.col("degree") >= max(HUB_DEGREE, count // HUBS))  # at most 2 * HUBS of them
+        hubs = None if hubs.isEmpty() else F.broadcast(hubs)
+        ends = _parents(_parents(graph, "src", "a", step, hubs), "dst", "b", step, hubs)
+        graph = staged(ends.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges")
+        steps.append(step.drop("degree"))
         turn += 1
     labels = steps[0].withColumnRenamed("parent", "root")
     for step in steps[1:]:
@@ -125,14 +174,19 @@ def components(edges: DataFrame) -> DataFrame:
     return staged(labels, "labels")
 
 
-#: Keys (of up to 100 bytes) that are broadcast at most.
-BROADCAST_KEYS = 500_000
+#: Bytes that are broadcast at most.
+BROADCAST_BYTES = 48 << 20
+
+
+def sized(table: DataFrame, row_bytes: int = 96) -> DataFrame:
+    """A staged table of rows of a known width, marked for broadcast if its size is within the limit."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
-def sized_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Left semi join with a staged key table: it is broadcast if its count is within the limit, else shuffled."""
-    few = keys.count() <= limit
-    return rows.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), on, "left_semi")
+def sized_semi_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Left semi join with a staged key table: it is broadcast if its size is within the limit, else shuffled."""
+    few = sized(keys)
+    return rows.join(few if few is not keys else keys.hint("shuffle_hash"), on, "left_semi")
 
 
 def drop_keys(rows: DataFrame, keyed: dict[str, Column], decided: DataFrame) -> DataFrame:
@@ -144,11 +198,10 @@ def drop_keys(rows: DataFrame, keyed: dict[str, Column], decided: DataFrame) ->
     keys = list(keyed)
     by = staged(decided.groupBy(*keys).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "decided")
     gone = by.where("not kept").select(*keys)
-    few = gone.count() <= BROADCAST_KEYS
     own = {k: next(n for n in (f"_key{i}" + "_" * j for j in range(len(rows.columns) + 1)) if n not in rows.columns) for i, k in enumerate(keys)}
     marked = rows.withColumns({own[k]: keyed[k] for k in keys})
     other = gone.select(*(F.col(k).alias(f"_gone{i}") for i, k in enumerate(keys)))
     condition = [marked[own[k]].eqNullSafe(other[f"_gone{i}"]) for i, k in enumerate(keys)]
-    left = marked.join(F.broadcast(other) if few else other, condition, "left_anti")
+    left = marked.join(sized(other), condition, "left_anti")
     left = left if by.where("kept").isEmpty() else left.dropDuplicates(list(own.values()))
     return left.drop(*own.values())

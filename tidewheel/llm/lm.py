@@ -1,31 +1,28 @@
 """Interpolated modified Kneser-Ney language model of any order from 2 on: counted in Spark, stored as
 sorted hash arrays, memory-mapped by the workers that score texts.
 
-Counting is a chain of shuffles of packed blobs, one for each length of n-grams.
-
-1. Each task counts the n-grams of its texts, up to FLUSH_TOKENS at once, and sends a blob to each
-   shard that gets any: the words once, the n-grams as small numbers of them. The shard of the longest
-   n-grams follows from their inner words and from salts of the first and last one, so n-grams that
-   share much meet, and none of their parts, however frequent, is in one shard alone.
-2. Each shard sums its n-grams, writes them as a sorted table, and sends what it knows of the next
+1. Words are counted by shards of their hash. A shard writes its words as a sorted table and numbers
+   them by frequency, so frequent words have small numbers.
+2. Each task turns its texts into numbers by the mapped tables, counts the n-grams of up to FLUSH_TOKENS
+   at once and sends a packed blob to each shard that gets any. The shard of the longest n-grams follows
+   from their inner words and from salts of the first and last one, so n-grams that share much meet,
+   and no word, however frequent, has all of its n-grams in one shard.
+3. Each shard sums its n-grams, writes them as a sorted table, and sends what it knows of the next
    shorter ones: of those that end an n-gram, the distinct words before them; of those that begin one,
-   the totals of what follows. Shorter n-grams are dealt by a hash of the whole of them.
-3. Word shards sum the same of words, join them with the words' counts and write a sorted table.
+   the totals of what follows. Shorter n-grams are dealt by a hash of the whole of them, words by number.
 
-A blob is sent only if it isn't empty, so their number grows with the n-grams. A word within an n-gram
-is known by 48 bits of its hash (two of a billion words share one with a chance of 4e-6 each), an
-n-gram by 48 bits within its shard; a word's own count goes by 64 bits. The driver sees sums of a few
-numbers. Files are written under another name and renamed, so a task that runs again replaces them.
+A blob is sent only if it isn't empty, so their number grows with the n-grams. A word is known by 64 bits
+of its hash, an n-gram by 48 bits within its shard. The driver sees sums of a few numbers. Files are
+written under another name and renamed, so a task that runs again replaces them whole.
 """
 
 from __future__ import annotations
 
-import glob
 import mmap
 import os
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import mounted, shared_dir, slices, text_buffer, texts_of, word_spans
+from tidewheel.llm.common import mounted, noted, shared_dir, slices, text_buffer, texts_of, word_spans
 
 #: Text bytes for each shard of the model.
 SHARD_BYTES = 16 << 20
@@ -48,7 +45,7 @@ PARTITIONS = 50_000
 MAPPED = 15_000 if sys.version_info >= (3, 13) else 200
 _U = np.uint64
 _ODD, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
-END, BEGIN = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
+END = _U(0x5851F42D4C957F2D)
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -89,18 +86,13 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return out, words + 1
 
 
-def short(h: np.ndarray) -> np.ndarray:
-    """48 bits of a word's hash, as n-grams carry them."""
-    return h >> _U(16)
-
-
-def grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each token its n-gram's words, first one first; before a text's start there are begin marks."""
-    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-    out = [words]
+def grams(numbers: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each token its n-gram's words, first one first; before a text's start there are begin marks, number 0."""
+    place = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = [numbers]
     for k in range(1, order):
-        before = np.full(len(words), short(BEGIN), np.uint64)
-        before[k:] = np.where(place[k:] >= k, words[:-k] if k else words, before[k:])
+        before = np.zeros_like(numbers)
+        before[k:] = np.where(place[k:] >= k, numbers[:-k], 0)
         out.append(before)
     return out[::-1]
 
@@ -110,7 +102,7 @@ def gram_key(columns: list[np.ndarray]) -> np.ndarray:
     with np.errstate(over="ignore"):
         key = np.full(len(columns[0]), _U(len(columns)))
         for column in columns:
-            key = _mix(key * _ODD + column + _STEP)
+            key = _mix(key * _ODD + column.astype(np.uint64) + _STEP)
     return key
 
 
@@ -124,12 +116,12 @@ def _top_shard(columns: list[np.ndarray], key: np.ndarray, shards: int) -> np.nd
         return _whole_shard(key, shards)
     salts = _U(max(4, shards // 8))
     with np.errstate(over="ignore"):
-        salted = gram_key(columns[1:-1]) + (_mix(columns[0]) % salts) * _ODD + (_mix(columns[-1] + _STEP) % salts) * _STEP
+        salted = gram_key(columns[1:-1]) + (_mix(columns[0].astype(np.uint64)) % salts) * _ODD + (_mix(columns[-1].astype(np.uint64) + _STEP) % salts) * _STEP
     return _whole_shard(salted, shards)
 
 
 def _word_shard(word: np.ndarray, shards: int) -> np.ndarray:
-    return (word >> _U(20)).astype(np.int64) * shards >> 28  # by the top bits of 48, so shards are ranges
+    return (word % _U(shards)).astype(np.int64)
 
 
 def _pack(*parts: np.ndarray) -> bytes:
@@ -148,60 +140,63 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _planes(ids: np.ndarray, most: int) -> list[np.ndarray]:
-    """The two low bytes of small numbers apart from one another, and the high part if there is any."""
-    return [(ids & 255).astype(np.uint8), (ids >> 8 & 255).astype(np.uint8), (ids >> 16).astype("<u4") if most >> 16 else np.zeros(0, "<u4")]
+def _planes(values: np.ndarray) -> list[np.ndarray]:
+    """The number of bytes that the largest value has, and the values' bytes by place."""
+    size = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return [np.array([size], "u1"), values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.ravel()]
 
 
-def _whole(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
-    out = low.astype(np.int64) | middle.astype(np.int64) << 8
-    return out | high.astype(np.int64) << 16 if len(high) else out
+def _whole(size: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(planes) // int(size[0]), 8), np.uint8)
+    out[:, : int(size[0])] = planes.reshape(int(size[0]), -1).T
+    return out.view("<i8").ravel()
 
 
 Section = tuple[list[np.ndarray], list[np.ndarray]]
 
 
-def encode(words: np.ndarray, sections: list[Section]) -> bytes:
-    """Pack rows of n-grams: (columns of numbers of words, fields) for each section; words are sent once, as six bytes."""
-    every = np.concatenate([c for columns, _ in sections for c in columns])
-    if len(words) < 8 * len(every):
-        there = np.zeros(len(words), bool)
-        there[every] = True
-        used, number = np.flatnonzero(there), np.cumsum(there) - 1
-        local = number[every]
-    else:
-        used, local = np.unique(every, return_inverse=True)
-    parts, at = [words[used].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].ravel()], 0
+def encode(sections: list[Section]) -> bytes:
+    """Pack sorted rows of n-grams, (columns of word numbers, fields) for each section; a number is sent as what it is above the row before, where all columns before are equal."""
+    parts = []
     for columns, fields in sections:
-        n = len(columns[0])
-        for _ in columns:
-            parts += _planes(local[at : at + n], len(used))
-            at += n
+        same = np.ones(len(columns[0]), bool)
+        same[:1] = False
+        for column in columns:
+            gap = column.copy()
+            gap[1:][same[1:]] -= column[:-1][same[1:]]
+            parts += _planes(gap)
+            same[1:] &= column[1:] == column[:-1]
         for f in fields:
             parts += [np.minimum(f, 255).astype(np.uint8), f[f >= 255].astype("<i8")]
     return _pack(np.array([len(sections), *(x for c, f in sections for x in (len(c), len(f)))], "<i4"), *parts)
 
 
-def decode(blob: bytes) -> tuple[np.ndarray, list[Section]]:
-    head, raw, *rest = _unpack(blob)
-    words = np.zeros((len(raw) // 6, 8), np.uint8)
-    words[:, :6] = raw.reshape(-1, 6)
+def decode(blob: bytes) -> list[Section]:
+    head, *rest = _unpack(blob)
     parts, out = iter(rest), []
     for k in range(int(head[0])):
-        columns = [_whole(next(parts), next(parts), next(parts)) for _ in range(head[1 + 2 * k])]
-        fields = []
+        columns, fields, fresh = [], [], None
+        for _ in range(head[1 + 2 * k]):
+            gap = _whole(next(parts), next(parts))
+            if fresh is None:
+                fresh = np.zeros(len(gap), bool)
+                fresh[:1] = True
+            total = np.cumsum(gap)
+            begins = np.flatnonzero(fresh)
+            columns.append(total - np.repeat((total - gap)[begins], np.diff(np.append(begins, len(gap)))))
+            fresh[1:] |= columns[-1][1:] != columns[-1][:-1]
         for _ in range(head[2 + 2 * k]):
             f, more = next(parts).astype(np.int64), next(parts)
             f[f == 255] = more
             fields.append(f)
         out.append((columns, fields))
-    return words.view("<u8").ravel(), out
+    return out
 
 
 def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows of small numbers: the first row of each distinct one, sorted by all columns; each row's number among them; the first row's number by all but the last column."""
-    key, first = columns[0], None
-    prefix = np.zeros(len(key), np.int64)
+    columns = [np.unique(c, return_inverse=True)[1] if len(c) and c.max() >> 31 else c for c in columns]
+    key, prefix = columns[0], np.zeros(len(columns[0]), np.int64)
     for i, column in enumerate(columns[1:] or [np.zeros(len(key), np.int64)]):
         prefix = np.unique(key, return_inverse=True)[1] if i or len(columns) == 1 else key
         key = prefix << 32 | column
@@ -213,7 +208,7 @@ def _sums(inverse: np.ndarray, n: int, fields: list[np.ndarray]) -> list[np.ndar
     return [np.bincount(inverse, f, n).astype(np.int64) for f in fields]
 
 
-def _blobs(words: np.ndarray, sections: list[Section], shard_of: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
+def _blobs(sections: list[Section], shard_of: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
     """A blob for each shard that gets a row of any section."""
     kind = np.uint16 if shards < 1 << 16 else np.int64
     orders = [np.argsort(s.astype(kind), kind="stable") for s in shard_of]
@@ -223,42 +218,30 @@ def _blobs(words: np.ndarray, sections: list[Section], shard_of: list[np.ndarray
         for (columns, fields), order, r in zip(sections, orders, ranked, strict=True):
             rows = order[np.searchsorted(r, k) : np.searchsorted(r, k, side="right")]
             parts.append(([c[rows] for c in columns], [f[rows] for f in fields]))
-        yield k, encode(words, parts)
+        yield k, encode(parts)
 
 
 def _blob_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "blob"])
 
 
-def _counted(hashes: np.ndarray, columns: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
-    """Blobs of n-grams, and of words under the shard numbers from `shards` on."""
-    word, number, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    edges = np.searchsorted(_word_shard(short(word), shards), np.arange(shards + 1))
-    for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-        part = slice(edges[k], edges[k + 1])
-        yield shards + k, _pack(word[part], count[part].astype("<i8"))
-    rank = np.empty(len(word), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(1, len(word) + 1)  # frequent words have small numbers
-    names = np.empty(len(word) + 1, np.uint64)
-    names[0], names[rank] = short(BEGIN), short(word)
-    last = rank[number]
-    ids = []
-    for k in range(len(columns) - 1, 0, -1):
-        wanted, before = columns[len(columns) - 1 - k], np.zeros(len(last), np.int64)  # the begin mark is number 0
-        before[k:] = last[:-k]
-        before[wanted == names[0]] = 0
-        cut = np.flatnonzero(names[before] != wanted)  # where a text was cut, the words before are those of an earlier piece
-        more, at = np.unique(wanted[cut], return_inverse=True)
-        before[cut] = len(names) + at
-        names = np.concatenate([names, more])
-        ids.append(before)
-    ids.append(last)
-    inner = [*ids[1:-1], ids[0], ids[-1]]
-    first, _, _ = (found := _distinct(inner))
-    count = np.bincount(found[1], minlength=len(first))
-    ids = [c[first] for c in ids]
-    shorts = [names[c] for c in ids]
-    yield from _blobs(names, [(ids, [count])], [_top_shard(shorts, gram_key(shorts), shards)], shards)
+def _word_blobs(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    word, count = np.unique(hashes, return_counts=True)
+    shard = _word_shard(word, shards)
+    order = np.argsort(shard, kind="stable")
+    word, count, shard = word[order], count[order], shard[order]
+    for k in np.unique(shard).tolist():
+        part = slice(np.searchsorted(shard, k), np.searchsorted(shard, k, side="right"))
+        yield k, _pack(word[part], np.minimum(count[part], 255).astype("u1"), count[part][count[part] >= 255].astype("<i8"))
+
+
+def _gram_blobs(columns: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
+    """n-grams sorted by their inner words first, which are the most alike within a shard."""
+    inner = [*columns[1:-1], columns[0], columns[-1]]
+    first, inverse, _ = _distinct(inner)
+    kept = [c[first] for c in columns]
+    section = ([c[first] for c in inner], [np.bincount(inverse, minlength=len(first))])
+    yield from _blobs([section], [_top_shard(kept, gram_key(kept), shards)], shards)
 
 
 @dataclass(frozen=True)
@@ -290,14 +273,18 @@ def _classes(count: np.ndarray) -> np.ndarray:
     return np.array([(count == k).sum() for k in (1, 2, 3, 4)] + [(count >= 3).sum(), len(count), count.sum()], np.int64)
 
 
-def write_table(path: str, keys: np.ndarray, fields: list[np.ndarray], wide: bool = False) -> None:
-    """A sorted table in one file: an index by the keys' top 16 bits, the rest of the keys (48 bits: four bytes,
-    64 bits: whole), one byte for each row that names one of the 255 commonest combinations of its fields,
-    and the other rows in full."""
-    order = np.argsort(keys)
-    keys, fields = keys[order], [f[order] for f in fields]
-    n, shift = len(keys), _U(48 if wide else 32)
-    index = np.searchsorted(keys >> shift, np.arange(65537, dtype=np.uint64)).astype("<u4")
+def write_table(path: str, keys: np.ndarray | None, fields: list[np.ndarray], wide: bool = False) -> None:
+    """A table in one file. Sorted keys have an index by their top 16 bits and the rest (of 48 bits: four bytes; wide,
+    of 64: the whole); without keys the rows are known by number. One byte for each row names one of the 255
+    commonest combinations of its fields; the other rows are there in full."""
+    n = len(fields[0])
+    if keys is not None:
+        order = np.argsort(keys)
+        keys, fields = keys[order], [f[order] for f in fields]
+        index = np.searchsorted(keys >> _U(48 if wide else 32), np.arange(65537, dtype=np.uint64)).astype("<u4")
+        low = keys.astype("<u8") if wide else (keys & _U(0xFFFFFFFF)).astype("<u4")
+    else:
+        index, low = np.zeros(0, "<u4"), np.zeros(0, "<u4")
     small = np.ones(n, bool)
     mark = np.zeros(n, np.uint64)
     for i, f in enumerate(fields):
@@ -308,12 +295,13 @@ def write_table(path: str, keys: np.ndarray, fields: list[np.ndarray], wide: boo
     code = np.full(n, 255, np.uint8)
     if len(value):
         at = np.minimum(np.searchsorted(value, mark), len(value) - 1)
-        code[small & (value[at] == mark)] = at[small & (value[at] == mark)]
+        there = small & (value[at] == mark)
+        code[there] = at[there]
     rest = np.flatnonzero(code == 255)
     full = np.stack([f[rest] for f in fields], axis=1)
     full = full.astype("<u4") if not len(rest) or full.max() < 1 << 32 else full.astype("<i8")
-    parts = [index, keys.astype("<u8") if wide else (keys & _U(0xFFFFFFFF)).astype("<u4"), value.astype("<u8"), rest.astype("<u4"), full.ravel(), code]
-    head = np.array([n, len(fields), len(value), len(rest), wide, full.itemsize, 0, 0], "<u8")
+    parts = [index, low, value.astype("<u8"), rest.astype("<u4"), full.ravel(), code]
+    head = np.array([len(index), len(low), wide, len(value), len(rest), full.itemsize, n, len(fields)], "<u8")
     temporary = f"{path}.{uuid.uuid4().hex}"
     with open(temporary, "wb") as file:
         for part in (head, *parts):
@@ -331,9 +319,9 @@ class Table:
                 pages = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
             except TypeError:
                 pages = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        n, self.fields, codes, rest, wide, size, _, _ = np.frombuffer(pages, "<u8", 8).tolist()
+        index, low, wide, codes, rest, size, n, self.fields = np.frombuffer(pages, "<u8", 8).tolist()
         self.shift, at, out = _U(48 if wide else 32), 64, []
-        for kind, length in (("<u4", 65537), ("<u8" if wide else "<u4", n), ("<u8", codes), ("<u4", rest), ("<u4" if size == 4 else "<i8", rest * self.fields), ("u1", n)):
+        for kind, length in (("<u4", index), ("<u8" if wide else "<u4", low), ("<u8", codes), ("<u4", rest), ("<u4" if size == 4 else "<i8", rest * self.fields), ("u1", n)):
             out.append(np.frombuffer(pages, kind, length, at))
             at += -(-out[-1].nbytes // 8) * 8
         self.index, self.low, value, self.rest, full, self.code = out
@@ -342,27 +330,38 @@ class Table:
         for i in range(self.fields):
             self.value[: len(value), i] = value >> _U(8 * i) & _U(255)
 
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """The fields of each key, zeros where it is absent."""
-        out = np.zeros((len(keys), self.fields), np.int64)
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in keys of those that are there, their rows)."""
         if not len(self.low):
-            return out
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         bucket, want = (keys >> self.shift).astype(np.int64), keys.astype(self.low.dtype)
         low, high = self.index[bucket].astype(np.int64), self.index[bucket + 1].astype(np.int64)
-        end, steps = high, int((high - low).max()).bit_length()
-        for _ in range(steps):  # a binary search of all keys at once
+        end = high
+        for _ in range(int((high - low).max()).bit_length()):  # a binary search of all keys at once
             middle = (low + high) >> 1
             less = (self.low[np.minimum(middle, len(self.low) - 1)] < want) & (middle < high)
             low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
         at = np.minimum(low, len(self.low) - 1)
         hit = np.flatnonzero((low < end) & (self.low[at] == want))
-        at = at[hit]
-        code = self.code[at]
+        return hit, at[hit]
+
+    def at(self, rows: np.ndarray) -> np.ndarray:
+        """The fields of rows by number, zeros beyond the last."""
+        if not len(self.code):
+            return np.zeros((len(rows), self.fields), np.int64)
+        code = self.code[np.minimum(rows, len(self.code) - 1)]
         found = self.value[code]
         long = np.flatnonzero(code == 255)
         if len(long):
-            found[long] = self.full[np.searchsorted(self.rest, at[long])]
-        out[hit] = found
+            found[long] = self.full[np.minimum(np.searchsorted(self.rest, rows[long]), len(self.rest) - 1)]
+        found[rows >= len(self.code)] = 0
+        return found
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The fields of each key, zeros where it is absent."""
+        out = np.zeros((len(keys), self.fields), np.int64)
+        hit, rows = self.find(keys)
+        out[hit] = self.at(rows)
         return out
 
 
@@ -370,17 +369,11 @@ def _rows(out: list[tuple[int, bytes]]) -> pa.Table:
     return pa.Table.from_batches([_blob_batch(out)])
 
 
-def _gather(blobs: list[bytes]) -> tuple[np.ndarray, list[Section]]:
-    """The sections of several blobs as one, with common numbers of their words."""
+def _gather(blobs: list[bytes]) -> list[Section]:
+    """The sections of several blobs as one."""
     decoded = [decode(b) for b in blobs]
-    words, number = np.unique(np.concatenate([w for w, _ in decoded]), return_inverse=True)
-    first = np.cumsum([0, *(len(w) for w, _ in decoded)])
-    out = []
-    for k in range(len(decoded[0][1])):
-        parts = [(first[i], sections[k]) for i, (_, sections) in enumerate(decoded)]
-        columns = [np.concatenate([number[at + s[0][j]] for at, s in parts]) for j in range(len(parts[0][1][0]))]
-        out.append((columns, [np.concatenate([s[1][j] for _, s in parts]) for j in range(len(parts[0][1][1]))]))
-    return words, out
+    join = lambda k, side: [np.concatenate(parts) for parts in zip(*(d[k][side] for d in decoded), strict=True)]
+    return [(join(k, 0), join(k, 1)) for k in range(len(decoded[0]))]
 
 
 def _shorter(ids: list[np.ndarray], count: np.ndarray, prefix: np.ndarray) -> list[Section]:
@@ -401,27 +394,52 @@ def fit(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str =
     source = texts_of(docs, id_col, text_col).select("text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, -(-size // SHARD_BYTES))
-    path = mounted(f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}")
+    folder = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
+    path = mounted(folder)
     os.makedirs(path)
+    noted(folder)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            hashes, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            yield _blob_batch(list(_counted(hashes, columns, shards)))
-
+    def held(batches: Iterator[pa.RecordBatch], read: Callable, pack: Callable) -> Iterator[pa.RecordBatch]:
+        """Columns of tokens as `read` gives them for a slice, packed FLUSH_TOKENS at once."""
+        parts, n = [], 0
         for batch in batches:
             for part in slices(batch):
-                h, n = tokens(*text_buffer(part.column("text")))
-                columns = grams(short(h), n, order)
-                for s in range(0, len(h), FLUSH_TOKENS):
-                    held.append(tuple(c[s : s + FLUSH_TOKENS] for c in (h, *columns)))
-                    if sum(len(x[0]) for x in held) >= FLUSH_TOKENS:
-                        yield from flush()
-        if held:
-            yield from flush()
+                columns = read(*tokens(*text_buffer(part.column("text"))))
+                for s in range(0, len(columns[0]), FLUSH_TOKENS):
+                    parts.append([c[s : s + FLUSH_TOKENS] for c in columns])
+                    n += len(parts[-1][0])
+                    if n >= FLUSH_TOKENS:
+                        yield _blob_batch(list(pack([np.concatenate(c) for c in zip(*parts, strict=True)])))
+                        parts, n = [], 0
+        if n:
+            yield _blob_batch(list(pack([np.concatenate(c) for c in zip(*parts, strict=True)])))
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return held(batches, lambda h, n: [h], lambda columns: _word_blobs(columns[0], shards))
+
+    def sum_words(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        words, counts = [], []
+        for word, count, more in (_unpack(b.as_py()) for b in table.column("blob")):
+            count = count.astype(np.int64)
+            count[count == 255] = more
+            words.append(word)
+            counts.append(count)
+        word, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+        key = _mix(word)
+        order_ = np.argsort(key)
+        rank = np.empty(len(word), "<u4")
+        rank[np.argsort(-total[order_], kind="stable")] = np.arange(1, len(word) + 1)
+        write_table(f"{path}/words-{shard}", key, [total], wide=True)
+        temporary = f"{path}/ranks-{shard}.{uuid.uuid4().hex}"
+        rank.tofile(temporary)
+        os.replace(temporary, f"{path}/ranks-{shard}")
+        return pa.table({"tokens": pa.array([int(total.sum())]), "words": pa.array([len(word)], pa.int64())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(path, shards, order)
+        return held(batches, lambda h, n: grams(reader.words(h)[1], n, order), lambda columns: _gram_blobs(columns, shards))
 
     def told(level: int, figures: np.ndarray, shard: int) -> tuple[int, bytes]:
         return -1 - shard % 64, _pack(np.array([level], "<i8"), figures)
@@ -435,76 +453,54 @@ def fit(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str =
                 for at, figures in map(_unpack, blobs):
                     sums[int(at[0])] = sums.get(int(at[0]), 0) + figures
                 return _rows([told(k, v, -1 - shard) for k, v in sums.items()])
-            if shard >= shards:
-                if level == order:
-                    parts = list(map(_unpack, blobs))
-                    word, inverse = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
-                    total = np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.uint64)
-                    temporary = f"{path}/counts-{shard - shards}.{uuid.uuid4().hex}"
-                    np.concatenate([word, total]).tofile(temporary)
-                    os.replace(temporary, f"{path}/counts-{shard - shards}")
-                return _rows([(shard - shards if level == 2 else shard, b"")])
-            words, sections = _gather([b for b in blobs if b])
+            sections = _gather(blobs)
             ids, fields = sections[0]
-            if level < order:  # what begins longer n-grams may not end any, and the other way round
+            if level == order:
+                ids = [ids[-2], *ids[:-2], ids[-1]]
+            else:  # what begins longer n-grams may not end any, and the other way round
                 other, stats = sections[1]
-                zeros = lambda n: np.zeros(n, np.int64)
                 n, m = len(ids[0]), len(other[0])
                 ids = [np.concatenate(p) for p in zip(ids, other, strict=True)]
-                fields = [np.concatenate([fields[0], zeros(m)]), *(np.concatenate([zeros(n), f]) for f in stats)]
+                fields = [np.concatenate([fields[0], np.zeros(m, np.int64)]), *(np.concatenate([np.zeros(n, np.int64), f]) for f in stats)]
             first, inverse, prefix = _distinct(ids)
             ids, fields = [c[first] for c in ids], _sums(inverse, len(first), fields)
-            names = [words[c] for c in ids]
-            write_table(f"{path}/{level}-{shard}", short(gram_key(names)), fields)
+            write_table(f"{path}/{level}-{shard}", gram_key(ids) >> _U(16), fields)
             seen = fields[0] > 0
             out = [told(level, _classes(fields[0][seen]), shard)]
             if seen.any():
-                ids = [c[seen] for c in ids]
-                below = _shorter(ids, fields[0][seen], prefix[seen])
-                if level > 2:
-                    keys = [gram_key([words[c] for c in columns]) for columns, _ in below]
-                    out += _blobs(words, below, [_whole_shard(k, shards) for k in keys], shards)
-                else:
-                    out += _blobs(words, below, [_word_shard(words[columns[0]], shards) for columns, _ in below], shards)
+                below = _shorter([c[seen] for c in ids], fields[0][seen], prefix[seen])
+                shard_of = (lambda columns: columns[0] % shards) if level == 2 else (lambda columns: _whole_shard(gram_key(columns), shards))
+                out += _blobs(below, [shard_of(columns) for columns, _ in below], shards)
             return _rows(out)
 
         return run
 
-    def sum_words(table: pa.Table) -> pa.Table:
+    def sum_contexts(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         blobs = [b.as_py() for b in table.column("blob")]
         if shard >= 0:
-            word, total = np.fromfile(f"{path}/counts-{shard}", np.uint64).reshape(2, -1) if os.path.exists(f"{path}/counts-{shard}") else np.zeros((2, 0), np.uint64)
-            extra = np.array([BEGIN] if shard == _word_shard(short(np.array([BEGIN])), shards)[0] else [], np.uint64)
-            word, total = np.append(word, extra), np.append(total, extra * _U(0)).view(np.int64)
-            order_ = np.argsort(short(word), kind="stable")
-            ranked = short(word)[order_]
-            fields = [total, *(np.zeros(len(word), np.int64) for _ in range(5))]
-            there = [b for b in blobs if b]
-            if there:
-                names, sections = _gather(there)
-                for (columns, values), places in zip(sections, ((1,), (2, 3, 4, 5)), strict=True):
-                    at = order_[np.searchsorted(ranked, names[columns[0]])]
-                    for f, place in zip(values, places, strict=True):
-                        np.add.at(fields[place], at, f)
-            write_table(f"{path}/1-{shard}", _mix(word), fields, wide=True)
-            seen = _classes(fields[1][fields[1] > 0])
-            blobs = [told(1, seen, shard)[1], told(0, np.array([total.sum(), (total > 0).sum(), 0, 0, 0, 0, 0], np.int64), shard)[1]]
+            sections = _gather(blobs)
+            size = max(int(columns[0].max(initial=0)) for columns, _ in sections) // shards + 1
+            fields = [_sums(columns[0] // shards, size, values) for columns, values in sections]
+            fields = [*fields[0], *fields[1]]
+            write_table(f"{path}/1-{shard}", None, fields)
+            blobs = [told(1, _classes(fields[0][fields[0] > 0]), shard)[1]]
         figures = [_unpack(b) for b in blobs]
         return pa.table({"level": pa.array([int(at[0]) for at, _ in figures], pa.int64()), "figures": pa.array([f.tolist() for _, f in figures], pa.list_(pa.int64()))})
 
     parts = int(min(PARTITIONS, shards))
-    blobs = source.mapInArrow(count, "shard bigint, blob binary")
+    grouped = lambda rows, function, shape: rows.repartition(parts, "shard").groupBy("shard").applyInArrow(function, shape)
+    blob = "shard bigint, blob binary"
+    counted = grouped(source.mapInArrow(count_words, blob), sum_words, "tokens bigint, words bigint").agg(F.sum("tokens"), F.sum("words")).first()
+    blobs = source.mapInArrow(count, blob)
     for level in range(order, 1, -1):
-        blobs = blobs.repartition(parts, "shard").groupBy("shard").applyInArrow(summed(level), "shard bigint, blob binary")
-    figures = blobs.repartition(parts, "shard").groupBy("shard").applyInArrow(sum_words, "level bigint, figures array<bigint>")
+        blobs = grouped(blobs, summed(level), blob)
+    figures = grouped(blobs, sum_contexts, "level bigint, figures array<bigint>")
     sums = {r.level: [r[f"f{i}"] for i in range(7)] for r in figures.groupBy("level").agg(*(F.sum(F.col("figures")[i]).alias(f"f{i}") for i in range(7))).collect()}
-    for temporary in glob.glob(f"{path}/counts-*"):
-        os.remove(temporary)
     if not sums:
         return NgramModel(path, shards, order, 0, 0, 0, ((0.5, 1.0, 1.5),) * order, (0, 0, 0))
     return NgramModel(
-        path, shards, order, sums[0][0], sums[0][1], sums[1][6], tuple(discounts(np.array(sums[k][:4])) for k in range(1, order + 1)),
+        path, shards, order, counted[0], counted[1], sums[1][6], tuple(discounts(np.array(sums[k][:4])) for k in range(1, order + 1)),
         (sums[1][0], sums[1][1], sums[1][4]),
     )
 
@@ -512,59 +508,79 @@ def fit(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str =
 class Reader:
     """The model's tables, mapped into memory on first use."""
 
-    def __init__(self, model: NgramModel):
-        self.model, self.open = model, {}
-        begin = short(np.array([BEGIN]))
-        self.begin = {k: self.look_up(k, self.shard(k, [begin] * k), short(gram_key([begin] * k))) for k in range(2, model.order)}
-        self.begin[1] = self.look_up(1, _word_shard(begin, model.shards), _mix(np.array([BEGIN])))
-
-    def shard(self, level: int, columns: list[np.ndarray]) -> np.ndarray:
-        key = gram_key(columns)
-        return _top_shard(columns, key, self.model.shards) if level == self.model.order else _whole_shard(key, self.model.shards)
+    def __init__(self, path: str, shards: int, order: int):
+        self.path, self.shards, self.order, self.open = path, shards, order, {}
 
-    def table(self, level: int, shard: int) -> Table | None:
-        if (level, shard) not in self.open:
-            path = f"{self.model.path}/{level}-{shard}"
+    def _file(self, name: str, read: Callable):
+        if name not in self.open:
             if len(self.open) >= MAPPED:
                 self.open.clear()
-            self.open[level, shard] = Table(path) if os.path.exists(path) else None
-        return self.open[level, shard]
-
-    def look_up(self, level: int, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The fields of each key, zeros where it is absent."""
-        out = np.zeros((len(keys), 6 if level == 1 else 1 if level == self.model.order else 5), np.int64)
-        order = np.argsort(shard.astype(np.uint64) << _U(32) | keys >> _U(32 if level == 1 else 16))
+            path = f"{self.path}/{name}"
+            self.open[name] = read(path) if os.path.exists(path) else None
+        return self.open[name]
+
+    def _by_shard(self, shard: np.ndarray, then: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, places) for each shard; `then` orders the places, so that they touch pages in turn."""
+        if not len(shard):
+            return
+        order = np.argsort(shard.astype(np.uint64) << _U(32) | then)
         ranked = shard[order]
-        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(keys) else []
-        for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-            table = self.table(level, int(ranked[a]))
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+            yield int(ranked[a]), order[a:b]
+
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training count and number of each word; 0 and -1 for an unknown one."""
+        count, number, keys = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1), _mix(hashes)
+        for k, places in self._by_shard(_word_shard(hashes, self.shards), keys >> _U(32)):
+            table = self._file(f"words-{k}", Table)
+            if table is not None:
+                hit, rows = table.find(keys[places])
+                count[places[hit]] = table.at(rows)[:, 0]
+                number[places[hit]] = self._file(f"ranks-{k}", lambda path: np.memmap(path, "<u4", "r"))[rows].astype(np.int64) * self.shards + k
+        return count, number
+
+    def word_stats(self, numbers: np.ndarray) -> np.ndarray:
+        """Of each word: the distinct words before it, and as a context the total and classes of what follows."""
+        out = np.zeros((len(numbers), 5), np.int64)
+        known = np.flatnonzero(numbers >= 0)
+        for k, places in self._by_shard(numbers[known] % self.shards, (numbers[known] // self.shards).astype(np.uint64)):
+            table = self._file(f"1-{k}", Table)
             if table is not None:
-                out[order[a:b]] = table.look_up(keys[order[a:b]])
+                out[known[places]] = table.at(numbers[known[places]] // self.shards)
         return out
 
-    def score(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its training count and the log10 of its probability after the tokens before it."""
-        m = self.model
-        first = np.cumsum(counts) - counts
-        columns = grams(short(hashes), counts, m.order)
-        words = self.look_up(1, _word_shard(columns[-1], m.shards), _mix(hashes))
-        less = lambda count, d: np.maximum(count - np.choose(np.minimum(count, 3), [0.0, *d]), 0)
-        d = m.discounts[0]
-        total = max(1, m.pairs)
-        spare = sum(x * n for x, n in zip(d, m.word_classes, strict=True)) / total if m.pairs else 1.0
-        p = less(words[:, 1], d) / total + spare / (m.vocabulary + 1)
-        stats = words[:, 2:]
-        for level in range(2, m.order + 1):
-            context = np.empty_like(stats)
-            context[1:] = stats[:-1]
-            context[first] = self.begin[level - 1][0][-4:]
-            part = columns[m.order - level :]
-            found = self.look_up(level, self.shard(level, part), short(gram_key(part)))
-            d, total = m.discounts[level - 1], context[:, 0]
-            back = context[:, 1:] @ np.array(d)
-            p = np.where(total > 0, (less(found[:, 0], d) + back * p) / np.maximum(total, 1), p)
-            stats = found[:, 1:]
-        return words[:, 0], np.log10(p)
+    def gram_stats(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Of each n-gram: its count and, unless it is of the longest, the total and classes of what follows."""
+        top, key = len(columns) == self.order, gram_key(columns)
+        out = np.zeros((len(key), 1 if top else 5), np.int64)
+        shard = _top_shard(columns, key, self.shards) if top else _whole_shard(key, self.shards)
+        for k, places in self._by_shard(shard, key >> _U(32)):
+            table = self._file(f"{len(columns)}-{k}", Table)
+            if table is not None:
+                out[places] = table.look_up(key[places] >> _U(16))
+        return out
+
+
+def token_scores(m: NgramModel, reader: Reader, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token its training count and the log10 of its probability after the tokens before it."""
+    first = np.cumsum(counts) - counts
+    known, numbers = reader.words(hashes)
+    columns = grams(numbers, counts, m.order)
+    less = lambda count, d: np.maximum(count - np.choose(np.minimum(count, 3), [0.0, *d]), 0)
+    stats = reader.word_stats(numbers)
+    d, total = m.discounts[0], max(1, m.pairs)
+    spare = sum(x * n for x, n in zip(d, m.word_classes, strict=True)) / total if m.pairs else 1.0
+    p = less(stats[:, 0], d) / total + spare / (m.vocabulary + 1)
+    for level in range(2, m.order + 1):
+        begin = [np.zeros(1, np.int64)] * (level - 1)
+        context = np.empty((len(stats), 4), np.int64)
+        context[1:] = stats[:-1, 1:]
+        context[first] = (reader.word_stats(begin[0]) if level == 2 else reader.gram_stats(begin))[0, 1:]
+        stats = reader.gram_stats(columns[m.order - level :])
+        d, total = m.discounts[level - 1], context[:, 0]
+        p = np.where(total > 0, (less(stats[:, 0], d) + context[:, 1:] @ np.array(d) * p) / np.maximum(total, 1), p)
+    return known, np.log10(p)
 
 
 def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -577,11 +593,11 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
+        reader = Reader(model.path, model.shards, model.order)
         for batch in batches:
             for part in slices(batch, limit=SCORE_BYTES):
                 h, n = tokens(*text_buffer(part.column("text")))
-                count, log = reader.score(h, n)
+                count, log = token_scores(model, reader, h, n)
                 base = np.log10((count + 1.0) / (model.train_tokens + model.vocabulary + 1.0))
                 first = np.cumsum(n) - n
                 sums = [np.add.reduceat(x, first) for x in ((count > 0).astype(np.int64), base, log)]
