@@ -12,15 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import slices, staged, text_buffer, texts_of
 
 #: Bound of the training sample: so many labelled rows of each class at most.
 SAMPLE_ROWS = 5000
-#: Labelled texts longer than this are not taken for training (they are scored whole like all others).
-SAMPLE_TEXT_BYTES = 32_768
+#: A labelled text of more characters gives the training so many pieces of so many characters, spread evenly
+#: over all of it (it is scored whole like all others).
+SAMPLE_CHARS, PIECES, PIECE_CHARS = 32_768, 16, 2_048
 CHUNK, OVERLAP, FILTERS, WIDTH = 256, 32, 16, 6
 #: Bytes that are scored at once.
 STEP_BYTES = 1 << 20
@@ -82,6 +83,23 @@ def pooled(net: ByteConvNet, data: np.ndarray, offsets: np.ndarray, where: bool
     return mean, top, active, at, count, start, owner, end
 
 
+def gradients(net: ByteConvNet, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the weighted log loss, with a small ridge on the last layer: by filters, shift, weights and bias."""
+    mean, top, active, at, count, start, owner, end = pooled(net, data, offsets, where=True)
+    features = np.hstack([mean, top])
+    p = 1 / (1 + np.exp(-np.clip(features @ net.weights + net.bias, -40, 40)))
+    delta = (p - labels) * weights / weights.sum()
+    d_features = delta[:, None] * net.weights[None, :]
+    d_active = d_features[owner, :FILTERS] / count[owner][:, None] + d_features[owner, FILTERS:] * (active == top[owner])
+    d_active *= active > 0
+    d_filters = np.zeros_like(net.filters, np.float64)
+    rows, cols = np.nonzero(d_active)
+    hit = window(data, start[rows] + at[rows, cols], end[rows], WIDTH)
+    for k in range(WIDTH):
+        np.add.at(d_filters[k], (hit[:, k], cols), d_active[rows, cols])
+    return d_filters, d_active.sum(0), features.T @ delta + 1e-4 * net.weights, np.array([delta.sum()])
+
+
 def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, least_steps: int = 400, batch: int = 48, rate: float = 0.01, seed: int = 11) -> ByteConvNet:
     """Adam on the weighted log loss; weights restore the shares of the classes before balanced sampling."""
     rng = np.random.default_rng(seed)
@@ -95,19 +113,7 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
             step += 1
             data = np.frombuffer(b"".join(texts[i] for i in part), np.uint8)
             offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in part])])
-            mean, top, active, at, count, start, owner, end = pooled(net, data, offsets, where=True)
-            features = np.hstack([mean, top])
-            p = 1 / (1 + np.exp(-np.clip(features @ net.weights + net.bias, -40, 40)))
-            delta = (p - labels[part]) * weights[part] / weights[part].sum()
-            d_features = delta[:, None] * net.weights[None, :]
-            d_active = d_features[owner, :FILTERS] / count[owner][:, None] + d_features[owner, FILTERS:] * (active == top[owner])
-            d_active *= active > 0
-            d_filters = np.zeros_like(net.filters, np.float64)
-            rows, cols = np.nonzero(d_active)
-            hit = window(data, start[rows] + at[rows, cols], end[rows], WIDTH)
-            for k in range(WIDTH):
-                np.add.at(d_filters[k], (hit[:, k], cols), d_active[rows, cols])
-            grads = (d_filters, d_active.sum(0), features.T @ delta + 1e-4 * net.weights, np.array([delta.sum()]))
+            grads = gradients(net, data, offsets, labels[part], weights[part])
             lr = rate * (1 - epoch / epochs)
             for value, grad, moments, name in zip((net.filters, net.shift, net.weights, net.bias), grads, state, ("filters", "shift", "weights", "bias"), strict=True):
                 moments[0] = 0.9 * moments[0] + 0.1 * grad
@@ -117,17 +123,24 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def spread_pieces(text: Column) -> Column:
+    """A text of up to SAMPLE_CHARS characters as it is; of a longer one, PIECES pieces from its first to its last character."""
+    n = F.length(text)
+    piece = lambda i: F.substr(text, (i * (n - PIECE_CHARS) / (PIECES - 1)).cast("int") + 1, F.lit(PIECE_CHARS))
+    return F.when(n <= SAMPLE_CHARS, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), piece), "\n"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts, labels and class weights of a bounded sample: the `rows` labelled ids of each class that are first by hash.
 
     Rows with a null label or id are left out; of an id with several labels the largest counts.
     """
     known = labels.where(F.col(label).isin(0, 1) & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    there = texts_of(docs, id_col, text_col).where(F.octet_length("text") <= text_bytes)
+    there = texts_of(docs, id_col, text_col)
     ranked = lambda c: known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = staged(ranked(0).union(ranked(1)), "sample")
-    found = there.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows).select("text", "label").toArrow()
+    found = there.join(F.broadcast(chosen), "doc_id").withColumn("text", spread_pieces(F.col("text"))).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * rows).select("text", "label").toArrow()
     if not found.num_rows:
         return [], np.zeros(0), np.zeros(0)
     texts = [t.encode() for t in found.column("text").to_pylist()]
@@ -158,7 +171,11 @@ def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: s
 
 
 def keep_good(docs: DataFrame, net: ByteConvNet, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score below the threshold, all columns as they are."""
+    """docs without the rows that score below the threshold, all columns as they are.
+
+    A null text is scored as the empty one and stays null if it is kept; repeated rows go or stay alike; null
+    ids don't matter; an empty table gives an empty result.
+    """
     names = docs.columns
     kind = docs.schema
 

@@ -2,9 +2,14 @@
 
 Labels are of documents, so token labels come first: words and word beginnings that occur in the toxic
 texts of the sample significantly more often than in its others mark the toxic tokens of toxic texts.
-The field learns to tag these tokens from hashed features of each word and from the tags beside it. With two tags, forward and backward messages are one ratio each, so the marginals
+The field learns to tag these tokens from hashed features of each word and from the tags beside it. With two
+tags, forward and backward messages are one ratio each, so the marginals
 of all sentences of a batch are computed together. A text's score is a logistic function of the sum
 and the maximum of its marginals.
+
+A word is a run of letters, digits, apostrophes and bytes beyond ASCII; in scripts without blanks between
+words each character is one. A chain is a sentence of any length: long ones are handled in pieces side by
+side, with the exact messages carried from piece to piece.
 """
 
 from __future__ import annotations
@@ -17,18 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewheel.llm.common import slices, text_buffer, texts_of, word_spans
-from tidewheel.llm.quality import SAMPLE_TEXT_BYTES, labelled_sample
+from tidewheel.llm.quality import labelled_sample
 
 #: Bound of the training sample: so many labelled rows of each class at most. Its word features are held by the driver.
 SAMPLE_ROWS = 3000
 #: Hashed features: whole words, and beginnings of so many bytes of longer words.
 BEGINNINGS, BITS = (4, 5, 6, 7, 8), 20
-#: Longest chain: a longer sentence is cut. Bytes of a word that are hashed side by side with those of others.
-CHAIN, SHORT = 64, 64
+#: Tokens of the pieces in which long chains are handled. Bytes of a word that are hashed side by side with those of others.
+PIECE, SHORT = 64, 64
 STEP_BYTES = 1 << 20
 _U = np.uint64
 _GAP = np.ones(256, bool)
-_GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_GAP[[39, *range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: First bytes (UTF-8) of characters that are words of their own: kana, Chinese characters, other planes. Of E0: the second bytes of Thai and Lao.
+_ALONE = np.zeros(256, bool)
+_ALONE[[*range(0xE3, 0xEA), *range(0xF0, 0xF5)]] = True
+_THAI = np.zeros(256, bool)
+_THAI[0xB8:0xBC] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n|"]] = True
 _CODE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -74,8 +84,30 @@ def _fold(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> _U(29))) >> _U(64 - BITS)).astype(np.int64)
 
 
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and each text's number of words."""
+    starts, ends, words = word_spans(data, offsets, _GAP)
+    if not len(data) or not (_ALONE[data].any() or (data == 0xE0).any()):
+        return starts, ends, words
+    lead = data & 0xC0 != 0x80
+    alone = _ALONE[data]
+    alone[:-1] |= (data[:-1] == 0xE0) & _THAI[data[1:]]
+    whole = alone[np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))]  # each byte by its character's first
+    new = np.zeros(len(data) + 1, bool)
+    new[starts] = True
+    inside = ~_GAP[data]
+    cut = lead & inside & whole
+    cut[1:] |= lead[1:] & inside[1:] & inside[:-1] & whole[:-1]
+    new[:-1] |= cut
+    begins = np.flatnonzero(new[:-1])
+    last = np.zeros(len(data) + 1, bool)
+    last[ends] = True
+    last[begins[1:]] |= inside[begins[1:] - 1]
+    return begins, np.flatnonzero(last), np.diff(np.searchsorted(begins, offsets))
+
+
 def chains(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """First token of each chain: a text's or sentence's first word, and each CHAIN-th word of a longer one."""
+    """First token of each chain: a text's or sentence's first word."""
     n = len(starts)
     if not n:
         return np.zeros(0, np.int64)
@@ -85,27 +117,75 @@ def chains(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.nda
     new[0] = True
     at = np.concatenate([[0], np.cumsum(words)[:-1]])
     new[at[words > 0]] = True
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, n))
-    pieces = -(-length // CHAIN)
-    return np.repeat(first, pieces) + CHAIN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return np.flatnonzero(new)
+
+
+def _through(matrices: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """A ratio after a step or several: each step is a fractional linear map."""
+    return (matrices[:, 0] * odds + matrices[:, 1]) / (matrices[:, 2] * odds + matrices[:, 3])
+
+
+def _carried(e: np.ndarray, moves: np.ndarray, begin: np.ndarray, length: np.ndarray, chain: np.ndarray, forward: bool) -> np.ndarray:
+    """The message that enters each piece of the chains, from the piece before it (forward) or after it.
+
+    The maps of a piece's tokens are multiplied for all pieces side by side; then the messages go from piece to piece.
+    """
+    start, into, out_of, stay = moves
+    n = len(begin)
+    product = np.tile(np.array([1.0, 0.0, 0.0, 1.0]), (n, 1))
+    for t in range(int(length.max())):
+        now = np.flatnonzero(length > t)
+        x = e[begin[now] + (t if forward else length[now] - 1 - t)]
+        a, b, c, d = product[now].T
+        if forward:  # r -> e (into + stay r) / (1 + out_of r)
+            step = np.stack([x * (stay * a + into * c), x * (stay * b + into * d), out_of * a + c, out_of * b + d], 1)
+        else:  # b -> (out_of + stay e b) / (1 + into e b)
+            step = np.stack([stay * x * a + out_of * c, stay * x * b + out_of * d, into * x * a + c, into * x * b + d], 1)
+        product[now] = step / step.max(1, keepdims=True)
+    first = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
+    count = np.diff(np.append(first, n))
+    entering = np.ones(n)
+    for k in range(1, int(count.max())):
+        now = first[count > k] + k if forward else (first + count)[count > k] - 1 - k
+        before = now - 1 if forward else now + 1
+        if forward and k == 1:  # nothing enters the first piece: its first token starts the chain
+            r = e[begin[before]] * start
+            for t in range(1, PIECE):
+                r = e[begin[before] + t] * (into + r * stay) / (1 + r * out_of)
+            entering[now] = r
+        else:
+            entering[now] = _through(product[before], entering[before])
+    return entering
 
 
 def messages(tagger: Tagger, emission: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward ratios (toxic to clean) of each token; their product is the odds of the marginal."""
-    start, into, out_of, stay = np.exp(tagger.moves)
+    moves = np.exp(tagger.moves)
+    start, into, out_of, stay = moves
     e = np.exp(np.clip(emission, -30, 30))
     length = np.diff(np.append(first, len(emission)))
-    order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    many = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
-    ahead, back = np.empty_like(e), np.ones_like(e)
+    pieces = -(-length // PIECE)
+    chain = np.repeat(np.arange(len(first)), pieces)
+    place = np.arange(len(chain)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, size = first[chain] + place * PIECE, np.minimum(length[chain] - place * PIECE, PIECE)
+    r0, b0 = np.zeros(len(begin)), np.ones(len(begin))
+    long = np.flatnonzero(pieces[chain] > 1)
+    if len(long):
+        r0[long] = _carried(e, moves, begin[long], size[long], chain[long], True)
+        b0[long] = _carried(e, moves, begin[long], size[long], chain[long], False)
+    order = np.argsort(-size, kind="stable")
+    begin, size, r0, b0, fresh = begin[order], size[order], r0[order], b0[order], place[order] == 0
+    many = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
+    ahead, back = np.empty_like(e), np.empty_like(e)
     for t, m in enumerate(many):
-        at = first[:m] + t
-        r = ahead[at - 1] if t else None
-        ahead[at] = e[at] * (start if r is None else (into + r * stay) / (1 + r * out_of))
+        at = begin[:m] + t
+        r = ahead[at - 1] if t else r0
+        ahead[at] = e[at] * (into + r * stay) / (1 + r * out_of)
+        if not t:
+            ahead[at[fresh]] = e[at[fresh]] * start
+    back[begin + size - 1] = b0
     for t in range(len(many) - 1, 0, -1):
-        at = first[: many[t]] + t
+        at = begin[: many[t]] + t
         eb = e[at] * back[at]
         back[at - 1] = (out_of + stay * eb) / (1 + into * eb)
     return ahead, back
@@ -148,6 +228,24 @@ def lexicon(feats: np.ndarray, owner: np.ndarray, toxic: np.ndarray, lift: float
     return np.flatnonzero((ratio > 2 * np.log(max(2, (a + b > 0).sum())) + 4) & (a / n1 > lift * b / n0))
 
 
+def gradients(tagger: Tagger, feats: np.ndarray, y: np.ndarray, p: np.ndarray, emission: np.ndarray, ahead: np.ndarray, back: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the conditional log-likelihood of tags y, given the marginals p: by the feature weights, and by the bias and the moves."""
+    now = np.setdiff1d(np.arange(len(y)), first, assume_unique=True)
+    eb, r = np.exp(np.clip(emission[now], -30, 30)) * back[now], ahead[now - 1]
+    _, into, out_of, stay = np.exp(tagger.moves)
+    total = 1 + into * eb + r * out_of + r * stay * eb
+    was, is_ = y[now - 1], y[now]
+    small = np.array([
+        (y - p).sum(), (y - p)[first].sum(), ((1 - was) * is_ - into * eb / total).sum(),
+        (was * (1 - is_) - r * out_of / total).sum(), (was * is_ - r * stay * eb / total).sum(),
+    ])
+    grad = np.zeros(len(tagger.weights))
+    for k in range(feats.shape[1]):
+        there = feats[:, k] >= 0
+        grad += np.bincount(feats[there, k], (y - p)[there], minlength=len(grad))
+    return grad, small
+
+
 def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 5, least_steps: int = 300, batch: int = 60, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> Tagger:
     """AdaGrad on the conditional log-likelihood of the tags, over two thirds of the texts; a logistic fit of the
     text's sums over the rest, with weights that restore the classes' shares."""
@@ -156,7 +254,7 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
         return tagger
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    starts, ends, words = word_spans(data, offsets, _GAP)
+    starts, ends, words = tokens(data, offsets)
     feats, owner = features(data, starts, ends), np.repeat(np.arange(len(texts)), words)
     marks = np.zeros((1 << BITS) + 1, bool)
     at = np.concatenate([[0], np.cumsum(words)])
@@ -181,21 +279,7 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
             emission = emissions(tagger, f)
             ahead, back = messages(tagger, emission, first)
             p = ahead * back / (1 + ahead * back)
-            inner = np.ones(len(rows), bool)
-            inner[first] = False
-            now = np.flatnonzero(inner)
-            eb, r = np.exp(np.clip(emission[now], -30, 30)) * back[now], ahead[now - 1]
-            _, into, out_of, stay = np.exp(tagger.moves)
-            total = 1 + into * eb + r * out_of + r * stay * eb
-            was, is_ = y[now - 1], y[now]
-            small = np.array([
-                (y - p).sum(), (y - p)[first].sum(), ((1 - was) * is_ - into * eb / total).sum(),
-                (was * (1 - is_) - r * out_of / total).sum(), (was * is_ - r * stay * eb / total).sum(),
-            ])
-            grad = np.zeros(1 << BITS)
-            for k in range(f.shape[1]):
-                there = f[:, k] >= 0
-                grad += np.bincount(f[there, k], (y - p)[there], minlength=1 << BITS)
+            grad, small = gradients(tagger, f, y, p, emission, ahead, back, first)
             seen += grad * grad
             seen_small += small * small
             tagger.weights = ((1 - decay) * tagger.weights + rate * grad / np.sqrt(seen)).astype(np.float32)
@@ -234,28 +318,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES, **options) -> Tagger:
-    return train(*labelled_sample(docs, labels, label, rows, text_bytes, **options))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, **options) -> Tagger:
+    return train(*labelled_sample(docs, labels, label, rows, **options))
 
 
 def marginals(tagger: Tagger, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Probability that each word is toxic; starts, ends and words of each text."""
-    starts, ends, words = word_spans(data, offsets, _GAP)
+    starts, ends, words = tokens(data, offsets)
     ahead, back = messages(tagger, emissions(tagger, features(data, starts, ends)), chains(data, starts, ends, words))
     return ahead * back / (1 + ahead * back), starts, ends, words
 
 
 def document_scores(tagger: Tagger, p: np.ndarray, words: np.ndarray) -> np.ndarray:
-    z = summary(p, words) @ tagger.document[:-1] + tagger.document[-1]
-    return np.where(words > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+    return 1 / (1 + np.exp(-np.clip(summary(p, words) @ tagger.document[:-1] + tagger.document[-1], -30, 30)))
 
 
 def score(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, threshold: float = 0.5) -> DataFrame:
     """(doc_id, score[, spans]) of each row of docs, from the marginals of its words.
 
     spans: begin, end (byte offsets in the UTF-8 text) and probability of each run of words above the
-    threshold. A null or empty text, or one without letters, has score 0 and no spans; repeated rows
-    are scored each; an empty table gives an empty result; further columns are ignored.
+    threshold. A null or empty text, or one without words, has the score of no marginals and no spans;
+    repeated rows are scored each; an empty table gives an empty result; further columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
