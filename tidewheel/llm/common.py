@@ -115,6 +115,22 @@ def text_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.Table]:
+    """Rows that are sorted by a number, in parts of about `rows` that end where its value changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            value = table.column(column).to_numpy()
+            cut = int(np.searchsorted(value, value[-1])) if value[0] != value[-1] else 0
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).combine_chunks().to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import components, salt, sized, staged
+from tidewheel.llm.common import components, salt, sized, staged, whole_groups
 
 #: Dimensions of a block; a cell's side as a multiple of the block's reach.
 BLOCK, SIDE = 8, 2.0
 #: Added to the budget, so that rounding to single precision loses no pair before the exact check.
 SLACK = 1e-5
 #: Homes, and probes from one cell, that meet in a tile; rows that a worker handles at once; pairs that it compares at once.
-TILE, ROWS, PAIRS = 1024, 50_000, 500_000
+TILE, ROWS, PAIRS = 256, 50_000, 500_000
 #: Rows of a shuffle partition.
 PARTITION = 400_000
 
@@ -135,22 +135,6 @@ def _placed(budget: float, grid: int) -> Callable:
     return run
 
 
-def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows in parts of about ROWS that end where a tile does."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= ROWS:
-            table = pa.Table.from_batches(held)
-            tile = table.column("tile").to_numpy()
-            cut = int(np.searchsorted(tile, tile[-1])) if tile[0] != tile[-1] else 0
-            if cut:
-                yield table.slice(0, cut)
-                held = table.slice(cut).combine_chunks().to_batches()
-    if held and sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held)
-
-
 def _meetings(tile: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(home row, probe row) of all pairs within the tiles, up to about PAIRS at once."""
     order = np.lexsort((~home, tile))  # of each tile the homes come first
@@ -181,7 +165,7 @@ def _near(x: np.ndarray, a: np.ndarray, b: np.ndarray, columns: range, share: np
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(tile, block, p, home) of the points that have a candidate in a tile."""
-    for table in _whole_tiles(batches):
+    for table in whole_groups(batches, "tile", ROWS):
         tile, home, p, share = (table.column(n).to_numpy() for n in ("tile", "home", "p", "share"))
         ((_, (x,)),) = _matrices(table, "x")
         hit = np.zeros(len(tile), bool)
@@ -199,7 +183,7 @@ def _verified(budget: float, least: float) -> Callable:
     """(p, near, other): each linked point of a part, its count of links that are counted here, and a point that it is connected with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_tiles(batches):
+        for table in whole_groups(batches, "tile", ROWS):
             for rows, (x, v) in _matrices(table, "x", "v"):
                 tile, home, p, n, la, lb, block = (table.column(c).to_numpy()[rows] for c in ("tile", "home", "p", "n", "la", "lb", "block"))
                 points, at = np.unique(p, return_inverse=True)
@@ -286,7 +270,7 @@ def _links(points: DataFrame, least: float) -> DataFrame:
     told = points.groupBy("la").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).agg(F.max("n"), F.sum("n"), F.max("dims")).first()
     if not told[0]:
         return points.select("p", F.lit(0).cast("long").alias("near"), F.col("p").alias("other"))
-    grid = min(BLOCK, max(1, round(np.log2(told[0]) / 3)))  # a finer grid has more probes for each point and fewer points for each probe
+    grid = min(BLOCK, max(1, round(np.log2(told[0]) / 4)))  # a finer grid has more probes for each point and fewer points for each probe
     partitions = max(1, -(-told[1] * len(blocks_of(told[2])) * (1 + (1 << grid)) // PARTITION))
     placed = points.select("p", "la", "x").mapInArrow(_placed(budget, grid), "p bigint, block int, share float, x array<float>, home bigint, probes array<bigint>")
     crowded = staged(placed.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("home", F.ceil(F.col("n") / TILE).cast("int").alias("own")), "crowded")

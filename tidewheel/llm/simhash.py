@@ -11,14 +11,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import components, drop_keys, salt, slices, staged, text_buffer, texts_of, word_spans
+from tidewheel.llm.common import components, drop_keys, salt, sized, sized_semi_join, slices, staged, text_buffer, texts_of, whole_groups, word_spans
+from tidewheel.llm.lm import END, _mix, tokens
 
 #: Generator polynomial of the perfect binary Golay code (23, 12, 7).
 GOLAY = 0b110001110101
 #: Largest bucket whose members are compared with one another; larger ones go by common neighbours.
 BUCKET = 256
-#: The other three 16-bit blocks of a fingerprint give 48 bits: two 24-bit halves, of which 23 bits enter the code.
-BLOCKS = 4
+#: Blocks into which a fingerprint is cut, by the number of fingerprints up to which they do: more blocks make longer keys, and more of them.
+SEED_PLACE = 52
+#: Rows of candidate groups that a worker handles at once; shingles of a group beyond which its texts are compared by a join.
+GROUP_ROWS, GROUP_SIZE = 500, 4_000_000
+BLOCKS = ((4, 1 << 27), (5, 1 << 34), (6, 1 << 63))
 
 
 def _remainder(value: int) -> int:
@@ -57,25 +61,33 @@ def golay_keys(words: np.ndarray) -> np.ndarray:
     return (x ^ _ERROR[syndrome]) >> 11
 
 
-def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fuzzy_keys(prints: np.ndarray, blocks: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) for 64-bit fingerprints: within 3 bits of each other two of them share a key.
 
-    By the pigeonhole principle one of the four 16-bit blocks is equal, and one of the two halves
-    of the rest differs by one bit at most, so has a Golay index in common.
+    By the pigeonhole principle all blocks but three are equal, and one of the two halves of the rest
+    differs by one bit at most, so has a Golay index in common. A half has 23 bits at most; of the two
+    halves of 24 bits that four blocks leave, one bit each stays out.
     """
     prints = prints.astype(np.uint64)
-    blocks = [(prints >> np.uint64(16 * i) & np.uint64(0xFFFF)).astype(np.int64) for i in range(BLOCKS)]
+    ends = [round(64 * i / blocks) for i in range(blocks + 1)]
+    part = lambda i: (prints >> np.uint64(ends[i]) & np.uint64((1 << (ends[i + 1] - ends[i])) - 1)).astype(np.int64)
     rows, keys = [], []
-    for i in range(BLOCKS):
-        a, b, c = (blocks[j] for j in range(BLOCKS) if j != i)
-        rest = a << 32 | b << 16 | c
-        for half, word in enumerate((rest >> 25, rest >> 1 & 0x7FFFFF)):
-            index = np.sort(golay_keys(word), axis=1)
+    for number, rest in enumerate(combinations(range(blocks), 3)):
+        same = word = np.zeros(len(prints), np.int64)
+        width = 0
+        for i in range(blocks):
+            if i in rest:
+                word, width = word << (ends[i + 1] - ends[i]) | part(i), width + ends[i + 1] - ends[i]
+            else:
+                same = same << (ends[i + 1] - ends[i]) | part(i)
+        low = width // 2
+        for half, bits in enumerate(((word >> low) >> max(0, width - low - 23), word & ((1 << min(low, 23)) - 1))):
+            index = np.sort(golay_keys(bits), axis=1)
             new = np.ones(index.shape, bool)
             new[:, 1:] = index[:, 1:] != index[:, :-1]
             at, _ = np.nonzero(new)
             rows.append(at)
-            keys.append((np.int64(i * 2 + half) << 28) | (blocks[i][at] << 12) | index[new])
+            keys.append((np.int64(number * 2 + half) << 46) | (same[at] << 12) | index[new])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -119,28 +131,24 @@ def sha_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
-    """(doc_id, fp: the fingerprint as a signed long) of each row, if hashed also sha, the text's SHA-256; a text without words has 0."""
-    names = ["doc_id", "fp", *(["sha"] if hashed else [])]
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp: the fingerprint as a signed long) of each row; a text without words has 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 prints = fingerprints(*text_buffer(part.column("text")), shingle, seed)
-                shas = [part.column("sha")] if hashed else []
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64)), *shas], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = texts_of(docs, id_col, text_col)
-    texts = texts.withColumn("sha", sha_of(F.col("text"))) if hashed else texts
-    return texts.mapInArrow(run, f"doc_id {kind}, fp bigint" + ", sha binary" * hashed)
+    return texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
 def _bucket_links(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            src, dst = [], []
-            for members in batch.column("members"):
+            seeds, src, dst = [], [], []
+            for members, seed in zip(batch.column("members"), batch.column("seed").to_pylist(), strict=True):
                 fp = np.sort(np.array(members.as_py(), np.int64))
                 near = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)) <= max_bits
                 label = np.arange(len(fp))
@@ -150,61 +158,69 @@ def _bucket_links(max_bits: int):
                         break
                     label = low
                 moved = label != np.arange(len(fp))
+                seeds.append(np.full(int(moved.sum()), seed, np.int32))
                 src.append(fp[moved])
                 dst.append(fp[label[moved]])
             none = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src or none)), pa.array(np.concatenate(dst or none))], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds or none).astype(np.int32)), pa.array(np.concatenate(src or none)), pa.array(np.concatenate(dst or none))], names=["seed", "src", "dst"])
 
     return run
 
 
 def _around(fps: DataFrame, bits: int, name: str) -> DataFrame:
-    """(center, name): all 64-bit values within so many bits of each fingerprint."""
+    """(seed, center, name): all 64-bit values within so many bits of each fingerprint."""
     flips = [sum(1 << b for b in places) for k in range(bits + 1) for places in combinations(range(64), k)]
     masks = np.array(flips, np.uint64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 64):
-                fp = batch.column("fp").to_numpy()[s : s + 64]
-                yield pa.RecordBatch.from_arrays([pa.array((fp[:, None] ^ masks[None, :]).ravel()), pa.array(np.repeat(fp, len(masks)))], names=["center", name])
+                fp, seed = batch.column("fp").to_numpy()[s : s + 64], batch.column("seed").to_numpy()[s : s + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(seed, len(masks))), pa.array((fp[:, None] ^ masks[None, :]).ravel()), pa.array(np.repeat(fp, len(masks)))], names=["seed", "center", name])
 
-    return fps.mapInArrow(run, f"center bigint, {name} bigint")
+    return fps.mapInArrow(run, f"seed int, center bigint, {name} bigint")
 
 
-def near_links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """Edges (src, dst) that connect distinct fingerprints just as all links of at most max_bits (3 at most) do.
+def near_links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, blocks: int | None = None) -> DataFrame:
+    """Edges (seed, src, dst) that connect distinct fingerprints (fp) just as all links of at most max_bits (3 at most) do.
 
+    If fps has a column seed (up to 1,000), only fingerprints of one seed are compared; else it is 0.
     Buckets of two are compared in the aggregation. Larger ones up to `bucket` members are gathered
     and give a spanning forest. In still larger ones no pair is formed: a link within 3 bits has a
     middle value one bit at most from one end and two at most from the other; all ends within one
     bit of a middle value are linked with one another and with all ends within two bits, so each
-    end within two is joined to one end within one. That is linear in the bucket's size.
+    end within two is joined to one end within one. That is linear in the bucket's size. The keys'
+    length follows the number of fingerprints (BLOCKS), so few share one by chance.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the keys hold for up to 3 bits")
+    fps = fps.select("seed" if "seed" in fps.columns else F.lit(0).alias("seed"), "fp")
+    if blocks is None:
+        count = fps.count()
+        blocks = next(b for b, most in BLOCKS if count <= most)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 4096):
-                fp = batch.column("fp").to_numpy()[s : s + 4096]
-                at, key = fuzzy_keys(fp.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at])], names=["key", "fp"])
+                fp, seed = batch.column("fp").to_numpy()[s : s + 4096], batch.column("seed").to_numpy()[s : s + 4096]
+                at, key = fuzzy_keys(fp.view(np.uint64), blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(key | seed[at].astype(np.int64) << SEED_PLACE), pa.array(fp[at])], names=["key", "fp"])
 
-    keys = fps.select("fp").mapInArrow(spread, "key bigint, fp bigint")
+    keys = fps.mapInArrow(spread, "key bigint, fp bigint")
+    seed = F.shiftright("key", SEED_PLACE).cast("int").alias("seed")
     stats = staged(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst")).where("n > 1"), "buckets")
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
-    links = stats.where("n = 2").where(close("src", "dst")).select("src", "dst")
+    links = stats.where("n = 2").where(close("src", "dst")).select(seed, "src", "dst")
     middle = stats.where(F.col("n").between(3, bucket)).select("key")
     if not middle.isEmpty():
-        lists = keys.join(middle, "key").groupBy("key").agg(F.collect_list("fp").alias("members")).select("members")
-        links = links.union(lists.mapInArrow(_bucket_links(max_bits), "src bigint, dst bigint"))
+        lists = sized_semi_join(keys, middle, ["key"]).groupBy("key").agg(F.collect_list("fp").alias("members")).select(seed, "members")
+        links = links.union(lists.mapInArrow(_bucket_links(max_bits), "seed int, src bigint, dst bigint"))
     large = stats.where(F.col("n") > bucket).select("key")
     if not large.isEmpty():
-        crowd = staged(keys.join(large, "key").select("fp").distinct(), "crowd")
+        crowd = staged(sized_semi_join(keys, large, ["key"]).select(seed, "fp").distinct(), "crowd")
         inner = max_bits // 2
-        first = _around(crowd, inner, "dst").groupBy("center").agg(F.min("dst").alias("dst"))
-        links = links.union(_around(crowd, max_bits - inner, "src").join(first, "center").select("src", "dst"))
+        first = _around(crowd, inner, "dst").groupBy("seed", "center").agg(F.min("dst").alias("dst"))
+        links = links.union(_around(crowd, max_bits - inner, "src").join(first, ["seed", "center"]).select("seed", "src", "dst"))
     return links.where("src <> dst").distinct()
 
 
@@ -215,31 +231,161 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link; a null doc_id is never a component's id unless it has no other; repeated rows keep their
     own result rows; an empty table gives an empty result; further columns are ignored.
     """
-    rows = simhash(docs, id_col, text_col, shingle, seed)
-    return _with_lowest(rows, F.min("doc_id"), max_bits).select("doc_id", "fp", F.col("low").alias("component_id"))
-
-
-def _with_lowest(prints: DataFrame, lowest: Column, max_bits: int) -> DataFrame:
-    """The rows of prints with low: the minimum `lowest` over each component of linked fingerprints."""
-    rows = staged(prints.withColumn("salt", salt(F.col("doc_id"))), "prints")
-    part = rows.groupBy("fp", "salt").agg(lowest.alias("low"))
+    rows = staged(simhash(docs, id_col, text_col, shingle, seed).withColumn("salt", salt(F.col("doc_id"))), "prints")
+    part = rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("low"))
     groups = staged(part.groupBy("fp").agg(F.min("low").alias("low"), F.collect_list("salt").alias("salts")), "classes")
-    roots = components(near_links(groups, max_bits))
+    roots = components(near_links(groups, max_bits).select("src", "dst"))
     named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = named.groupBy("root").agg(F.min("low").alias("low"))
-    classes = named.select("fp", "root", "salts").join(lows, "root").select("fp", "low", F.explode("salts").alias("salt"))
-    return rows.join(classes, ["fp", "salt"]).drop("salt")
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    classes = named.select("fp", "root", "salts").join(lows, "root").select("fp", "component_id", F.explode("salts").alias("salt"))
+    return rows.join(classes, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+
+
+def word_fingerprints(data: np.ndarray, offsets: np.ndarray, seeds: int) -> np.ndarray:
+    """For each text a SimHash of its set of words for each seed."""
+    hashed, counts = tokens(data, offsets)
+    text = np.repeat(np.arange(len(counts)), counts)
+    hashed, text = hashed[(word := hashed != END)], text[word]
+    order = np.lexsort((hashed, text))
+    hashed, text = hashed[order], text[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (hashed[1:] != hashed[:-1])
+    hashed, text = hashed[new], text[new]
+    out = np.zeros((len(counts), seeds), np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(text)))
+    for seed in range(seeds):
+        with np.errstate(over="ignore"):
+            bits = _mix(hashed + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15))
+        ones = np.zeros((len(first), 64), np.int32)
+        for s in range(0, len(text), 1 << 16):  # whole texts or parts of one, which bounds the bits that are held
+            part = np.unpackbits(bits[s : s + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64)
+            low, high = np.searchsorted(first, s, side="right") - 1, np.searchsorted(first, s + len(part))
+            ones[low:high] += np.add.reduceat(part, np.maximum(first[low:high] - s, 0), axis=0, dtype=np.int32)
+        out[text[first], seed] = np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
-    """docs with one row of each component, all columns as they are.
+def word_prints(docs: DataFrame, id_col: str, text_col: str, seeds: int) -> DataFrame:
+    """(doc_id, sha, fps: a fingerprint of the text's words for each seed) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                prints = word_fingerprints(*text_buffer(part.column("text")), seeds)
+                ends = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * seeds)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sha"), pa.ListArray.from_arrays(ends, pa.array(prints.view(np.int64).ravel()))], names=["doc_id", "sha", "fps"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return texts_of(docs, id_col, text_col).withColumn("sha", sha_of(F.col("text"))).mapInArrow(run, f"doc_id {kind}, sha binary, fps array<bigint>")
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct runs of so many words (fewer: of the whole text; none: no hash)."""
+    hashed, counts = tokens(data, offsets)
+    first, out = np.cumsum(counts) - counts, []
+    run = hashed.copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, min(words, len(run))):
+            run[: len(run) - k] = _mix(run[: len(run) - k] * np.uint64(0x9E3779B97F4A7C15) + hashed[k:])
+    for a, n in zip(first.tolist(), (counts - 1).tolist(), strict=True):
+        if n >= words:
+            out.append(np.unique(run[a : a + n - words + 1]))
+        else:
+            out.append(np.array([hash(tuple(hashed[a : a + n].tolist())) & (2**64 - 1)] if n else [], np.uint64))
+    return out
+
 
-    It is a row of the smallest id, a null id being the largest; of an id's different texts in one
-    component, that of the smallest hash. Rows are told apart by id and text, so rows of other
-    components stay whatever their ids are; of repeated rows with one id and text, one stays.
+def _settled(similarity: float):
+    """p of the texts that go: of each root's texts, in order, the first stays and those similar to it go; so on with the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "root", GROUP_ROWS):
+            root, p = table.column("root").to_numpy(), table.column("p").to_numpy()
+            lists = table.column("shingles").combine_chunks()
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat, gone = lists.flatten().to_numpy(), np.zeros(len(p), bool)
+            starts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(p)], strict=True):
+                left = np.arange(a, b)
+                while len(left) > 1:
+                    lead, left = flat[ends[left[0]] : ends[left[0] + 1]], left[1:]
+                    size = ends[left + 1] - ends[left]
+                    values = np.concatenate([flat[ends[i] : ends[i + 1]] for i in left])
+                    common = np.bincount(np.repeat(np.arange(len(left)), size), np.isin(values, lead, assume_unique=False), len(left))
+                    total = len(lead) + size - common
+                    near = common >= similarity * total
+                    gone[left[near]] = True
+                    left = left[~near]
+            yield pa.RecordBatch.from_arrays([pa.array(p[gone])], names=["p"])
+
+    return run
+
+
+def _goers(sets: DataFrame, similarity: float) -> DataFrame:
+    """p of the texts that go, of a staged table (p, root, rank, shingles); see _settled, which does this for small roots.
+
+    While a root's shingles are too many for one task, its first text is compared with all others by a
+    salted join, those similar to it go, and the others are what is left of the root.
+    """
+    open_, gone = sets, []
+    while True:
+        sizes = staged(open_.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("size"), F.min(F.struct("rank", "p")).alias("lead")).where("n > 1"), "roots")
+        large = sizes.where(F.col("size") > GROUP_SIZE)
+        if large.isEmpty():
+            break
+        salts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
+        heads = large.select("root", F.col("lead.p").alias("lead"), salts.alias("salts"))
+        leads = open_.join(sized(heads).drop("root"), F.col("p") == F.col("lead")).select("root", "lead", F.col("shingles").alias("most"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        others = open_.join(sized(heads), "root").where("p <> lead").withColumn("salt", F.pmod(F.xxhash64("p"), F.col("salts")).cast("int")).drop("lead", "salts")
+        common = F.size(F.array_intersect("shingles", "most"))
+        near = common >= F.lit(similarity) * (F.size("shingles") + F.size("most") - common)
+        judged = staged(others.join(leads.drop("lead"), ["root", "salt"]).select("p", "root", "rank", "shingles", near.alias("near")), "judged")
+        gone.append(judged.where("near").select("p"))
+        small = open_.join(sized(heads.select("root")), "root", "left_anti")
+        open_ = staged(small.unionByName(judged.where("not near").select(*small.columns)), "open")
+    many = open_.join(sized(sizes.select("root")), "root", "left_semi").select("root", "rank", "p", "shingles")
+    rest = many.repartition("root").sortWithinPartitions("root", "rank").mapInArrow(_settled(similarity), "p bigint")
+    for part in gone:
+        rest = rest.union(part)
+    return staged(rest, "goers")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = 6, max_bits: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies of rows that stay, all columns as they are.
+
+    Candidates are components of texts that any of `seeds` fingerprints of their words links (max_bits at
+    most); within a component the text of the smallest id stays, those that share `similarity` of their
+    distinct runs of `words` words with it (Jaccard) go, and so on with the rest, so each text that goes is
+    near one that stays. Rows are told apart by id and text: of equal texts a row of the smallest id stays,
+    a null id being the largest; of repeated rows with one id and text, one stays. A null text is the
+    empty one; texts without words are near one another; an empty table gives an empty result.
     """
-    rows = simhash(docs, id_col, text_col, shingle, seed, hashed=True)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("sha")))
-    kept = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("sha") == F.col("low.sha"))
-    decided = _with_lowest(rows, best, max_bits).select("doc_id", "sha", kept.alias("kept"))
+    rows = staged(word_prints(docs, id_col, text_col, seeds).withColumn("salt", salt(F.col("doc_id"))), "prints")
+    part = rows.groupBy("sha", "salt").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))).alias("low"), F.first("fps").alias("fps"))
+    texts = staged(part.groupBy("sha").agg(F.min("low").alias("low"), F.first("fps").alias("fps"), F.collect_list("salt").alias("salts")).withColumn("p", F.monotonically_increasing_id()), "texts")
+    prints = texts.select("p", F.posexplode("fps").alias("seed", "fp"))
+    values = staged(prints.groupBy("seed", "fp").agg(F.count("*").alias("n")), "values")
+    links = staged(near_links(values, max_bits), "links")
+    node = lambda value: F.xxhash64("seed", value).bitwiseOR(F.lit(-(1 << 63)))  # noqa: E731  negative, while p isn't
+    ends = links.select("seed", F.col("src").alias("fp")).union(links.select("seed", F.col("dst").alias("fp"))).union(values.where("n > 1").select("seed", "fp"))
+    used = prints.join(ends.distinct(), ["seed", "fp"], "left_semi").select(F.col("p").alias("src"), node("fp").alias("dst"))
+    found = components(links.select(node("src").alias("src"), node("dst").alias("dst")).union(used)).where("node >= 0")
+    rank = F.struct(F.col("low.none"), F.col("low.doc_id"), F.col("sha")).alias("rank")
+    members = staged(texts.join(found.select(F.col("node").alias("p"), "root"), "p").select("sha", "p", "root", rank), "members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = shingle_sets(*text_buffer(part.column("text")), words)
+                ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+                shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("p", "root", "rank")), shingles], names=["p", "root", "rank", "shingles"])
+
+    shape = f"p bigint, root bigint, rank {members.schema['rank'].dataType.simpleString()}, shingles array<bigint>"
+    candidates = texts_of(docs, id_col, text_col).select("text", sha_of(F.col("text")).alias("sha")).join(sized(members, 160), "sha")
+    whole = staged(candidates.drop("sha").mapInArrow(sets, shape).dropDuplicates(["p"]), "shingles")
+    gone = _goers(whole, similarity)
+    fate = texts.join(gone.withColumn("gone", F.lit(True)), "p", "left").select("sha", "low", F.coalesce("gone", F.lit(False)).alias("gone"), F.explode("salts").alias("salt"))
+    decided = rows.join(fate, ["sha", "salt"]).select("doc_id", "sha", (~F.col("gone") & F.col("doc_id").eqNullSafe(F.col("low.doc_id"))).alias("kept"))
     return drop_keys(docs, {"doc_id": docs[id_col], "sha": sha_of(F.coalesce(docs[text_col], F.lit("")))}, decided)
