@@ -106,6 +106,8 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
+        if ids and not (0 <= min(ids) and max(ids) < len(self.tokens)):
+            raise ValueError(f"ids must be from 0 to {len(self.tokens) - 1}")
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -144,7 +146,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, bytes) of each row's ids; null ids count as none."""
+    """(doc_id, bytes) of each row's ids, which must be those of the vocabulary.
+
+    Null ids count as none; repeated rows are decoded each; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
