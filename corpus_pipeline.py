@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import exact_dedup, packing, pii, quality, simhash
-from tidewheel.llm.common import bucket_of, staged
+from tidewheel.llm.common import bucket_of, delete, scratch, staged
 from tidewheel.llm.queries import PII_KEY
 
 
@@ -23,13 +23,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar fingerprints, the document with the smallest id stays."""
-    return simhash.drop_near_duplicates(docs, shingle=3, max_bits=3, seed=42)
+    """Of documents that share 0.8 of their five-word shingles, found by fingerprints of their words, the one with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs, seeds=6, max_bits=3, words=5, similarity=0.8)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data and secrets; the count of characters follows the new text."""
-    return pii.replace_entities(docs, PII_KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Texts with surrogates for personal data and secrets; the count of characters, if there is one, follows the new text."""
+    out = pii.replace_entities(docs, PII_KEY)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's result is written and read again; what a stage staged for itself, and the result before, are then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as made:
+            docs = staged(stage(spark, docs, sf_dir), name)
+            kept = made.pop()
+        delete(spark, before)
+        before = [kept]
     return docs
