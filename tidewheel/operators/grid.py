@@ -112,6 +112,23 @@ def mean_inside(grid: DataFrame, shapes: DataFrame, value: str, out: str) -> Dat
     return cells.join(tiles, ["tx", "ty"]).where(inside(F.col("lon"), F.col("lat"), F.col("ring"))).groupBy("id", "month").agg(F.avg(value).alias(out))
 
 
+def country_mean_or_inside(grid: DataFrame, countries: DataFrame, shapes: DataFrame, value: str, out: str) -> DataFrame:
+    """AGG-9 with its fallback, JN-19: the mean by country_code and month over the code's cells; where they have no value, that
+    over cells inside the shape whose id is the code. JN-20: if both have a column crs, it must be the same.
+
+    grid: (lat_idx, lon_idx, lat, lon, month, value). Only shapes that some month needs are joined with cells.
+    """
+    if "crs" in grid.columns and "crs" in shapes.columns:
+        same = F.assert_true(grid["crs"].eqNullSafe(shapes.select(F.first("crs")).scalar()), "grid and shapes have different coordinate systems")
+        grid = grid.where(same.isNull())
+    by_code = country_mean(grid, countries, value, out)
+    full = by_code.groupBy(F.col("country_code").alias("id")).agg(F.count(out).alias("_n")).where(F.col("_n") == grid.select(F.countDistinct("month")).scalar())
+    needed = shapes.join(full, "id", "left_anti")
+    inner = mean_inside(grid, needed, value, "_inside").withColumnRenamed("id", "country_code")
+    found = by_code.join(inner, ["country_code", "month"], "full")
+    return found.select("country_code", "month", F.coalesce(out, "_inside").alias(out))
+
+
 def resample_nearest(grid: DataFrame, step: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """DOM-10: cells of the given step, each with the value of the source cell whose centre is nearest to its own.
 

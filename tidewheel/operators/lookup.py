@@ -94,11 +94,19 @@ def by_source(df: DataFrame, layers: Mapping[str, DataFrame], source: str, sourc
     return out.withColumns({"x": F.when(known, F.col("_x")).otherwise(manual[0]), "y": F.when(known, F.col("_y")).otherwise(manual[1])}).drop("_source", "_id", "_x", "_y")
 
 
-def best_names(names: DataFrame, name: str, choices: list[str], overrides: Mapping[str, str] | None = None) -> DataFrame:
+#: Choices of a fuzzy match at most: each name is compared with all of them, so a long list needs keys instead.
+CHOICES = 5_000
+
+
+def best_names(names: DataFrame, name: str, choices: DataFrame | list[str], overrides: Mapping[str, str] | None = None) -> DataFrame:
     """JN-10, JN-11, SRT-4: (name, match, score): the choice of the best token set ratio, the last by name of equal ones.
 
-    `choices` is a small list of the caller, carried in the plan; overrides replace a match.
+    `choices` is a list or has a column choice; more than CHOICES different ones are refused. Overrides replace a match.
     """
+    if isinstance(choices, DataFrame):
+        choices = [r.choice for r in choices.select("choice").where("choice is not null").distinct().take(CHOICES + 1)]
+    if len(set(choices)) > CHOICES:
+        raise ValueError(f"more than {CHOICES} choices")
     each = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("choice", F.explode(F.array(*map(F.lit, sorted(set(choices))))))
     best = each.withColumn("score", token_set_ratio("name", "choice")).groupBy("name").agg(F.max(F.struct("score", "choice")).alias("best"))
     fixed = F.create_map(*(F.lit(x) for pair in (overrides or {"": ""}).items() for x in pair))

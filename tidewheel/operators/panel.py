@@ -17,17 +17,18 @@ def aggregate(df: DataFrame, keys: Sequence[str], measures: dict[str, Column]) -
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(*(c.alias(n) for n, c in measures.items()))
 
 
-def monthly(df: DataFrame, keys: Sequence[str], date: str, value: str, how: str = "mean", fill_gaps: bool = True, at_end: bool = True) -> DataFrame:
-    """AGG-2, AGG-3, AGG-4: mean or sum by key and month; months between a key's first and last have a row as well,
+def monthly(df: DataFrame, keys: Sequence[str], date: str, value: str | Sequence[str], how: str = "mean", fill_gaps: bool = True, at_end: bool = True) -> DataFrame:
+    """AGG-2, AGG-3, AGG-4: mean or sum by key and month, of one column or several; months between a key's first and last have a row as well,
     with no mean and a sum of 0. Dates are month ends, or starts."""
-    agg = {"mean": F.avg(value), "sum": sum_or_zero(F.col(value))}[how]
-    cells = df.dropna(subset=[*keys, date]).withColumn("month", month_of(F.col(date))).groupBy(*keys, "month").agg(agg.alias(value))
+    values = [value] if isinstance(value, str) else list(value)
+    agg = {"mean": lambda c: F.avg(c), "sum": lambda c: sum_or_zero(F.col(c))}[how]
+    cells = df.dropna(subset=[*keys, date]).withColumn("month", month_of(F.col(date))).groupBy(*keys, "month").agg(*(agg(c).alias(c) for c in values))
     if fill_gaps:
         spans = cells.groupBy(*keys).agg(F.min("month").alias("a"), F.max("month").alias("b"))
         all_months = spans.select(*keys, F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
         cells = all_months.join(cells, [*keys, "month"], "left")
         if how == "sum":
-            cells = cells.withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
+            cells = cells.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in values})
     return cells.withColumn("month", month_end(F.col("month"))) if at_end else cells
 
 
@@ -59,10 +60,9 @@ def lag_features(series: DataFrame, key: str, month: str, value: str, lags: int
 
 
 def lag_features_by_month(series: DataFrame, key: str, month: str, value: str, lags: int = 7, prefix: str = "physical_hydropower") -> DataFrame:
-    """WIN-1 where months may be missing: a lag is the value of exactly so many months before. One aggregation, no self-join."""
-    moved = series.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(lags - 1)))).withColumn("_at", F.expr(f"add_months({month}, _k)"))
-    out = moved.groupBy(key, F.col("_at").alias(month)).agg(*(F.max(F.when(F.col("_k") == k, F.col(value))).alias(f"{prefix}_{k}n") for k in range(lags)), F.max(F.col("_k") == 0).alias("_there"))
-    return out.where("_there").drop("_there")
+    """WIN-1 where months may be missing: a lag is the value of exactly so many months before. One exchange and sort serve all lags."""
+    w = Window.partitionBy(key).orderBy(F.year(month) * 12 + F.month(month))
+    return series.select(key, month, *(F.max(value).over(w.rangeBetween(-k, -k)).alias(f"{prefix}_{k}n") for k in range(lags)))
 
 
 def discharge_power(series: DataFrame, flow: str = "discharge", head: str = "head_m") -> DataFrame:

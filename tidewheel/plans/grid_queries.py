@@ -100,8 +100,7 @@ def degree_days(spark, sf_dir):
     """DOM-2, DOM-3, AGG-4."""
     k = F.when(F.col("event_id") % 13 != 0, 280 + F.col("value") % 30)
     days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), kernels.cooling_degree(k).alias("cdd"), kernels.heating_degree(k).alias("hdd"))
-    keys = ["user_id"]
-    both = panel.monthly(days, keys, "day", "cdd", "sum", fill_gaps=False, at_end=False).join(panel.monthly(days, keys, "day", "hdd", "sum", fill_gaps=False, at_end=False), ["user_id", "month"])
+    both = panel.monthly(days, ["user_id"], "day", ["cdd", "hdd"], "sum", fill_gaps=False, at_end=False)
     return both.select("user_id", "month", F.round("cdd", 6).alias("cdd"), F.round("hdd", 6).alias("hdd"))
 
 
@@ -166,6 +165,20 @@ def polygon_mean(spark, sf_dir):
     return grid.mean_inside(points, shapes, "value", "inside_mean").withColumn("inside_mean", F.round("inside_mean", 6))
 
 
+@query(f"""WITH {_MONTHS}, c AS (SELECT CAST(unnest(range(40)) AS INT) AS lat_idx, 5 AS lon_idx, 9 AS country_code),
+    xy AS (SELECT lat_idx * 1.0 AS x, lon_idx * 1.0 AS y, month, value FROM g),
+    inner_ AS (SELECT 1 AS country_code, month, avg(value) AS m FROM xy WHERE ({' + '.join(_crossing(a, b) for a, b in zip(_RING, _RING[1:] + _RING[:1], strict=True))}) % 2 = 1 GROUP BY month),
+    outer_ AS (SELECT country_code, month, avg(value) AS m FROM g JOIN c USING (lat_idx, lon_idx) GROUP BY ALL)
+    SELECT country_code, month, round(m, 6) AS mean FROM outer_ UNION ALL SELECT country_code, month, round(m, 6) FROM inner_""")
+def country_mean_fallback(spark, sf_dir):
+    """AGG-9 with JN-19: country 9 has cells, country 1 only a shape."""
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _RING))
+    shapes = spark.range(1).select(F.lit(1).alias("id"), ring.alias("ring"))
+    countries = spark.range(40).select(F.col("id").cast("int").alias("lat_idx"), F.lit(5).alias("lon_idx"), F.lit(9).alias("country_code"))
+    points = monthly_grid(spark, sf_dir).withColumns({"lon": F.col("lat_idx").cast("double"), "lat": F.col("lon_idx").cast("double")})
+    return grid.country_mean_or_inside(points, countries, shapes, "value", "mean").withColumn("mean", F.round("mean", 6))
+
+
 @query("""WITH r AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'GranD' WHEN 1 THEN 'GeoDAR' WHEN 2 THEN 'other' END AS source, s_nationkey + 5 AS source_id, s_acctbal FROM supplier)
     SELECT s_suppkey, CASE WHEN source IN ('GranD', 'GeoDAR') THEN n_nationkey + (CASE source WHEN 'GranD' THEN 0.5 ELSE 0.25 END) ELSE s_acctbal END AS x, CASE WHEN source IN ('GranD', 'GeoDAR') THEN n_regionkey * 1.0 ELSE -1.0 END AS y FROM r LEFT JOIN nation ON source_id = n_nationkey AND source IN ('GranD', 'GeoDAR')""")
 def source_coordinates(spark, sf_dir):

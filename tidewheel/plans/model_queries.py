@@ -88,12 +88,15 @@ def inverse_country_weight(spark, sf_dir):
     return splits.inverse_frequency(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey").select("s_suppkey", F.round("weight", 9).alias("weight"))
 
 
-@query("""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(a * l_quantity + b, 2) AS prediction FROM lineitem, m WHERE l_orderkey % 4 = 0""")
+@query("""WITH c AS (SELECT var_pop(l_quantity) AS vq, var_pop(l_discount) AS vd, covar_pop(l_quantity, l_discount) AS qd, covar_pop(l_quantity, l_extendedprice) AS qy, covar_pop(l_discount, l_extendedprice) AS dy,
+    avg(l_quantity) AS mq, avg(l_discount) AS md, avg(l_extendedprice) AS my FROM lineitem),
+    m AS (SELECT *, (qy * vd - dy * qd) / (vq * vd - qd * qd) AS a, (dy * vq - qy * qd) / (vq * vd - qd * qd) AS b FROM c)
+    SELECT l_orderkey, l_linenumber, round(my + a * (l_quantity - mq) + b * (l_discount - md), 2) AS prediction FROM lineitem, m""")
 def ols_score(spark, sf_dir):
-    """MDL-1, MDL-7, MLP-7: one feature, fitted on all rows, scored on every fourth order."""
+    """MDL-1, MDL-7, MLP-7: two features, fitted and scored on all rows."""
     lines = table(spark, sf_dir, "lineitem")
-    model = models.ols(lines, ["l_quantity"], "l_extendedprice")
-    return models.predict(model, lines.where("l_orderkey % 4 = 0"), ["l_quantity"]).select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("prediction"))
+    model = models.ols(lines, ["l_quantity", "l_discount"], "l_extendedprice")
+    return models.predict(model, lines, ["l_quantity", "l_discount"]).select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("prediction"))
 
 
 @query("""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(a * l_quantity + b, 2) AS prediction FROM lineitem, m""")
@@ -135,10 +138,16 @@ def mlp_score(spark, sf_dir):
 
 @query(pipelines.TRAINING_SQL)
 def training_panel(spark, sf_dir):
-    """Stages B to E on the driver's tables: harmonise, filter, repair, lags, country means, split, scale."""
+    """Stages B to D on the driver's tables: harmonise, filter, repair, lags, split."""
     return pipelines.training_panel_from_tables(spark, sf_dir)
 
 
+@query(pipelines.PREPARED_SQL)
+def prepared_panel(spark, sf_dir):
+    """MLP-8 after stages B to D, with country means: reallocation, scaling and limits."""
+    return pipelines.prepared_panel_from_tables(spark, sf_dir)
+
+
 @query()
 def global_scoring(spark, sf_dir):
     """Stage G: fit on the training panel and score all plants and months."""

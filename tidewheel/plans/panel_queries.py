@@ -38,13 +38,14 @@ def percentile_rank_seasonal(spark, sf_dir):
 
 
 def _gap_sql(agg, missing):
-    return f"""WITH m AS (SELECT l_suppkey AS plant_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, {agg}(l_quantity) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY ALL),
+    return f"""WITH m AS (SELECT l_partkey AS plant_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, {agg}(l_quantity) AS v FROM lineitem GROUP BY ALL),
         spans AS (SELECT plant_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM m GROUP BY plant_id)
         SELECT s.plant_id, last_day(CAST(s.month AS DATE)) AS month, round({missing}, 6) AS l_quantity FROM spans s LEFT JOIN m ON m.plant_id = s.plant_id AND m.month = CAST(s.month AS DATE)"""
 
 
 def _gaps(spark, sf_dir, how):
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").withColumnRenamed("l_suppkey", "plant_id")
+    """A part isn't shipped in each month, so there are gaps to fill."""
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "plant_id")
     return panel.monthly(lines, ["plant_id"], "l_shipdate", "l_quantity", how).withColumn("l_quantity", F.round("l_quantity", 6))
 
 
@@ -147,12 +148,13 @@ def lookup_composite(spark, sf_dir):
     return lookup.lookup(orders, lines, {"o_orderkey": "l_orderkey", "line": "l_linenumber"}, {"price": "l_extendedprice"}, "at").select("o_orderkey", "price")
 
 
-@query("""SELECT s.s_suppkey, d.p_name FROM supplier s LEFT JOIN (SELECT p_size, p_name FROM part WHERE p_partkey < 120 QUALIFY count(*) OVER (PARTITION BY p_size) = 1) d ON s.s_suppkey % 50 = d.p_size""")
+@query("""SELECT s.s_suppkey, d.c_name FROM supplier s LEFT JOIN (SELECT CAST(floor(c_acctbal) AS BIGINT) AS balance, c_name FROM customer QUALIFY count(*) OVER (PARTITION BY floor(c_acctbal)) = 1) d
+    ON CAST(floor(s.s_acctbal) AS BIGINT) = d.balance""")
 def lookup_unique(spark, sf_dir):
-    """JN-7."""
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50).alias("size"))
-    parts = table(spark, sf_dir, "part").where("p_partkey < 120").select("p_size", "p_name")
-    return lookup.lookup_unique(supplier, parts, {"size": "p_size"}, {"p_name": "p_name"}).select("s_suppkey", "p_name")
+    """JN-7: for each supplier the only customer of the same whole balance; none if there are several."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.floor("s_acctbal").alias("whole"))
+    customers = table(spark, sf_dir, "customer").select(F.floor("c_acctbal").alias("balance"), "c_name")
+    return lookup.lookup_unique(supplier, customers, {"whole": "balance"}, {"c_name": "c_name"}).select("s_suppkey", "c_name")
 
 
 @query("""SELECT p.p_partkey, d.larger FROM part p LEFT JOIN (SELECT p_brand, p_type, p_size, p_name AS larger FROM part QUALIFY count(*) OVER (PARTITION BY p_brand, p_type, p_size) = 1) d
@@ -203,13 +205,13 @@ def plant_attributes(spark, sf_dir):
     )
 
 
-@query("""WITH a AS (SELECT c_nationkey AS country, round(sum(c_acctbal), 2) AS capacity FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1), b AS (SELECT s_nationkey AS country, round(sum(s_acctbal), 2) AS capacity FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1)
-    SELECT coalesce(a.country, b.country) AS country, round(coalesce(a.capacity, 0) + coalesce(b.capacity, 0), 2) AS capacity FROM a FULL JOIN b ON a.country = b.country""")
+@query("""WITH a AS (SELECT c_custkey AS customer, c_acctbal AS capacity FROM customer), b AS (SELECT o_custkey AS customer, round(sum(o_totalprice), 2) AS capacity FROM orders GROUP BY 1)
+    SELECT coalesce(a.customer, b.customer) AS customer, round(coalesce(a.capacity, 0) + coalesce(b.capacity, 0), 2) AS capacity FROM a FULL JOIN b ON a.customer = b.customer""")
 def outer_merge_total(spark, sf_dir):
-    """JN-3."""
-    a = table(spark, sf_dir, "customer").where("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("country")).agg(F.round(F.sum("c_acctbal"), 2).alias("capacity"))
-    b = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("country")).agg(F.round(F.sum("s_acctbal"), 2).alias("capacity"))
-    return lookup.outer_total(a, b, ["country"], "capacity").withColumn("capacity", F.round("capacity", 2))
+    """JN-3: each customer's balance and orders; some have no orders."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("capacity"))
+    b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.round(F.sum("o_totalprice"), 2).alias("capacity"))
+    return lookup.outer_total(a, b, ["customer"], "capacity").withColumn("capacity", F.round("capacity", 2))
 
 
 @query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS amount FROM orders GROUP BY 1), b AS (SELECT CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY 1)
@@ -246,11 +248,15 @@ def unpivot_years(spark, sf_dir):
     return panel.long_form(wide, ["country", "s_suppkey"], None, "year", "capacity").withColumn("capacity", nulls.dash_to_zero(F.col("capacity")))
 
 
-@query("""SELECT o_custkey, round(sum(o_totalprice) FILTER (year(o_orderdate) = 1996), 2) AS "1996", round(sum(o_totalprice) FILTER (year(o_orderdate) = 1997), 2) AS "1997" FROM orders GROUP BY 1""")
+#: Years of the orders, which are the columns of the wide form.
+_ORDER_YEARS = [str(y) for y in range(1992, 2002)]
+
+
+@query(f"""SELECT o_custkey, {', '.join(f'round(sum(o_totalprice) FILTER (year(o_orderdate) = {y}), 2) AS "{y}"' for y in _ORDER_YEARS)} FROM orders GROUP BY 1""")
 def pivot_years(spark, sf_dir):
     """RSH-3."""
     long = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").cast("string").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
-    return panel.wide_form(long, ["o_custkey"], "year", "v", ["1996", "1997"])
+    return panel.wide_form(long, ["o_custkey"], "year", "v", _ORDER_YEARS)
 
 
 @query(f"WITH {SERIES} SELECT plant_id, month, value AS physical_hydropower_0n, {', '.join(f'lag(value, {k}) OVER w AS physical_hydropower_{k}n' for k in range(1, 7))} FROM series WINDOW w AS (PARTITION BY plant_id ORDER BY month)")
@@ -366,6 +372,6 @@ def capacity_factor_clip(spark, sf_dir):
 @query()
 def fuzzy_match(spark, sf_dir):
     """JN-10, JN-11, STR-5, SRT-4."""
-    nations = [r.n_name for r in table(spark, sf_dir, "nation").select("n_name").limit(300).collect()]
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("choice"))
     names = table(spark, sf_dir, "supplier").select(F.concat(F.lit("the "), F.lower("s_name")).alias("n")).union(table(spark, sf_dir, "nation").select(F.concat(F.lower("n_name"), F.lit(" (the)"))))
     return lookup.best_names(names, "n", nations, {"nation_3 (the)": "NATION_3"})

@@ -69,10 +69,12 @@ def with_power_lags(df: DataFrame, flow: DataFrame, cells: DataFrame, heads: Dat
     return df.join(panel.lag_features(power, key, "month", "mw"), [key, "month"], "left")
 
 
-def with_country_means(df: DataFrame, grids: Mapping[str, DataFrame], countries: DataFrame) -> DataFrame:
-    """For each named grid the mean of the row's country_code and month; one aggregation for each grid."""
+def with_country_means(df: DataFrame, grids: Mapping[str, DataFrame], countries: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """For each named grid the mean of the row's country_code and month; one aggregation for each grid. Where the code's cells
+    give none, and shapes are given, it is the mean inside the country's shape."""
     for name, cells in grids.items():
-        df = df.join(grid.country_mean(cells, countries, "value", name), ["country_code", "month"], "left")
+        means = grid.country_mean(cells, countries, "value", name) if shapes is None else grid.country_mean_or_inside(cells, countries, shapes, "value", name)
+        df = df.join(means, ["country_code", "month"], "left")
     return df
 
 
@@ -102,6 +104,8 @@ def _table_sources(spark, sf_dir):
 
 _YEARS = {c: (1997, 1998, 1999) for c in (f"NATION_{i}" for i in range(0, 24, 2))}
 
+_SCALED = [*(f"physical_hydropower_{k}n" for k in range(7)), "country_mean"]
+
 TRAINING_SQL = f"""WITH {SERIES},
     src AS (SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS source_priority, l_suppkey AS plant_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY ALL),
     one AS (SELECT * FROM src WHERE month < DATE '2001-01-01' QUALIFY row_number() OVER (PARTITION BY plant_id, month ORDER BY source_priority) = 1),
@@ -129,6 +133,28 @@ def training_panel_from_tables(spark, sf_dir: str) -> DataFrame:
     return out.select("country", "plant_id", "month", *rounded, *(f"physical_hydropower_{k}n" for k in range(7)), "split")
 
 
+PREPARED_SQL = f"""WITH panel AS ({TRAINING_SQL}),
+    means AS (SELECT n_name AS country, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, round(avg(o_totalprice), 6) AS country_mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+    joined AS (SELECT plant_id, month, split, capacity_factor, {', '.join(f'physical_hydropower_{k}n' for k in range(7))}, country_mean FROM panel JOIN means USING (country, month)),
+    n AS (SELECT *, count(*) FILTER (split = 'train') OVER w AS trains, count(*) FILTER (split = 'valid') OVER w AS valids FROM joined WINDOW w AS (PARTITION BY plant_id)),
+    dealt AS (SELECT * EXCLUDE (split, trains, valids), CASE WHEN (trains > 0 AND trains < 24) OR (trains = 0 AND valids > 0 AND valids < 24) THEN 'train' ELSE split END AS split FROM n),
+    stats AS (SELECT plant_id, split, {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _SCALED)} FROM dealt GROUP BY ALL HAVING count(*) > 1),
+    fitted AS (SELECT * EXCLUDE (split) FROM stats QUALIFY row_number() OVER (PARTITION BY plant_id ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END) = 1),
+    z AS (SELECT plant_id, month, split, count(*) OVER (PARTITION BY plant_id, split) AS rows, {', '.join(f'({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS {c}' for c in _SCALED)} FROM dealt JOIN fitted USING (plant_id))
+    SELECT plant_id, month, split, {', '.join(f'round({c}, 6) AS {c}_plant_std' for c in _SCALED)} FROM z WHERE rows > 1 AND {' AND '.join(f'{c} BETWEEN -3 AND 3' for c in _SCALED)}"""
+
+
+def prepared_panel_from_tables(spark, sf_dir: str) -> DataFrame:
+    """The panel with the mean of its country and month, of which orders stand for the grid, made ready for the models."""
+    cells = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("lat_idx"), F.lit(0).alias("lon_idx"), F.col("n_name").alias("country_code"))
+    values = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("lat_idx"), F.lit(0).alias("lon_idx"), F.trunc("o_orderdate", "month").alias("month"), F.col("o_totalprice").alias("value"))
+    rows = training_panel_from_tables(spark, sf_dir).withColumnRenamed("country", "country_code")
+    means = grid.country_mean(values, cells, "value", "country_mean").withColumn("country_mean", F.round("country_mean", 6))
+    rows = rows.join(means, ["country_code", "month"])
+    out = splits.within(splits.standardise(splits.reallocate(rows, "plant_id"), "plant_id", _SCALED), [f"{c}_plant_std" for c in _SCALED])
+    return out.select("plant_id", "month", "split", *(F.round(f"{c}_plant_std", 6).alias(f"{c}_plant_std") for c in _SCALED))
+
+
 def global_scores_from_tables(spark, sf_dir: str) -> DataFrame:
     columns = [f"physical_hydropower_{k}n" for k in range(7)]
     rows = _panel(spark, sf_dir)
