@@ -134,10 +134,10 @@ def resample_nearest(grid: DataFrame, step: float, lat: str = "lat", lon: str =
 
     The source is coarser or equal; a target cell of which no source cell lies within one source step has no row.
     """
-    spacing = grid.agg(F.min(lat).alias("a"), F.max(lat).alias("b"), F.countDistinct(lat).alias("n")).first()
-    wide = (spacing.b - spacing.a) / max(1, spacing.n - 1) if spacing.n and spacing.n > 1 else step
-    reach = max(1, round(wide / step / 2 + 0.5))
-    offsets = F.sequence(F.lit(-reach), F.lit(reach))
+    n = F.countDistinct(lat)
+    wide = F.when(n > 1, (F.max(lat) - F.min(lat)) / F.greatest(n - 1, F.lit(1))).otherwise(step)
+    reach = grid.select(F.greatest(F.bround(wide / step / 2 + 0.5).cast("int"), F.lit(1))).scalar()
+    offsets = F.sequence(-reach, reach)
     near = grid.withColumn("_i", F.explode(offsets)).withColumn("_j", F.explode(offsets))
     near = near.withColumns({"i": F.round(F.col(lat) / step).cast("long") + F.col("_i"), "j": F.round(F.col(lon) / step).cast("long") + F.col("_j")})
     d = F.struct(((F.col("i") * step - F.col(lat)) ** 2 + (F.col("j") * step - F.col(lon)) ** 2).alias("d"), F.col(lat).alias("a"), F.col(lon).alias("b"))

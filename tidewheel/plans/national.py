@@ -49,8 +49,7 @@ def europe_units(hourly: DataFrame, registry: DataFrame) -> DataFrame:
     """
     units = hourly.where(F.col("ProductionType").isin(*HYDRO_TYPES))
     keys = ["PowerSystemResourceName", "ProductionType", "MapCode", "AreaName", "GenerationUnitEIC"]
-    out, cap = (panel.monthly(units, keys, "DateTime", v, "mean") for v in ("ActualGenerationOutput", "InstalledGenCapacity"))
-    monthly = out.join(cap, [*keys, "month"]).withColumnRenamed("month", "date")
+    monthly = panel.monthly(units, keys, "DateTime", ["ActualGenerationOutput", "InstalledGenCapacity"], "mean").withColumnRenamed("month", "date")
     known = registry.where(F.col("type_g").isin(*HYDRO_TYPES))
     named = lookup.lookup(monthly, known, {"GenerationUnitEIC": "eic_g"}, {"eic_p": "eic_p", "eic_plant_name": "name_p"}, "ordinal")
     sums = panel.aggregate(named, ["eic_p", "eic_plant_name", "date"], {v: nulls.sum_or_zero(F.col(v)) for v in ("ActualGenerationOutput", "InstalledGenCapacity")})
@@ -126,9 +125,9 @@ def india_national(plants: DataFrame, reports: DataFrame, source: str = "https:/
 
     Values are rounded to one decimal, half to even; equal rows of state and central files count once; then sums by plant.
     """
-    span = reports.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    first, last = reports.select(F.min("date")).scalar(), reports.select(F.max("date")).scalar()
     listed = plants.where(nulls.differs(F.col("installed_capacity_mw"), 0) & F.col("plant_id").isNotNull())
-    wanted = listed.withColumn("date", F.explode(F.sequence(F.lit(span.a), F.lit(span.b), F.expr("interval 1 month")))).join(reports.select("date").distinct(), "date", "left_semi")
+    wanted = listed.withColumn("date", F.explode(F.sequence(first, last, F.expr("interval 1 month")))).join(reports.select("date").distinct(), "date", "left_semi")
     on = {c: c for c in ("plant_name", "installed_capacity_mw", "date")}
     rows = lookup.lookup_first_or(wanted, reports, on, {"generation_value": "value"}, "ordinal", 0.0).withColumn("generation_value", F.bround("generation_value", 1))
     rows = dedup.distinct_on(rows, ["plant_id", "installed_capacity_mw", "date", "generation_value"])

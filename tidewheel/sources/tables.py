@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import struct
 import time
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,16 +31,100 @@ def read_grid(spark: SparkSession, paths: str | Sequence[str], first: str | None
     return df.where(F.col(month) <= F.lit(last).cast("date")) if last else df
 
 
-def netcdf_rows(path: str, variable: str) -> Iterable[tuple]:
-    """SRC-8, SRC-10: rows (lat_idx, lon_idx, lat, lon, step, value) of a NetCDF variable, one step at a time. Needs netCDF4; not tested here."""
+Steps = tuple[np.ndarray, np.ndarray, Iterable[np.ndarray]]
+
+
+def netcdf_steps(path: str, variable: str) -> Steps:
+    """Latitudes, longitudes and one matrix for each step of a NetCDF variable. Needs netCDF4."""
     import netCDF4
 
-    with netCDF4.Dataset(path) as data:
-        lat, lon, cube = data.variables["lat"][:], data.variables["lon"][:], data.variables[variable]
-        for t in range(cube.shape[0]):
-            for i, row in enumerate(cube[t].filled(float("nan"))):
-                for j, value in enumerate(row):
-                    yield i, j, float(lat[i]), float(lon[j]), t, None if value != value else float(value)
+    data = netCDF4.Dataset(path)
+    cube = data.variables[variable]
+    return np.asarray(data.variables["lat"][:]), np.asarray(data.variables["lon"][:]), (np.ma.filled(cube[t].astype(float), np.nan) for t in range(cube.shape[0]))
+
+
+def raster_steps(path: str, variable: str) -> Steps:
+    """The centres of a raster's rows and columns, and its bands as steps. Needs rasterio; variable is not looked at."""
+    import rasterio
+
+    data = rasterio.open(path)
+    t = data.transform
+    return t.f + t.e * (np.arange(data.height) + 0.5), t.c + t.a * (np.arange(data.width) + 0.5), (data.read(b + 1, masked=True).astype(float).filled(np.nan) for b in range(data.count))
+
+
+def read_steps(spark: SparkSession, paths: Sequence[str], variable: str, reader: Callable[[str, str], Steps] = netcdf_steps) -> DataFrame:
+    """SRC-8, SRC-10, SRC-12: gridded files in long form (path, step, lat_idx, lon_idx, lat, lon, value), NaN as NULL.
+
+    A task reads a file, by the given reader, and hands on one step at a time; paths must be readable by all executors.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                lat, lon, steps = reader(path, variable)
+                i, j = np.repeat(np.arange(len(lat), dtype=np.int32), len(lon)), np.tile(np.arange(len(lon), dtype=np.int32), len(lat))
+                for t, values in enumerate(steps):
+                    columns = [pa.array([path] * len(i)), pa.array(np.full(len(i), t, np.int32)), pa.array(i), pa.array(j), pa.array(lat[i].astype(float)), pa.array(lon[j].astype(float)), pa.array(values.ravel().astype(float), from_pandas=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "step", "lat_idx", "lon_idx", "lat", "lon", "value"])
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return files.mapInArrow(run, "path string, step int, lat_idx int, lon_idx int, lat double, lon double, value double")
+
+
+def _dbf_rows(raw: bytes) -> list[dict[str, str]]:
+    """The attribute table of a layer, all values as trimmed text."""
+    n, start, width = struct.unpack("<IHH", raw[4:12])
+    fields, at = [], 32
+    while raw[at] != 0x0D:
+        fields.append((raw[at : at + 11].split(b"\0")[0].decode(), raw[at + 16]))
+        at += 32
+    out = []
+    for k in range(n):
+        at, row = start + k * width + 1, {}
+        for name, size in fields:
+            row[name] = raw[at : at + size].decode("utf-8", "replace").strip()
+            at += size
+        out.append(row)
+    return out
+
+
+def _shp_rings(raw: bytes) -> Iterator[list[list[tuple[float, float]]]]:
+    """Of each record the parts with their points; a point is one part, an empty record has none."""
+    at = 100
+    while at < len(raw):
+        size = struct.unpack(">i", raw[at + 4 : at + 8])[0] * 2
+        body, at = raw[at + 8 : at + 8 + size], at + 8 + size
+        kind = struct.unpack("<i", body[:4])[0]
+        if kind == 0:
+            yield []
+        elif kind in (1, 11, 21):
+            yield [[struct.unpack("<2d", body[4:20])]]
+        elif kind in (3, 5, 13, 15, 23, 25):
+            parts, points = struct.unpack("<2i", body[36:44])
+            starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
+            xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2).tolist()
+            yield [[tuple(p) for p in xy[a:b]] for a, b in zip(starts, starts[1:], strict=False)]
+        else:
+            raise ValueError(f"layers of type {kind} aren't read")
+
+
+def read_layer(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-11: a point, line or polygon layer, path.shp with path.dbf (or a pattern of several): (path, id, rings, attributes as text).
+
+    Files come by Spark's binary reader, so from any file system; a task parses one layer.
+    """
+    files = spark.read.format("binaryFile").load([f"{path}.shp", f"{path}.dbf"]).select(F.regexp_replace("path", r"\.[^.]*$", "").alias("path"), F.right("path", F.lit(3)).alias("kind"), "content")
+    layers = files.groupBy("path").agg(F.max(F.when(F.col("kind") == "shp", F.col("content"))).alias("shp"), F.max(F.when(F.col("kind") == "dbf", F.col("content"))).alias("dbf"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for layer in batch.to_pylist():
+                rings, rows = list(_shp_rings(layer["shp"])), _dbf_rows(layer["dbf"])
+                shown = [[[{"x": x, "y": y} for x, y in part] for part in parts] for parts in rings]
+                columns = [pa.array([layer["path"]] * len(rings)), pa.array(range(len(rings)), pa.int32()), pa.array(shown, pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))), pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "id", "rings", "attributes"])
+
+    return layers.mapInArrow(run, "path string, id int, rings array<array<struct<x: double, y: double>>>, attributes map<string, string>")
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | int = 0, header: int = 0) -> DataFrame:
