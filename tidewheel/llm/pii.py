@@ -325,12 +325,12 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return each.groupBy("entity").agg(*(F.coalesce(F.bool_or(F.col("gender") == g), F.lit(False)).alias(g) for g in "fmu"))
 
 
-def attempts(known: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
+def attempts(known: DataFrame, key: str) -> DataFrame:
     """(entity, attempt) of the staged identities whose first surrogate isn't used; no two have one surrogate with these."""
     known = known.select("entity")
     state = known.withColumn("attempt", F.lit(0))
     made, woman = (normal_of_surrogate(F.col("entity"), surrogate(F.col("entity"), F.col("attempt"), key, F.lit(female))) for female in (False, True))
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         state = staged(state.withColumn("made", made).withColumn("other", F.when(F.col("entity").startswith("name\n"), woman)), "surrogates")
         shared = state.groupBy("made").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1").select("made", "first")
         shown = state.select("made", F.explode(F.array_compact(F.array("made", "other"))).alias("shown"))
