@@ -150,11 +150,13 @@ def surrogate(entity, attempt, key, female):
         return form[:2] + f"{(iban_check(bank, form[:2]) + int(form[2:4]) - iban_check(form[4:], form[:2])) % 100:02d}" + bank
     if kind == "birth":
         try:
-            days = (datetime.date.fromisoformat(form) - START).days
+            days = (datetime.date.fromisoformat(form) - START).days if form[:2] in ("19", "20") else None
         except ValueError:
+            days = None
+        if days is None:
             return feistel(form, seed)
         by = int(sha(seed)[:7], 16) % 50_000 + 10_000
-        return str(START + datetime.timedelta((days + by) % pii.DAYS)) if 0 <= days < pii.DAYS else form
+        return str(START + datetime.timedelta((days + by) % pii.DAYS))
     keep = {"cloud_key": 4, "phone": len(regex.match(pii.COUNTRY_CODE, form, FLAGS)[0]) if form.startswith("+") else 1}.get(kind, 0)
     tail = len(regex.search(r"\.[^.]*$", form)[0]) if kind == "email" else 0
     return form[:keep] + feistel(form[keep : len(form) - tail], seed) + form[len(form) - tail :]

@@ -45,7 +45,7 @@ IP = rf"(?<![\p{{L}}\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}+])(?:\d[ -]?){12,18}\d(?![\p{L}\p{N}])"
-PHONE = r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])\+\d{7,15}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}-\d{4}(?![\p{L}\p{N}-])"
+PHONE = r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\p{L}\p{N}.-])\+\d{7,15}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}-\d{4}(?![\p{L}\p{N}-])"
 ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, CLOUD_KEY, PASSPORT, BIRTH, NAME, IP, SSN, IBAN, CARD, PHONE))
 LEADS = {"secret": SECRET_LEAD, "passport": PASSPORT_LEAD, "birth": BIRTH_LEAD}
 #: Country codes of telephone numbers: fixed values of one and two digits; all others have three.
@@ -56,7 +56,7 @@ ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
     "αβγδεζηθικλμνξοπρσςτυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
-#: Dates of birth are within so many days from 1900 on.
+#: Dates of birth from 1900 to 2099 are shifted within so many days; other ones are permuted as digits.
 DAYS = 73_049
 #: Syllables of surrogate names by script, sixteen each; endings of male and female given names.
 SYLLABLES = {
@@ -219,7 +219,7 @@ def _made(x: Column) -> Column:
         )
 
     return (
-        F.when(kind == "name", _name(x)).when(kind == "ip", _address(form, x["seed"])).when((kind == "birth") & F.try_to_date(form).isNotNull(), _birthday(form, x["seed"]))
+        F.when(kind == "name", _name(x)).when(kind == "ip", _address(form, x["seed"])).when((kind == "birth") & form.rlike("^(?:19|20)") & F.try_to_date(form).isNotNull(), _birthday(form, x["seed"]))
         .otherwise(let(F.struct(kept.alias("a"), tail.alias("z")), shaped))
     )
 
@@ -227,8 +227,7 @@ def _made(x: Column) -> Column:
 def _birthday(form: Column, seed: Column) -> Column:
     start = F.lit("1900-01-01").cast("date")
     by = F.conv(F.substr(F.sha2(seed, 256), F.lit(1), F.lit(7)), 16, 10).cast("long") % 50_000 + 10_000
-    days = F.datediff(F.try_to_date(form), start)
-    return F.when(days.between(0, DAYS - 1), F.date_add(start, F.pmod(days + by, F.lit(DAYS)).cast("int")).cast("string")).otherwise(form)
+    return F.date_add(start, F.pmod(F.datediff(F.try_to_date(form), start) + by, F.lit(DAYS)).cast("int")).cast("string")
 
 
 def _address(form: Column, seed: Column) -> Column:
