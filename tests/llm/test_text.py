@@ -234,7 +234,9 @@ def test_toxicity_words():
 def test_long_labelled_texts_train(spark):
     """Pieces of a long text come from all of it."""
     texts = spark.createDataFrame([(1, "".join(f"{i:07d} " for i in range(100_000))), (2, "short"), (3, None)], "doc_id long, text string")
-    got, labels, _ = quality.labelled_sample(texts, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int"), "quality")
+    sample, totals = quality.labelled_sample(texts, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int"), "quality")
+    got, labels, weights = quality.trained(sample, totals, lambda *x: x)
+    assert totals == {0: 2, 1: 1} and weights.tolist() == [1, 1, 1]
     long = next(t for t in got if len(t) > 10)
     assert sorted(map(len, got)) == [0, 5, 16 * 2048 + 15] and long.startswith(b"0000000 ") and long.endswith(b"0099999 ") and set(labels) == {0, 1}
 

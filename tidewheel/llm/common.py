@@ -191,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 #: Bytes that are broadcast at most.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def sized(table: DataFrame, row_bytes: int = 96) -> DataFrame:
@@ -200,8 +200,8 @@ def sized(table: DataFrame, row_bytes: int = 96) -> DataFrame:
 
 
 def sized_semi_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Left semi join with a staged key table: it is broadcast if its size is within the limit, else shuffled."""
-    few = sized(keys)
+    """Left semi join with a staged table of one key of up to 16 bytes: it is broadcast if its size is within the limit, else shuffled."""
+    few = sized(keys, 32)
     return rows.join(few if few is not keys else keys.hint("shuffle_hash"), on, "left_semi")
 
 

@@ -80,11 +80,13 @@ def with_mentions(docs: DataFrame, text: Column, pattern: str = "pattern", menti
     """
     some = text.rlike("[0-9@=:]") | text.rlike(TITLE)
     first = F.when(some, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    titled = F.filter(F.col(mentions), lambda m: m.rlike("^" + TITLE) & ~m.rlike("[0-9@=:]"))
-    names = F.reverse(F.array_sort(F.array_distinct(F.transform(titled, lambda m: F.regexp_replace(m, "^" + TITLE, "")))))
-    bare = F.concat(F.lit(ENTITY + r"|(?<![\p{L}'-])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}'-])"))
-    found = docs.withColumn(mentions, first).withColumn(pattern, F.when(F.size(names) > 0, bare).otherwise(F.lit(ENTITY)))
-    return found.withColumn(mentions, F.when(F.col(pattern) == ENTITY, F.col(mentions)).otherwise(F.regexp_extract_all(text, F.col(pattern), F.lit(0))))
+    titled = lambda ms: F.filter(ms, lambda m: m.rlike("^" + TITLE) & ~m.rlike("[0-9@=:]"))
+    names = lambda ms: F.reverse(F.array_sort(F.array_distinct(F.transform(titled(ms), lambda m: F.regexp_replace(m, "^" + TITLE, "")))))
+    bare = lambda n: F.when(F.size(n) > 0, F.concat(F.lit(r"|(?<![\p{L}'-])(?:"), F.array_join(n, "|"), F.lit(r")(?![\p{L}'-])"))).otherwise("")
+    again = lambda p, ms: F.when(p == "", ms).otherwise(F.regexp_extract_all(text, F.concat(F.lit(ENTITY), p), F.lit(0)))
+    both = let(first, lambda ms: let(bare(names(ms)), lambda p: F.struct(p.alias("p"), again(p, ms).alias("m"))))  # each part is computed once
+    found = docs.withColumn("_found", both)
+    return found.withColumns({pattern: F.concat(F.lit(ENTITY), F.col("_found.p")), mentions: F.col("_found.m")}).drop("_found")
 
 
 def kind_of(match: Column) -> Column:

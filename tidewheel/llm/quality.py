@@ -7,7 +7,8 @@ maximum of each filter, and a logistic layer turns those into one probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,8 +131,8 @@ def spread_pieces(text: Column) -> Column:
     return F.when(n <= SAMPLE_CHARS, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), piece), "\n"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Texts, labels and class weights of a bounded sample: the `rows` labelled ids of each class that are first by hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample (text, label) in one sorted partition, of the `rows` labelled ids of each class that are first by hash; and the labelled ids of each class.
 
     Rows with a null label or id are left out; of an id with several labels the largest counts.
     """
@@ -140,17 +141,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     ranked = lambda c: known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = staged(ranked(0).union(ranked(1)), "sample")
-    found = there.join(F.broadcast(chosen), "doc_id").withColumn("text", spread_pieces(F.col("text"))).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * rows).select("text", "label").toArrow()
-    if not found.num_rows:
-        return [], np.zeros(0), np.zeros(0)
-    texts = [t.encode() for t in found.column("text").to_pylist()]
-    marks = found.column("label").to_numpy()
-    share = {c: totals.get(c, 0) / max(1, (marks == c).sum()) for c in (0, 1)}
-    return texts, marks.astype(np.float64), np.array([share[c] for c in marks])
+    sample = there.join(F.broadcast(chosen), "doc_id").withColumn("text", spread_pieces(F.col("text"))).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * rows).select("text", "label")
+    return sample, totals
+
+
+def trained(sample: DataFrame, totals: dict[int, int], train: Callable):
+    """What `train` makes of the sample's texts, labels and class weights, in one task: the sample is bounded, and the driver sees only the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += [t.encode() for t in batch.column("text").to_pylist()]
+            marks += batch.column("label").to_pylist()
+        marks = np.array(marks, np.float64)
+        share = {c: totals.get(c, 0) / max(1, (marks == c).sum()) for c in (0, 1)}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, marks, np.array([share[c] for c in marks])))], pa.binary())], names=["model"])
+
+    made = sample.mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else train([], np.zeros(0), np.zeros(0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", **options) -> ByteConvNet:
-    return train(*labelled_sample(docs, labels, label, **options))
+    return trained(*labelled_sample(docs, labels, label, **options), train)
 
 
 def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

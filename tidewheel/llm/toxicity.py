@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewheel.llm.common import slices, text_buffer, texts_of, word_spans
-from tidewheel.llm.quality import labelled_sample
+from tidewheel.llm.quality import labelled_sample, trained
 
-#: Bound of the training sample: so many labelled rows of each class at most. Its word features are held by the driver.
+#: Bound of the training sample: so many labelled rows of each class at most. Its word features are held by one task.
 SAMPLE_ROWS = 3000
 #: Hashed features: whole words, and beginnings of so many bytes of longer words.
 BEGINNINGS, BITS = (4, 5, 6, 7, 8), 20
@@ -319,7 +319,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, **options) -> Tagger:
-    return train(*labelled_sample(docs, labels, label, rows, **options))
+    return trained(*labelled_sample(docs, labels, label, rows, **options), train)
 
 
 def marginals(tagger: Tagger, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
