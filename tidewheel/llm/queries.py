@@ -1,4 +1,4 @@
-"""The queries that apply the ten operators to their whole tables, and their SQL where SQL can say it."""
+"""The queries that apply the operators to their whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, embed_dedup, exact_dedup, lm, packing, pii, quality, simhash, token_counts, toxicity
+from tidewheel.llm import bpe, embed_dedup, exact_dedup, lm, packing, pieces, pii, quality, simhash, token_counts, toxicity
 from tidewheel.llm.common import bucket_of
 
 
@@ -74,7 +74,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_packing": op4_packing, "op5_bpe": op5_bpe, "op6_embeddings": op6_embeddings, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_packing": op4_packing, "op5_bpe": op5_bpe, "op6_embeddings": op6_embeddings, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op11_pieces": op11_pieces}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
