@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, embed_dedup, exact_dedup, lm, packing, pieces, pii, quality, simhash, token_counts, toxicity
+from tidewheel.llm import bpe, embed_dedup, exact_dedup, hard_negatives, lm, packing, pieces, pii, quality, simhash, token_counts, toxicity
 from tidewheel.llm.common import bucket_of
 
 
@@ -78,7 +78,13 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_packing": op4_packing, "op5_bpe": op5_bpe, "op6_embeddings": op6_embeddings, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op11_pieces": op11_pieces}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(vectors, lambda i: i % 100 == 0)
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_packing": op4_packing, "op5_bpe": op5_bpe, "op6_embeddings": op6_embeddings, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op11_pieces": op11_pieces, "op12_hard_negatives": op12_hard_negatives}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
@@ -96,4 +102,14 @@ ORACLE_SQL = {
         SELECT reach.vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, min(other) = reach.vec_id AS kept
         FROM reach LEFT JOIN degree ON src = reach.vec_id GROUP BY reach.vec_id
     """,
+    "op12_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score
+              FROM v a JOIN v ON a.vec_id <> v.vec_id AND a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+    """,
 }
