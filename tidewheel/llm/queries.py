@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, embed_dedup, exact_dedup, hard_negatives, lm, packing, pieces, pii, quality, simhash, token_counts, toxicity
+from tidewheel.llm import bpe, conversations, embed_dedup, exact_dedup, hard_negatives, lm, packing, pieces, pii, quality, simhash, token_counts, toxicity
 from tidewheel.llm.common import bucket_of
 
 
@@ -84,7 +84,22 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, lambda i: i % 100 == 0)
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_packing": op4_packing, "op5_bpe": op5_bpe, "op6_embeddings": op6_embeddings, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op11_pieces": op11_pieces, "op12_hard_negatives": op12_hard_negatives}
+def damaged(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, present): the faults of op13's contract, by a checksum of conversation and turn."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    role = F.when(fate == 4, "user").otherwise(text("role")).alias("role")
+    words = F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text("text"), "[.!?]", "")).otherwise(text("text")).alias("text")
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(fate == 3, 2).otherwise(1))).alias("_copy")
+    return turns.select("conv_id", "turn", role, words, (fate != 0).alias("present"), copies)
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged(_table(spark, sf_dir, "conversations"))
+    return conversations.repaired(turns, turns["present"], texts=False)[0]
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_packing": op4_packing, "op5_bpe": op5_bpe, "op6_embeddings": op6_embeddings, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op11_pieces": op11_pieces, "op12_hard_negatives": op12_hard_negatives, "op13_conversations": op13_conversations}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
