@@ -65,3 +65,11 @@ def test_polygon_and_point_layers(spark, tmp_path):
     cells = spark.createDataFrame([("m", 1.5, 1.5, 4.0), ("m", 9.0, 9.0, 8.0)], "month string, lon double, lat double, value double")
     shapes = tables.read_layer(spark, str(tmp_path / "lands")).where(F.size("rings") > 0).select("id", F.col("rings")[0].alias("ring"))
     assert [tuple(r) for r in grid.mean_inside(cells, shapes, "value", "mean").collect()] == [(0, "m", 4.0)]
+
+
+def test_deleted_records_are_left_out(spark, tmp_path):
+    write_layer(tmp_path / "dams", 1, [[[(3.5, -1.25)]], [[(7.0, 8.0)]], [[(9.0, 9.0)]]], ["One", "Two", "Three"])
+    raw = bytearray((tmp_path / "dams.dbf").read_bytes())
+    raw[32 + 64 + 1 + 17] = ord("*")
+    (tmp_path / "dams.dbf").write_bytes(bytes(raw))
+    assert [(r.id, r.attributes["NAME"]) for r in tables.read_layer(spark, str(tmp_path / "dams")).orderBy("id").collect()] == [(0, "One"), (2, "Three")]

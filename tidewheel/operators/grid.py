@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.kernels import potential_power, wrap_longitude
+from tidewheel.operators.shapes import cover, members
 
 
 def wrap_and_sort(grid: DataFrame, lon: str = "lon", lon_idx: str = "lon_idx") -> DataFrame:
@@ -90,7 +91,8 @@ def country_area(countries: DataFrame) -> DataFrame:
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
-    """JN-19: whether a point is inside a ring (array of x, y structs), by the crossings of a ray."""
+    """JN-19 for one short ring (array of x, y structs): whether a point is inside, by the crossings of a ray. For shapes see
+    `operators.shapes`."""
     n = F.size(ring)
 
     def crosses(i: Column) -> Column:
@@ -101,30 +103,49 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), crosses), F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
-def mean_inside(grid: DataFrame, shapes: DataFrame, value: str, out: str) -> DataFrame:
-    """AGG-9's fallback: mean by shape id and month over cells whose centre is inside the shape (id, ring).
+def _rings(shapes: DataFrame) -> DataFrame:
+    return shapes if "rings" in shapes.columns else shapes.withColumn("rings", F.array("ring"))
 
-    Shapes are joined on whole-degree tiles that their bounding boxes touch, so no pair of far apart cell and shape is formed.
+
+def mean_inside(grid: DataFrame, shapes: DataFrame, value: str, out: str, skip: DataFrame | None = None) -> DataFrame:
+    """AGG-9's fallback, JN-19: mean by shape id and month over cells whose centre is inside the shape.
+
+    shapes: (id, rings) with parts, islands and holes as read_layer gives them, or (id, ring) of one ring. Each place is
+    looked up once, not once for each month. Months (id, month) of `skip` are left out before anything is summed.
     """
-    box = shapes.withColumns({f"{f}{c}": getattr(F, f"array_{f}")(F.col(f"ring.{c}")) for f in ("min", "max") for c in ("x", "y")})
-    tiles = box.withColumn("tx", F.explode(F.sequence(F.floor("minx"), F.floor("maxx")))).withColumn("ty", F.explode(F.sequence(F.floor("miny"), F.floor("maxy")))).select("id", "ring", "tx", "ty")
-    cells = grid.withColumns({"tx": F.floor("lon"), "ty": F.floor("lat")})
-    return cells.join(tiles, ["tx", "ty"]).where(inside(F.col("lon"), F.col("lat"), F.col("ring"))).groupBy("id", "month").agg(F.avg(value).alias(out))
+    places = grid.select("lon", "lat").distinct()
+    held = members(places, cover(_rings(shapes)))
+    rows = grid.select("lon", "lat", "month", value).join(held, ["lon", "lat"])
+    if skip is not None:
+        rows = rows.join(skip, ["id", "month"], "left_anti")
+    return rows.groupBy("id", "month").agg(F.avg(value).alias(out))
+
+
+#: The coordinate system of a grid or a layer that has no column crs: longitudes and latitudes in degrees.
+DEGREES = "EPSG:4326"
+
+
+def same_crs(grid: DataFrame, shapes: DataFrame) -> DataFrame:
+    """JN-20: the grid, whose rows fail unless they and all shapes have one coordinate system. Nothing is reprojected. A table
+    without a column crs, or a row without a value there, is taken for degrees."""
+    of = lambda df: F.coalesce(df["crs"].cast("string"), F.lit(DEGREES)) if "crs" in df.columns else F.lit(DEGREES)
+    if "crs" not in grid.columns and "crs" not in shapes.columns:
+        return grid
+    least, most = (shapes.select(f(of(shapes))).scalar() for f in (F.min, F.max))
+    fits = least.isNull() | ((of(grid) == least) & (of(grid) == most))
+    return grid.where(F.assert_true(fits, "grid and shapes have different coordinate systems").isNull())
 
 
 def country_mean_or_inside(grid: DataFrame, countries: DataFrame, shapes: DataFrame, value: str, out: str) -> DataFrame:
     """AGG-9 with its fallback, JN-19: the mean by country_code and month over the code's cells; where they have no value, that
-    over cells inside the shape whose id is the code. JN-20: if both have a column crs, it must be the same.
+    over cells inside the shape whose id is the code. JN-20: see `same_crs`.
 
-    grid: (lat_idx, lon_idx, lat, lon, month, value). Only shapes that some month needs are joined with cells.
+    grid: (lat_idx, lon_idx, lat, lon, month, value). Only the months that a code lacks are summed over its shape.
     """
-    if "crs" in grid.columns and "crs" in shapes.columns:
-        same = F.assert_true(grid["crs"].eqNullSafe(shapes.select(F.first("crs")).scalar()), "grid and shapes have different coordinate systems")
-        grid = grid.where(same.isNull())
+    grid = same_crs(grid, shapes)
     by_code = country_mean(grid, countries, value, out)
-    full = by_code.groupBy(F.col("country_code").alias("id")).agg(F.count(out).alias("_n")).where(F.col("_n") == grid.select(F.countDistinct("month")).scalar())
-    needed = shapes.join(full, "id", "left_anti")
-    inner = mean_inside(grid, needed, value, "_inside").withColumnRenamed("id", "country_code")
+    known = by_code.where(F.col(out).isNotNull()).select(F.col("country_code").alias("id"), "month")
+    inner = mean_inside(grid, shapes, value, "_inside", known).withColumnRenamed("id", "country_code")
     found = by_code.join(inner, ["country_code", "month"], "full")
     return found.select("country_code", "month", F.coalesce(out, "_inside").alias(out))
 

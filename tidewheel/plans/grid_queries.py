@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import kernels
 from tidewheel.functions.kernels import POWER_CURVE
-from tidewheel.operators import grid, lookup, panel
+from tidewheel.operators import grid, lookup, panel, shapes
 from tidewheel.plans.registry import query, table
 
 #: A grid from the parts: a cell for each size and key remainder, months from the orders' dates.
@@ -196,3 +196,17 @@ def resample_grid(spark, sf_dir):
     """DOM-10."""
     coarse = cells(spark, sf_dir).select((F.col("lat_idx") * 0.5).cast("double").alias("lat"), (F.col("lon_idx") * 0.5).cast("double").alias("lon"), "value")
     return grid.resample_nearest(coarse, 0.25)
+
+
+@query("""WITH corner AS (SELECT s_nationkey AS id, s_suppkey % 3 AS part, s_suppkey, s_acctbal / 60 AS x, CAST(s_suppkey * 37 % 179 - 89 AS DOUBLE) + 0.5 AS y FROM supplier),
+    edge AS (SELECT id, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by_ FROM corner WINDOW w AS (PARTITION BY id, part ORDER BY s_suppkey)),
+    place AS (SELECT c_custkey, c_acctbal / 60 AS x, CAST(c_custkey * 7 % 180 - 90 AS DOUBLE) AS y, c_acctbal FROM customer)
+    SELECT id, c_custkey FROM place JOIN edge ON (ay > y) <> (by_ > y) AND x < (bx - ax) * ((y - ay) / (by_ - ay)) + ax GROUP BY ALL HAVING count(*) % 2 = 1""")
+def points_in_shapes(spark, sf_dir):
+    """JN-19 over shapes of several crossing rings, so with islands and holes: a nation's suppliers are the corners."""
+    corners = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("id"), (F.col("s_suppkey") % 3).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("s_suppkey", (F.col("s_acctbal") / 60).alias("x"), ((F.col("s_suppkey") * 37 % 179 - 89).cast("double") + 0.5).alias("y")))).alias("p")
+    )
+    rings = corners.groupBy("id").agg(F.collect_list(F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("rings"))
+    places = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 60).alias("lon"), (F.col("c_custkey") * 7 % 180 - 90).cast("double").alias("lat"))
+    return shapes.members(places, shapes.cover(rings)).select("id", "c_custkey")

@@ -71,8 +71,8 @@ def read_steps(spark: SparkSession, paths: Sequence[str], variable: str, reader:
     return files.mapInArrow(run, "path string, step int, lat_idx int, lon_idx int, lat double, lon double, value double")
 
 
-def _dbf_rows(raw: bytes) -> list[dict[str, str]]:
-    """The attribute table of a layer, all values as trimmed text."""
+def _dbf_rows(raw: bytes) -> list[dict[str, str] | None]:
+    """The attribute table of a layer, all values as trimmed text; None for a record that is marked as deleted."""
     n, start, width = struct.unpack("<IHH", raw[4:12])
     fields, at = [], 32
     while raw[at] != 0x0D:
@@ -84,7 +84,7 @@ def _dbf_rows(raw: bytes) -> list[dict[str, str]]:
         for name, size in fields:
             row[name] = raw[at : at + size].decode("utf-8", "replace").strip()
             at += size
-        out.append(row)
+        out.append(None if raw[start + k * width] == ord("*") else row)
     return out
 
 
@@ -111,7 +111,8 @@ def _shp_rings(raw: bytes) -> Iterator[list[list[tuple[float, float]]]]:
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
     """SRC-11: a point, line or polygon layer, path.shp with path.dbf (or a pattern of several): (path, id, rings, attributes as text).
 
-    Files come by Spark's binary reader, so from any file system; a task parses one layer.
+    Files come by Spark's binary reader, so from any file system; a task parses one layer. Records that are marked as deleted are
+    left out; the id is the record's number, so pick an attribute where shapes are known by one.
     """
     files = spark.read.format("binaryFile").load([f"{path}.shp", f"{path}.dbf"]).select(F.regexp_replace("path", r"\.[^.]*$", "").alias("path"), F.right("path", F.lit(3)).alias("kind"), "content")
     layers = files.groupBy("path").agg(F.max(F.when(F.col("kind") == "shp", F.col("content"))).alias("shp"), F.max(F.when(F.col("kind") == "dbf", F.col("content"))).alias("dbf"))
@@ -119,9 +120,9 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for layer in batch.to_pylist():
-                rings, rows = list(_shp_rings(layer["shp"])), _dbf_rows(layer["dbf"])
-                shown = [[[{"x": x, "y": y} for x, y in part] for part in parts] for parts in rings]
-                columns = [pa.array([layer["path"]] * len(rings)), pa.array(range(len(rings)), pa.int32()), pa.array(shown, pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))), pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))]
+                records = [(k, parts, row) for k, (parts, row) in enumerate(zip(_shp_rings(layer["shp"]), _dbf_rows(layer["dbf"]), strict=True)) if row is not None]
+                shown = [[[{"x": x, "y": y} for x, y in part] for part in parts] for _, parts, _ in records]
+                columns = [pa.array([layer["path"]] * len(records)), pa.array([k for k, _, _ in records], pa.int32()), pa.array(shown, pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))), pa.array([list(row.items()) for _, _, row in records], pa.map_(pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["path", "id", "rings", "attributes"])
 
     return layers.mapInArrow(run, "path string, id int, rings array<array<struct<x: double, y: double>>>, attributes map<string, string>")
