@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import connect
-from tidewheel.operators import grid, lookup, models, panel
+from tidewheel.operators import grid, models, panel
 from tidewheel.plans.catalog import QUERIES
 from tidewheel.plans.registry import series
 
@@ -66,13 +66,6 @@ def test_fuzzy_match_against_plain_python(spark):
         assert got[name] == ("NATION_3" if name == "nation_3 (the)" else best, score)
 
 
-def test_too_many_choices_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "CHOICES", 3)
-    names = spark.createDataFrame([("a",)], "n string")
-    with pytest.raises(ValueError, match="choices"):
-        lookup.best_names(names, "n", spark.range(4).select(F.col("id").cast("string").alias("choice")))
-
-
 def test_country_mean_falls_back_month_by_month(spark):
     cells = spark.createDataFrame([(0, 0, 0.5, 0.5, "m1", 2.0), (0, 0, 0.5, 0.5, "m2", None), (1, 0, 1.5, 0.5, "m1", 4.0), (1, 0, 1.5, 0.5, "m2", 6.0)], "lat_idx int, lon_idx int, lon double, lat double, month string, value double")
     countries = spark.createDataFrame([(0, 0, 7), (1, 0, 8)], "lat_idx int, lon_idx int, country_code int")

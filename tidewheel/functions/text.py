@@ -38,7 +38,8 @@ def digits_only(c: Column) -> Column:
 
 
 @lru_cache(maxsize=100_000)
-def _tokens(text: str) -> frozenset[str]:
+def words_of(text: str) -> frozenset[str]:
+    """The different words of a text, in lower case."""
     return frozenset(regex.sub(r"[^\p{L}\p{N}_]+", " ", text).lower().split())
 
 
@@ -52,7 +53,7 @@ def token_set_score(a: str | None, b: str | None) -> int:
 
     0 if either text has no words. Ratios are those of difflib, in percent.
     """
-    x, y = _tokens(a or ""), _tokens(b or "")
+    x, y = words_of(a or ""), words_of(b or "")
     if not x or not y:
         return 0
     common, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))

@@ -11,8 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.text import token_set_ratio
 from tidewheel.operators.dedup import drop_ambiguous, keep_first, keep_last
+from tidewheel.operators.matching import best_matches
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Mapping[str, str], values: Mapping[str, str], ordinal: str | None = None) -> DataFrame:
@@ -94,20 +94,16 @@ def by_source(df: DataFrame, layers: Mapping[str, DataFrame], source: str, sourc
     return out.withColumns({"x": F.when(known, F.col("_x")).otherwise(manual[0]), "y": F.when(known, F.col("_y")).otherwise(manual[1])}).drop("_source", "_id", "_x", "_y")
 
 
-#: Choices of a fuzzy match at most: each name is compared with all of them, so a long list needs keys instead.
-CHOICES = 5_000
-
-
 def best_names(names: DataFrame, name: str, choices: DataFrame | list[str], overrides: Mapping[str, str] | None = None) -> DataFrame:
-    """JN-10, JN-11, SRT-4: (name, match, score): the choice of the best token set ratio, the last by name of equal ones.
+    """JN-10, JN-11, SRT-4: (name, match, score, scored): the choice of the best token set ratio, the last by name of equal ones,
+    and the number of pairs that were scored for it.
 
-    `choices` is a list or has a column choice; more than CHOICES different ones are refused. Overrides replace a match.
+    `choices` is a list or has a column choice. Overrides replace a match. See `operators.matching` for how pairs are avoided.
     """
-    if isinstance(choices, DataFrame):
-        choices = [r.choice for r in choices.select("choice").where("choice is not null").distinct().take(CHOICES + 1)]
-    if len(set(choices)) > CHOICES:
-        raise ValueError(f"more than {CHOICES} choices")
-    each = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("choice", F.explode(F.array(*map(F.lit, sorted(set(choices))))))
-    best = each.withColumn("score", token_set_ratio("name", "choice")).groupBy("name").agg(F.max(F.struct("score", "choice")).alias("best"))
-    fixed = F.create_map(*(F.lit(x) for pair in (overrides or {"": ""}).items() for x in pair))
-    return best.select("name", F.coalesce(fixed[F.col("name")], F.col("best.choice")).alias("match"), F.col("best.score").alias("score"))
+    if not isinstance(choices, DataFrame):
+        choices = names.sparkSession.createDataFrame([(c,) for c in choices], "choice string")
+    best = best_matches(names.select(F.col(name).alias("name")), choices)
+    if overrides:
+        fixed = F.create_map(*(F.lit(x) for pair in overrides.items() for x in pair))
+        best = best.withColumn("match", F.coalesce(fixed[F.col("name")], "match"))
+    return best

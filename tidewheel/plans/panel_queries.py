@@ -374,4 +374,4 @@ def fuzzy_match(spark, sf_dir):
     """JN-10, JN-11, STR-5, SRT-4."""
     nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("choice"))
     names = table(spark, sf_dir, "supplier").select(F.concat(F.lit("the "), F.lower("s_name")).alias("n")).union(table(spark, sf_dir, "nation").select(F.concat(F.lower("n_name"), F.lit(" (the)"))))
-    return lookup.best_names(names, "n", nations, {"nation_3 (the)": "NATION_3"})
+    return lookup.best_names(names, "n", nations, {"nation_3 (the)": "NATION_3"}).drop("scored")
