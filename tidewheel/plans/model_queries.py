@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.operators import models, panel, splits
+from tidewheel.operators import models, panel, splits, trees
 from tidewheel.plans import pipelines
 from tidewheel.plans.registry import SERIES, query, series, table
 
@@ -128,6 +128,24 @@ def gbt_score(spark, sf_dir):
     return models.predict(model, rows.where("month >= date'1999-01-01'"), columns).select("plant_id", "month", "prediction")
 
 
+@query()
+def boosted_score(spark, sf_dir):
+    """MDL-3: second-order boosting with ridge and columns by tree; as many trees as gbt_score, of the same depth."""
+    rows, columns = _lagged(spark, sf_dir)
+    params = {"num_boost_round": 8, "max_depth": 4, "learning_rate": 0.1, "reg_lambda": 1.0, "min_child_weight": 5, "colsample_bytree": 0.9}
+    model = trees.fit_boosted(rows.where("month < date'1998-01-01'"), columns, "physical_hydropower_0n", params, rows.where("month between date'1998-01-01' and date'1998-12-01'"))
+    return model.predict(rows.where("month >= date'1999-01-01'")).select("plant_id", "month", "prediction")
+
+
+@query()
+def deep_forest_score(spark, sf_dir):
+    """MDL-2: trees of depth 50 with minima of rows to split and in leaves, grown in tasks."""
+    rows, columns = _lagged(spark, sf_dir)
+    params = {"n_estimators": 16, "max_depth": 50, "min_samples_leaf": 8, "min_samples_split": 20, "max_features": 3}
+    model = trees.fit_forest(rows.where("month < date'1999-01-01'"), columns, "physical_hydropower_0n", params)
+    return model.predict(rows.where("month >= date'1999-01-01'")).select("plant_id", "month", "prediction")
+
+
 @query()
 def mlp_score(spark, sf_dir):
     """MDL-4."""
