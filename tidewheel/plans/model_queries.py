@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tidewheel.operators import models, panel, splits, trees
+from tidewheel.operators import models, panel, perceptron, splits, trees, tuning
 from tidewheel.plans import pipelines
+from tidewheel.operators.staging import shared_folder
 from tidewheel.plans.registry import SERIES, query, series, table
 
 _YEARS = {"NATION_3": (1996, 1997, 1998), "NATION_6": (1997, None, 1998), "NATION_12": (1995, 1996, 1999), "NATION_2": (1998, 1999, 2000)}
@@ -154,6 +157,29 @@ def mlp_score(spark, sf_dir):
     return models.perceptron_predict(net, rows.where("month >= date'1999-01-01'"), columns).select("plant_id", "month", "prediction")
 
 
+@query()
+def mlp_batches_score(spark, sf_dir):
+    """MDL-4: mini-batches in barrier tasks, dropout and early stopping."""
+    rows, columns = _lagged(spark, sf_dir)
+    net = perceptron.fit_perceptron_batches(rows.where("month < date'1998-01-01'"), columns, "physical_hydropower_0n", (8,), epochs=3, batch=256, rate=0.01, dropout=0.1, valid=rows.where("month between date'1998-01-01' and date'1998-12-01'"))
+    return models.perceptron_predict(net, rows.where("month >= date'1999-01-01'"), columns).select("plant_id", "month", "prediction")
+
+
+@query()
+def tuned_forest_score(spark, sf_dir):
+    """MDL-5: nine forests at a ninth of the trees, three at a third, one whole; that one scores the last years."""
+    rows, columns = _lagged(spark, sf_dir)
+    rows, label = rows.persist(), "physical_hydropower_0n"
+    train, valid = rows.where("month < date'1998-01-01'"), rows.where("month between date'1998-01-01' and date'1998-12-01'")
+    fit = lambda p, share: models.random_forest(train, columns, label, p | {"n_estimators": max(1, round(18 * share))})
+    error = lambda p, share: models.rmse(models.predict(fit(p, share), valid, columns), label)
+    space = {"max_depth": (2, 8), "min_samples_leaf": (1, 40), "max_features": ["onethird", "sqrt", "all"]}
+    found = tuning.tune(spark, error, space, f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}", "forest", trials=9)
+    scored = models.predict(fit(found.params, 1.0), rows.where("month >= date'1999-01-01'"), columns).select("plant_id", "month", "prediction")
+    rows.unpersist()
+    return scored
+
+
 @query(pipelines.TRAINING_SQL)
 def training_panel(spark, sf_dir):
     """Stages B to D on the driver's tables: harmonise, filter, repair, lags, split."""
