@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.kernels import potential_power, wrap_longitude
+from tidewheel.operators.ranking import HOT, nearest_place, quantile_by, ranked
 from tidewheel.operators.shapes import cover, members
 
 
 def wrap_and_sort(grid: DataFrame, lon: str = "lon", lon_idx: str = "lon_idx") -> DataFrame:
-    """DOM-1, SRT-2: wrapped longitudes, with indices in their order. The axis is a small table of its own."""
+    """DOM-1, SRT-2: wrapped longitudes, with indices in their order, which a table of one row for each longitude has."""
     wrapped = grid.withColumn(lon, wrap_longitude(F.col(lon)))
-    axis = wrapped.select(lon).distinct().withColumn("_new", F.row_number().over(Window.orderBy(lon)) - 1)
-    return wrapped.join(axis, lon).withColumn(lon_idx, F.col("_new")).drop("_new").select(*grid.columns)
+    axis, _ = ranked(wrapped.select(lon).distinct(), [lon], "_new")
+    return wrapped.join(axis, lon).withColumn(lon_idx, (F.col("_new") - 1).cast(grid.schema[lon_idx].dataType)).drop("_new").select(*grid.columns)
 
 
 def reverse_axis(grid: DataFrame, idx: str, size: int) -> DataFrame:
@@ -30,9 +31,8 @@ def nearest_regular(value: Column, first: float, step: float, size: int) -> Colu
 
 
 def nearest_on_axis(value: Column, axis: Sequence[float]) -> Column:
-    """JN-15 on any axis (a short list of the caller): index of the least distance, the first of equal ones."""
-    points = F.array(*(F.struct(F.abs(value - F.lit(float(p))).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(axis)))
-    return F.when(value.isNotNull(), F.array_min(points)["i"])
+    """JN-15 on any axis: index of the least distance, the first of equal ones; by bisection, see `ranking.nearest_place`."""
+    return nearest_place(value, axis)
 
 
 def at_points(grid: DataFrame, points: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -48,9 +48,9 @@ def neighbourhood(points: DataFrame, radius: int = 1) -> DataFrame:
     return out.withColumns({"cell_lat": F.col("lat_idx") + F.col("di"), "cell_lon": F.col("lon_idx") + F.col("dj")})
 
 
-def quantile_by_cell(grid: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
-    """AGG-11: exact quantile with linear interpolation."""
-    return grid.groupBy(*keys).agg(F.percentile(value, q).alias(out))
+def quantile_by_cell(grid: DataFrame, keys: Sequence[str], value: str, q: float, out: str, hot: int = HOT) -> DataFrame:
+    """AGG-11: exact quantile with linear interpolation; see `ranking.quantile_by` for cells of very many values."""
+    return quantile_by(grid, keys, value, q, out, hot)
 
 
 def best_cell(candidates: DataFrame, key: str, simulated: str, capacity: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.nulls import is_true, not_in, ratio
 from tidewheel.operators.dedup import drop_short_entities
+from tidewheel.operators.ranking import ranked
 
 #: Last year of training, year of validation or None, first year of testing.
 COUNTRY_YEARS = {
@@ -32,14 +33,13 @@ def split_by_entities(df: DataFrame, key: str, date: str, ordinal: str, share: f
     """MLP-2, WIN-8: entities in order of first appearance (least ordinal); all rows of the first int(n * share) train, the others'
     validate up to a date and test from another.
 
-    Ranks come from the number of smaller first ordinals, which are unique, over a table of one row for each entity.
+    Places come from ranges of the first ordinals (`ranking.ranked`), so no task sorts all entities; of equal ones by key.
     """
-    first = df.groupBy(key).agg(F.min(ordinal).alias("_first"))
-    ranked = first.withColumn("_rank", F.row_number().over(Window.orderBy("_first"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    train = F.col("_rank") <= F.floor(F.col("_n") * share)
+    first, n = ranked(df.groupBy(F.col(key).alias("_key")).agg(F.min(ordinal).alias("_first")), ["_first", "_key"], "_rank")
+    train = F.col("_rank") <= int(n * share)
     split = F.when(train, "train").when(F.col(date) <= F.lit(valid_until).cast("date"), "valid").when(F.col(date) >= F.lit(test_from).cast("date"), "test")
-    out = df.join(ranked.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
-    return out.withColumn("split", split).where("split is not null").drop("_key", "_first", "_rank", "_n")
+    out = df.join(first, F.col(key).eqNullSafe(F.col("_key")))
+    return out.withColumn("split", split).where("split is not null").drop("_key", "_first", "_rank")
 
 
 def reallocate(df: DataFrame, key: str, least: int = 24) -> DataFrame:

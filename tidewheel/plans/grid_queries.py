@@ -71,6 +71,12 @@ def quantile90_power(spark, sf_dir):
     return q.select("p_size", F.round(flow, 6).alias("flow"), F.round(kernels.potential_power(flow, head), 6).alias("potential"), F.round(kernels.hydraulic_power(flow, head), 6).alias("feature"))
 
 
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90 FROM lineitem GROUP BY 1")
+def hot_quantile(spark, sf_dir):
+    """AGG-11 with a third of all rows in one key, by digits."""
+    return grid.quantile_by_cell(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.9, "q90", hot=10_000).withColumn("q90", F.round("q90", 6))
+
+
 _MONTHS = "g AS (SELECT CAST(o_custkey % 40 AS INT) AS lat_idx, CAST(o_custkey % 12 AS INT) AS lon_idx, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS value FROM orders)"
 
 
