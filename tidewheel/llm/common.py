@@ -194,14 +194,14 @@ def components(edges: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 16 << 20
 
 
-def sized(table: DataFrame, row_bytes: int = 96) -> DataFrame:
+def sized(table: DataFrame, row_bytes: int = 96, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A staged table of rows of a known width, marked for broadcast if its size is within the limit."""
-    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+    return F.broadcast(table) if table.count() * row_bytes <= limit else table
 
 
-def sized_semi_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+def sized_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_BYTES) -> DataFrame:
     """Left semi join with a staged table of one key of up to 16 bytes: it is broadcast if its size is within the limit, else shuffled."""
-    few = sized(keys, 32)
+    few = sized(keys, 32, limit)
     return rows.join(few if few is not keys else keys.hint("shuffle_hash"), on, "left_semi")
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import components, drop_keys, salt, sized, sized_semi_join, slices, staged, text_buffer, texts_of, whole_groups, word_spans
+from tidewheel.llm.common import BROADCAST_BYTES, components, drop_keys, salt, sized, sized_semi_join, slices, staged, text_buffer, texts_of, whole_groups, word_spans
 from tidewheel.llm.lm import END, _mix, tokens
 
 #: Generator polynomial of the perfect binary Golay code (23, 12, 7).
@@ -22,6 +22,8 @@ BUCKET = 256
 SEED_PLACE = 52
 #: Rows of candidate groups that a worker handles at once; shingles of a group beyond which its texts are compared by a join.
 GROUP_ROWS, GROUP_SIZE = 500, 4_000_000
+#: Bytes of keys that the near copies of the pipeline broadcast at once, by a driver that has several such stages' tables to hold.
+PRINTS_BROADCAST = 1 << 20
 BLOCKS = ((4, 1 << 27), (5, 1 << 34), (6, 1 << 63))
 
 
@@ -181,7 +183,7 @@ def _around(fps: DataFrame, bits: int, name: str) -> DataFrame:
     return fps.mapInArrow(run, f"seed int, center bigint, {name} bigint")
 
 
-def near_links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, blocks: int | None = None) -> DataFrame:
+def near_links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, blocks: int | None = None, broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """Edges (seed, src, dst) that connect distinct fingerprints (fp) just as all links of at most max_bits (3 at most) do.
 
     If fps has a column seed (up to 1,000), only fingerprints of one seed are compared; else it is 0.
@@ -190,7 +192,8 @@ def near_links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, blocks:
     middle value one bit at most from one end and two at most from the other; all ends within one
     bit of a middle value are linked with one another and with all ends within two bits, so each
     end within two is joined to one end within one. That is linear in the bucket's size. The keys'
-    length follows the number of fingerprints (BLOCKS), so few share one by chance.
+    length follows the number of fingerprints (BLOCKS), so few share one by chance. Lists of keys are broadcast up to so
+    many bytes, at 32 a key; as a hash table in memory a key takes some times that.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the keys hold for up to 3 bits")
@@ -213,11 +216,11 @@ def near_links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, blocks:
     links = stats.where("n = 2").where(close("src", "dst")).select(seed, "src", "dst")
     middle = stats.where(F.col("n").between(3, bucket)).select("key")
     if not middle.isEmpty():
-        lists = sized_semi_join(keys, middle, ["key"]).groupBy("key").agg(F.collect_list("fp").alias("members")).select(seed, "members")
+        lists = sized_semi_join(keys, middle, ["key"], broadcast).groupBy("key").agg(F.collect_list("fp").alias("members")).select(seed, "members")
         links = links.union(lists.mapInArrow(_bucket_links(max_bits), "seed int, src bigint, dst bigint"))
     large = stats.where(F.col("n") > bucket).select("key")
     if not large.isEmpty():
-        crowd = staged(sized_semi_join(keys, large, ["key"]).select(seed, "fp").distinct(), "crowd")
+        crowd = staged(sized_semi_join(keys, large, ["key"], broadcast).select(seed, "fp").distinct(), "crowd")
         inner = max_bits // 2
         first = _around(crowd, inner, "dst").groupBy("seed", "center").agg(F.min("dst").alias("dst"))
         links = links.union(_around(crowd, max_bits - inner, "src").join(first, ["seed", "center"]).select("seed", "src", "dst"))
@@ -366,7 +369,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = staged(part.groupBy("sha").agg(F.min("low").alias("low"), F.first("fps").alias("fps"), F.collect_list("salt").alias("salts")).withColumn("p", F.monotonically_increasing_id()), "texts")
     prints = texts.select("p", F.posexplode("fps").alias("seed", "fp"))
     values = staged(prints.groupBy("seed", "fp").agg(F.count("*").alias("n")), "values")
-    links = staged(near_links(values, max_bits), "links")
+    links = staged(near_links(values, max_bits, broadcast=PRINTS_BROADCAST), "links")
     node = lambda value: F.xxhash64("seed", value).bitwiseOR(F.lit(-(1 << 63)))  # noqa: E731  negative, while p isn't
     ends = links.select("seed", F.col("src").alias("fp")).union(links.select("seed", F.col("dst").alias("fp"))).union(values.where("n > 1").select("seed", "fp"))
     used = prints.join(ends.distinct(), ["seed", "fp"], "left_semi").select(F.col("p").alias("src"), node("fp").alias("dst"))
