@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.nulls import is_true, not_in, ratio
@@ -62,18 +62,27 @@ def entity_scales(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def standardise(df: DataFrame, key: str, columns: Sequence[str], suffix: str = "_plant_std") -> DataFrame:
-    """MLP-5: columns with the suffix. Where an entity has one row of a split, that row has none."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key, "split"))
-    out = df.withColumn("_n", n).join(entity_scales(df, key, columns), key, "left")
-    return out.withColumns({c + suffix: F.when(F.col("_n") > 1, (F.col(c) - F.col(f"_s_{c}.m")) / F.col(f"_s_{c}.s")) for c in columns}).drop("_n", *(f"_s_{c}" for c in columns))
+    """MLP-5: columns with the suffix, by the scales of `entity_scales`. Where an entity has one row of a split, that row has none.
+
+    All are windows by entity, so one exchange serves them and those of `reallocate` before.
+    """
+    w, order = Window.partitionBy(key), F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2)
+    counts = [F.count(F.when(order == k, 1)).over(w) for k in range(3)]
+    out = df.withColumns({"_order": order, "_n": F.array(*counts)})
+    out = out.withColumn("_best", F.when(F.col("_n")[0] > 1, 0).when(F.col("_n")[1] > 1, 1).when(F.col("_n")[2] > 1, 2))
+    own = {c: F.when(F.col("_order") == F.col("_best"), F.col(c)) for c in columns}
+    out = out.withColumns({f"{p}{c}": f(x).over(w) for c, x in own.items() for p, f in (("_m_", F.avg), ("_s_", F.stddev_pop))})
+    scaled = {c + suffix: F.when(F.get("_n", F.col("_order")) > 1, (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}"))) for c in columns}
+    return out.withColumns(scaled).drop("_order", "_n", "_best", *(p + c for c in columns for p in ("_m_", "_s_")))
 
 
 def standardise_with(df: DataFrame, fitted: DataFrame, key: str, columns: Sequence[str], suffix: str = "_plant_std") -> DataFrame:
     """MLP-6: an entity's fitted scales, or else those of its own rows here (one row gives 0)."""
-    own = df.groupBy(key).agg(*(F.struct(F.avg(c).alias("m"), F.when(F.stddev_pop(c) == 0, 1.0).otherwise(F.stddev_pop(c)).alias("s")).alias(f"_o_{c}") for c in columns))
-    out = df.join(own, key, "left").join(fitted, key, "left")
-    scale = {c: F.coalesce(F.col(f"_s_{c}"), F.col(f"_o_{c}")) for c in columns}
-    return out.withColumns({c + suffix: (F.col(c) - scale[c]["m"]) / scale[c]["s"] for c in columns}).drop(*(p + c for c in columns for p in ("_s_", "_o_")))
+    w = Window.partitionBy(key)
+    out = df.join(fitted, key, "left").withColumns({f"{p}{c}": f(c).over(w) for c in columns for p, f in (("_m_", F.avg), ("_d_", F.stddev_pop))})
+    own = {c: F.struct(F.col(f"_m_{c}").alias("m"), F.when(F.col(f"_d_{c}") == 0, 1.0).otherwise(F.col(f"_d_{c}")).alias("s")) for c in columns}
+    scale = {c: F.coalesce(F.col(f"_s_{c}"), own[c]) for c in columns}
+    return out.withColumns({c + suffix: (F.col(c) - scale[c]["m"]) / scale[c]["s"] for c in columns}).drop(*(p + c for c in columns for p in ("_s_", "_m_", "_d_")))
 
 
 def within(df: DataFrame, columns: Sequence[str], limit: float = 3.0) -> DataFrame:
@@ -97,8 +106,3 @@ def prepare(panel: DataFrame, key: str, columns: Sequence[str], denied: Sequence
     df = df.withColumn("capacity_factor", ratio(F.col(observed), F.col(capacity)))
     df = standardise(reallocate(df, key, least_rows), key, columns)
     return within(df, [f"{c}_plant_std" for c in (clip if clip is not None else columns)])
-
-
-def share_of_missing(column: Column) -> Column:
-    """Share of rows without a value, for reports."""
-    return F.avg(column.isNull().cast("int"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import calendar, kernels, nulls
 from tidewheel.operators import dedup, drought, grid, lookup, models, panel, splits
+from tidewheel.operators.staging import written
 from tidewheel.plans.registry import SERIES, series, table
 
 #: Plants left out after manual inspection.
@@ -133,9 +134,13 @@ def training_panel_from_tables(spark, sf_dir: str) -> DataFrame:
     return out.select("country", "plant_id", "month", *rounded, *(f"physical_hydropower_{k}n" for k in range(7)), "split")
 
 
+#: Suppliers that stand for plants left out by hand.
+_DENIED = (7, 21, 30)
+
 PREPARED_SQL = f"""WITH panel AS ({TRAINING_SQL}),
     means AS (SELECT n_name AS country, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, round(avg(o_totalprice), 6) AS country_mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
-    joined AS (SELECT plant_id, month, split, capacity_factor, {', '.join(f'physical_hydropower_{k}n' for k in range(7))}, country_mean FROM panel JOIN means USING (country, month)),
+    joined AS (SELECT plant_id, month, split, {', '.join(f'physical_hydropower_{k}n' for k in range(7))}, country_mean FROM panel JOIN means USING (country, month)
+        WHERE plant_id NOT IN ({', '.join(map(str, _DENIED))}) AND capacity > 300 QUALIFY count(*) OVER (PARTITION BY plant_id) >= 24),
     n AS (SELECT *, count(*) FILTER (split = 'train') OVER w AS trains, count(*) FILTER (split = 'valid') OVER w AS valids FROM joined WINDOW w AS (PARTITION BY plant_id)),
     dealt AS (SELECT * EXCLUDE (split, trains, valids), CASE WHEN (trains > 0 AND trains < 24) OR (trains = 0 AND valids > 0 AND valids < 24) THEN 'train' ELSE split END AS split FROM n),
     stats AS (SELECT plant_id, split, {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _SCALED)} FROM dealt GROUP BY ALL HAVING count(*) > 1),
@@ -151,13 +156,13 @@ def prepared_panel_from_tables(spark, sf_dir: str) -> DataFrame:
     rows = training_panel_from_tables(spark, sf_dir).withColumnRenamed("country", "country_code")
     means = grid.country_mean(values, cells, "value", "country_mean").withColumn("country_mean", F.round("country_mean", 6))
     rows = rows.join(means, ["country_code", "month"])
-    out = splits.within(splits.standardise(splits.reallocate(rows, "plant_id"), "plant_id", _SCALED), [f"{c}_plant_std" for c in _SCALED])
+    out = splits.prepare(rows, "plant_id", _SCALED, _DENIED, "capacity", "observed", least_capacity=300)
     return out.select("plant_id", "month", "split", *(F.round(f"{c}_plant_std", 6).alias(f"{c}_plant_std") for c in _SCALED))
 
 
 def global_scores_from_tables(spark, sf_dir: str) -> DataFrame:
     columns = [f"physical_hydropower_{k}n" for k in range(7)]
-    rows = _panel(spark, sf_dir)
+    rows = written(_panel(spark, sf_dir), "panel")  # read for the fit, its scales and the scores
     training = splits.standardise(splits.reallocate(splits.split_by_years(rows, "country", "month", _YEARS), "plant_id"), "plant_id", columns)
     training = splits.within(training, [f"{c}_plant_std" for c in columns])
     scored = train_and_score(training, rows, columns, "plant_id", "capacity_factor", "capacity", {"n_estimators": 20, "max_depth": 8})
