@@ -37,7 +37,7 @@ def nearest_on_axis(value: Column, axis: Sequence[float]) -> Column:
 
 def at_points(grid: DataFrame, points: DataFrame, columns: Sequence[str]) -> DataFrame:
     """JN-14: the grid's values at each point's cell (lat_idx, lon_idx). Cells without a point never reach a shuffle of the values
-    where the optimizer broadcasts the points."""
+    where the optimizer broadcasts the points. For a stored grid, `tables.read_cells` reads the row groups of the points only."""
     return points.join(grid.select("lat_idx", "lon_idx", *columns), ["lat_idx", "lon_idx"], "left")
 
 

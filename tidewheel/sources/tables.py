@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewheel.functions.curve import cell_code
 from tidewheel.functions.nulls import nan_to_null
 
 
@@ -212,8 +213,43 @@ def write_by_entity(df: DataFrame, path: str, key: str) -> None:
     df.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
 
 
-def write_grid(df: DataFrame, path: str, comments: Mapping[str, str] | None = None, month: str = "month") -> None:
-    """SNK-4 to SNK-6: Parquet with zstd, by year, with comments of columns as metadata."""
+def write_grid(df: DataFrame, path: str, comments: Mapping[str, str] | None = None, month: str = "month", row_group: int = 8 << 20) -> None:
+    """SNK-4 to SNK-6: Parquet with zstd, by year, with comments of columns as metadata. A grid with lat_idx and lon_idx is ordered
+    by a space-filling curve over its cells (column cell) within the year, in row groups of about so many bytes, so that
+    `read_cells` finds a few places in a few of them; ranges of the curve share out a year's work."""
     for name, text in (comments or {}).items():
         df = df.withMetadata(name, {"comment": text})
-    df.withColumn("year", F.year(month)).repartition("year").write.mode("overwrite").option("compression", "zstd").partitionBy("year").parquet(path)
+    df = df.withColumn("year", F.year(month))
+    if {"lat_idx", "lon_idx"} <= set(df.columns):
+        df = df.withColumn("cell", cell_code(F.col("lat_idx"), F.col("lon_idx")))
+        df = df.repartitionByRange("year", "cell").sortWithinPartitions("year", "cell", month)
+    else:
+        df = df.repartition("year")
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", row_group).partitionBy("year").parquet(path)
+
+
+def cell_ranges(points: DataFrame, most: int = 4_096, ranges: int = 64) -> list[tuple[int, int]]:
+    """Ranges of the curve that hold all cells (lat_idx, lon_idx) of points: at most so many, with the largest gaps left out. Many
+    cells are looked at in blocks, of which the driver gets `most` numbers at most."""
+    codes = points.select(cell_code(F.col("lat_idx"), F.col("lon_idx")).alias("c")).where("c is not null").distinct()
+    shifts = range(0, 64, 4)
+    counts = codes.agg(*(F.countDistinct(F.shiftright("c", s)).alias(f"n{s}") for s in shifts)).first()
+    shift = next(s for s in shifts if counts[f"n{s}"] <= most)
+    blocks = sorted(r.b for r in codes.select(F.shiftright("c", shift).alias("b")).distinct().collect())
+    gaps = sorted(range(1, len(blocks)), key=lambda k: blocks[k - 1] - blocks[k])[: ranges - 1]
+    cuts = [0, *sorted(k for k in gaps if blocks[k] - blocks[k - 1] > 1), len(blocks)]
+    return [(blocks[a] << shift, (blocks[b - 1] + 1 << shift) - 1) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def read_cells(spark: SparkSession, path: str, points: DataFrame, first: str | None = None, last: str | None = None, month: str = "month") -> DataFrame:
+    """SRC-9, FLT-13 and JN-14 for a grid that write_grid wrote: its rows at the cells (lat_idx, lon_idx) of points, within the
+    months. Ranges of the curve are pushed to the files, whose row groups keep their least and largest cell."""
+    df = read_grid(spark, path, None, None, month)
+    near = F.lit(False)
+    for low, high in cell_ranges(points):
+        near = near | F.col("cell").between(low, high)
+    df = df.where(near)
+    for bound, keep, year in ((first, F.col(month) >= F.lit(first).cast("date"), F.col("year") >= F.year(F.lit(first).cast("date"))), (last, F.col(month) <= F.lit(last).cast("date"), F.col("year") <= F.year(F.lit(last).cast("date")))):
+        df = df.where(keep & year) if bound else df
+    places = points.select("lat_idx", "lon_idx").distinct()
+    return df.join(places, ["lat_idx", "lon_idx"], "left_semi").drop("cell", "year")
