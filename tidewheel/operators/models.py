@@ -42,7 +42,7 @@ def _depth(wanted: int) -> int:
 
 def random_forest(train: DataFrame, columns: Sequence[str], label: str, params: Mapping | None = None, weight: str | None = None):
     """MDL-2: n_estimators, max_depth, min_samples_leaf and max_features of params. Spark's trees end at depth 30, of which a
-    deeper wish warns; it has no least number of rows to split."""
+    deeper wish warns; it has no least number of rows to split. `trees.fit_forest` has neither limit."""
     p = {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 1, "max_features": "auto"} | dict(params or {})
     model = RandomForestRegressor(labelCol=label, numTrees=p["n_estimators"], maxDepth=_depth(p["max_depth"]), minInstancesPerNode=p["min_samples_leaf"], featureSubsetStrategy=str(p["max_features"]), seed=SEED, **({"weightCol": weight} if weight else {}))
     return model.fit(assemble(train, columns))
@@ -83,7 +83,7 @@ PERCEPTRON_SPACE = {"depth": (1, 5), "width": (16, 256), "rate": (0.0001, 0.01),
 def search(objective: Callable[[dict], float], space: Mapping[str, tuple], trials: int = 100, seed: int = SEED, startup: int = 10, candidates: int = 24) -> tuple[dict, float]:
     """MDL-5: tree-structured Parzen search that minimises the objective; NaN counts as infinite.
 
-    After random trials each parameter is drawn near those of the better quarter and the candidate of the
+    One trial after another; `tuning.tune` has them side by side, halves them and goes on after a kill. After random trials each parameter is drawn near those of the better quarter and the candidate of the
     best density ratio is tried. Each trial is a distributed fit; the driver only keeps parameters and errors.
     """
     rng, seen = random.Random(seed), []

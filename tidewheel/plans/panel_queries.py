@@ -248,15 +248,18 @@ def unpivot_years(spark, sf_dir):
     return panel.long_form(wide, ["country", "s_suppkey"], None, "year", "capacity").withColumn("capacity", nulls.dash_to_zero(F.col("capacity")))
 
 
-#: Years of the orders, which are the columns of the wide form.
+#: Years that have a column of the wide form; orders of any other year, or none, are summed in one more.
 _ORDER_YEARS = [str(y) for y in range(1992, 2002)]
 
 
-@query(f"""SELECT o_custkey, {', '.join(f'round(sum(o_totalprice) FILTER (year(o_orderdate) = {y}), 2) AS "{y}"' for y in _ORDER_YEARS)} FROM orders GROUP BY 1""")
+@query(f"""SELECT o_custkey, {', '.join(f'round(sum(o_totalprice) FILTER (year(o_orderdate) = {y}), 2) AS "{y}"' for y in _ORDER_YEARS)},
+    round(sum(o_totalprice) FILTER (o_orderdate IS NULL OR year(o_orderdate) NOT IN ({', '.join(_ORDER_YEARS)})), 2) AS other FROM orders GROUP BY 1""")
 def pivot_years(spark, sf_dir):
     """RSH-3."""
-    long = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").cast("string").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
-    return panel.wide_form(long, ["o_custkey"], "year", "v", _ORDER_YEARS)
+    year = F.year("o_orderdate").cast("string")
+    year = F.when(year.isin(_ORDER_YEARS), year).otherwise("other").alias("year")
+    long = table(spark, sf_dir, "orders").groupBy("o_custkey", year).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    return panel.wide_form(long, ["o_custkey"], "year", "v", [*_ORDER_YEARS, "other"])
 
 
 @query(f"WITH {SERIES} SELECT plant_id, month, value AS physical_hydropower_0n, {', '.join(f'lag(value, {k}) OVER w AS physical_hydropower_{k}n' for k in range(1, 7))} FROM series WINDOW w AS (PARTITION BY plant_id ORDER BY month)")

@@ -209,8 +209,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_by_entity(df: DataFrame, path: str, key: str) -> None:
-    """SNK-3, SNK-7: one folder for each entity; rows are dealt by the key first, so a folder has one file."""
-    df.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+    """SNK-3, SNK-7: one folder for each entity. Rows are dealt by the key first, so a folder has one file, or several where an
+    entity has so many rows that adaptive execution splits its partition."""
+    df.hint("rebalance", key).write.mode("overwrite").partitionBy(key).parquet(path)
 
 
 def write_grid(df: DataFrame, path: str, comments: Mapping[str, str] | None = None, month: str = "month", row_group: int = 8 << 20) -> None:
