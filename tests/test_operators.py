@@ -270,6 +270,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert tables.list_files(str(tmp_path), ".csv") == [str(tmp_path / "GEN_2020_01.csv")] and tables.guarded(str(tmp_path / "none"), "skip") is False
     with pytest.raises(FileNotFoundError):
         tables.guarded(str(tmp_path / "none"))
+    (tmp_path / "empty").write_text("")
+    assert [tables.guarded(f"file://{tmp_path / n}", "skip", spark) for n in ("none", "empty", "GEN_2020_01.csv", "")] == [False, False, True, True]
     rows = spark.createDataFrame([("a", date(2020, 1, 1), 1.0), ("b", date(2021, 1, 1), 2.0)], "p string, month date, value double")
     tables.write_by_entity(rows, str(tmp_path / "by"), "p")
     assert sorted(x for x in os.listdir(tmp_path / "by") if "=" in x) == ["p=a", "p=b"]
@@ -279,8 +281,8 @@ def test_sources_and_sinks(spark, tmp_path):
     tables.write_csv(rows, str(tmp_path / "csv"))
     assert tables.read_csv(spark, str(tmp_path / "csv"), "p string, month date, value double").count() == 2
     assert tables.positional(rows, [2, 0], ["v", "k"]).columns == ["v", "k"] and tables.text_columns(rows) == ["p"]
-    pdf = spark.createDataFrame([(0, "Plant A", "1"), (1, "TOTAL", "9"), (2, "note", "0")], "n int, a string, b string")
-    assert values(tables.table_rows(pdf, "n", [1, 2], ["plant", "mw"]), "plant", "mw") == [("Plant A", "1")]
+    pdf = spark.createDataFrame([(0, "Plant A", "1"), (1, "Totalia", "2"), (2, "TOTAL (A)", "9"), (3, "note", "0")], "n int, a string, b string")
+    assert values(tables.table_rows(pdf, "n", [1, 2], ["plant", "mw"]), "plant", "mw") == [("Plant A", "1"), ("Totalia", "2")]
     calls = []
 
     def fetch(path):
@@ -295,7 +297,7 @@ def test_sources_and_sinks(spark, tmp_path):
     def broken(path):
         raise OSError
 
-    assert tables.download({str(tmp_path / "y.nc"): broken}, sleep=lambda _: None) == [str(tmp_path / "y.nc")]
+    assert tables.download({str(tmp_path / n): f for n, f in (("y.nc", broken), ("x.nc", broken), ("z.nc", fetch))}, sleep=lambda _: None) == [str(tmp_path / "y.nc")]
 
 
 def test_small_world_end_to_end(spark):

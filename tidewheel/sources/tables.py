@@ -1,11 +1,14 @@
-"""Readers and writers (SRC-1 to SRC-17, SNK-1 to SNK-9). Formats that need a further library import it on use."""
+"""Readers and writers (SRC-1 to SRC-17, SNK-1 to SNK-9). Formats that need a further library import it on use; Excel is in
+`sources/sheets.py`, classic NetCDF in `sources/netcdf.py`."""
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import time
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import numpy as np
@@ -129,21 +132,6 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return layers.mapInArrow(run, "path string, id int, rings array<array<struct<x: double, y: double>>>, attributes map<string, string>")
 
 
-def read_excel(spark: SparkSession, path: str, sheet: str | int = 0, header: int = 0) -> DataFrame:
-    """SRC-5: one sheet through pandas on the driver; sheets are small by their format. Needs openpyxl."""
-    import pandas as pd
-
-    return nan_to_null(spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, header=header)))
-
-
-def write_excel(df: DataFrame, path: str, most: int = 1_000_000) -> None:
-    """SNK-2: refuses more rows than a sheet holds, so the driver's memory is bounded. Needs openpyxl."""
-    frame = df.limit(most + 1).toPandas()
-    if len(frame) > most:
-        raise ValueError(f"more than {most} rows; write Parquet")
-    frame.to_excel(path, index=False)
-
-
 def positional(df: DataFrame, positions: Sequence[int], names: Sequence[str]) -> DataFrame:
     """SRC-6, PRJ-5: columns by position under new names."""
     return df.select(*(df[df.columns[i]] for i in positions)).toDF(*names)
@@ -155,9 +143,9 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def table_rows(df: DataFrame, ordinal: str, columns: Sequence[int], names: Sequence[str], end: str = "total") -> DataFrame:
-    """SRC-7 after the extraction of a PDF table: named columns by position, rows before the one that begins with the end word."""
+    """SRC-7 after the extraction of a PDF table: named columns by position, rows before the one that begins with the end word (not with a longer one)."""
     first = F.lower(F.trim(df[df.columns[columns[0]]]))
-    stop = df.where(first.startswith(end)).agg(F.min(ordinal).alias("_stop"))
+    stop = df.where(first.rlike(rf"^{re.escape(end)}\b")).agg(F.min(ordinal).alias("_stop"))
     kept = df.join(stop).where(F.col("_stop").isNull() | (F.col(ordinal) < F.col("_stop"))).drop("_stop")
     return positional(kept, columns, names)
 
@@ -173,34 +161,42 @@ def file_part(separator: str = "_", index: int = 0) -> Column:
     return F.try_element_at(F.split(name, separator), F.lit(index + 1 if index >= 0 else index))
 
 
-def guarded(path: str, missing: str = "raise") -> bool:
-    """SRC-16: whether a local path is there and not empty; "raise", or "skip" if it is not."""
-    there = os.path.exists(path) and (os.path.isdir(path) or os.path.getsize(path) > 0)
+def guarded(path: str, missing: str = "raise", spark: SparkSession | None = None) -> bool:
+    """SRC-16: whether a path is there and not empty; "raise", or "skip" if it is not. With a session the path may be in any file
+    system that Spark knows."""
+    if spark is None:
+        there = os.path.exists(path) and (os.path.isdir(path) or os.path.getsize(path) > 0)
+    else:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = files.exists(at) and (files.getFileStatus(at).isDirectory() or files.getFileStatus(at).getLen() > 0)
     if not there and missing == "raise":
         raise FileNotFoundError(path)
     return there
 
 
-def download(jobs: Mapping[str, Callable[[str], None]], attempts: int = 3, wait: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> list[str]:
-    """SRC-13: {target path: function that writes it}. Targets that exist are skipped, failures tried again; paths that failed are returned.
+def download(jobs: Mapping[str, Callable[[str], None]], attempts: int = 3, wait: float = 60.0, sleep: Callable[[float], None] = time.sleep, side: int = 4) -> list[str]:
+    """SRC-13: {target path: function that writes it}, `side` at a time. Targets that exist are skipped, failures tried again; paths
+    that failed are returned, in the order given.
 
     Credentials are the callers', from the environment. A file takes its name when it is complete.
     """
-    failed = []
-    for target, fetch in jobs.items():
+
+    def done(target: str, fetch: Callable[[str], None]) -> bool:
         if os.path.exists(target):
-            continue
+            return True
         for turn in range(attempts):
             try:
                 fetch(target + ".part")
                 os.replace(target + ".part", target)
-                break
+                return True
             except OSError:
                 if turn + 1 < attempts:
                     sleep(wait)
-        else:
-            failed.append(target)
-    return failed
+        return False
+
+    with ThreadPoolExecutor(side) as pool:
+        return [target for target, ok in zip(jobs, pool.map(done, jobs, jobs.values()), strict=True) if not ok]
 
 
 def write_csv(df: DataFrame, path: str) -> None:
