@@ -220,7 +220,8 @@ def near_links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, blocks:
         crowd = staged(sized_semi_join(keys, large, ["key"]).select(seed, "fp").distinct(), "crowd")
         inner = max_bits // 2
         first = _around(crowd, inner, "dst").groupBy("seed", "center").agg(F.min("dst").alias("dst"))
-        links = links.union(_around(crowd, max_bits - inner, "src").join(first, ["seed", "center"]).select("seed", "src", "dst"))
+        # The planner takes a side for as small as the crowd, though it has up to 2,081 rows for each of it: no broadcast.
+        links = links.union(_around(crowd, max_bits - inner, "src").hint("merge").join(first, ["seed", "center"]).select("seed", "src", "dst"))
     return links.where("src <> dst").distinct()
 
 
