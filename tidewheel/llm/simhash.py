@@ -167,18 +167,53 @@ def _bucket_links(max_bits: int):
     return run
 
 
-def _around(fps: DataFrame, bits: int, name: str) -> DataFrame:
-    """(seed, center, name): all 64-bit values within so many bits of each fingerprint."""
+def _around(fps: DataFrame, bits: int, keep: list[str]) -> DataFrame:
+    """(seed, center, and the columns of long to keep): all 64-bit values within so many bits of each fingerprint."""
     flips = [sum(1 << b for b in places) for k in range(bits + 1) for places in combinations(range(64), k)]
     masks = np.array(flips, np.uint64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 64):
-                fp, seed = batch.column("fp").to_numpy()[s : s + 64], batch.column("seed").to_numpy()[s : s + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(seed, len(masks))), pa.array((fp[:, None] ^ masks[None, :]).ravel()), pa.array(np.repeat(fp, len(masks)))], names=["seed", "center", name])
+                part = batch.slice(s, 64)
+                kept = [pa.array(np.repeat(part.column(c).to_numpy(), len(masks))) for c in ("seed", *keep)]
+                center = pa.array((part.column("fp").to_numpy()[:, None] ^ masks[None, :]).ravel())
+                yield pa.RecordBatch.from_arrays([kept[0], center, *kept[1:]], names=["seed", "center", *keep])
 
-    return fps.mapInArrow(run, f"seed int, center bigint, {name} bigint")
+    return fps.select("seed", "fp", *(c for c in keep if c != "fp")).mapInArrow(run, f"seed int, center bigint, {', '.join(f'{c} bigint' for c in keep)}")
+
+
+def _crowd_links(crowd: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (seed, src, dst) that connect the fingerprints of a staged table (seed, fp, node: a number of its own) as all their links do.
+
+    A link has a middle value at most half its bits, rounded down, from one end, and the rest of them from the other. First
+    those within the lesser reach of one middle value are connected, at most 65 for each, to the first of them. All of them
+    being one component then, what else is within the greater reach gives an edge only if it is of another component: the
+    edges of a dense group are in proportion to its fingerprints, and not to its links.
+    """
+    inner = max_bits // 2
+    one = F.struct("fp", "node")
+    balls = _around(crowd, inner, ["node", "fp"]).groupBy("seed", "center").agg(F.min(one).alias("low"), F.collect_set(one).alias("all")).where(F.size("all") > 1)
+    first = balls.select("seed", "low", F.explode("all").alias("one")).where("one.node <> low.node").select("seed", F.col("one.node").alias("node"), F.col("low.node").alias("low"), F.col("one.fp").alias("src"), F.col("low.fp").alias("dst"))
+    first = staged(first.dropDuplicates(["node", "low"]), "inner")
+    roots = components(first.select(F.col("node").alias("src"), F.col("low").alias("dst")))
+    named = staged(crowd.join(roots, "node", "left").select("seed", "fp", F.coalesce("root", "node").alias("root")), "rooted")
+    near = _around(named, inner, ["root"]).withColumn("inner", F.col("root"))
+    met = near.unionByName(_around(named, max_bits - inner, ["root"]).withColumn("inner", F.lit(None).cast("long")))
+    mixed = met.groupBy("seed", "center").agg(F.max("inner").alias("inner"), F.min("root").alias("low"), F.max("root").alias("high")).where("inner is not null and low < high")
+    mixed = staged(mixed.select("seed", "center"), "mixed")
+    met = sized_semi_join(met, mixed, ["seed", "center"]).groupBy("seed", "center").agg(F.max("inner").alias("a"), F.collect_set("root").alias("all"))
+    other = staged(met.select("a", F.explode("all").alias("b")).where("a <> b").distinct(), "outer")
+    end = lambda node, name: crowd.select("seed", F.col("node").alias(node), F.col("fp").alias(name))
+    return _starred(first.select("seed", "src", "dst")).union(other.join(end("a", "src"), "a").join(end("b", "dst").drop("seed"), "b").select("seed", "src", "dst"))
+
+
+def _starred(links: DataFrame) -> DataFrame:
+    """Edges (seed, src, dst) of the same components: of an end's edges to lesser ones the least stays, and the others' ends
+    are linked with that. In a dense group these repeat one another. An end has a few dozen lesser ones at most."""
+    low = links.where("src <> dst").groupBy("seed", F.greatest("src", "dst").alias("src")).agg(F.collect_set(F.least("src", "dst")).alias("all"))
+    low = low.withColumn("low", F.array_min("all")).select("seed", "src", "low", F.explode("all").alias("dst"))
+    return low.select("seed", F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("low").alias("dst")).distinct()
 
 
 def near_links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, blocks: int | None = None) -> DataFrame:
@@ -187,9 +222,8 @@ def near_links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, blocks:
     If fps has a column seed (up to 1,000), only fingerprints of one seed are compared; else it is 0.
     Buckets of two are compared in the aggregation. Larger ones up to `bucket` members are gathered
     and give a spanning forest. In still larger ones no pair is formed: a link within 3 bits has a
-    middle value one bit at most from one end and two at most from the other; all ends within one
-    bit of a middle value are linked with one another and with all ends within two bits, so each
-    end within two is joined to one end within one. That is linear in the bucket's size. The keys'
+    middle value one bit at most from one end and two at most from the other, by which they are
+    connected in steps (_crowd_links), in time and edges linear in the bucket's size. The keys'
     length follows the number of fingerprints (BLOCKS), so few share one by chance.
     """
     if not 0 <= max_bits <= 3:
@@ -215,13 +249,11 @@ def near_links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, blocks:
     if not middle.isEmpty():
         lists = sized_semi_join(keys, middle, ["key"]).groupBy("key").agg(F.collect_list("fp").alias("members")).select(seed, "members")
         links = links.union(lists.mapInArrow(_bucket_links(max_bits), "seed int, src bigint, dst bigint"))
+    links = _starred(links)
     large = stats.where(F.col("n") > bucket).select("key")
     if not large.isEmpty():
-        crowd = staged(sized_semi_join(keys, large, ["key"]).select(seed, "fp").distinct(), "crowd")
-        inner = max_bits // 2
-        first = _around(crowd, inner, "dst").groupBy("seed", "center").agg(F.min("dst").alias("dst"))
-        # The planner takes a side for as small as the crowd, though it has up to 2,081 rows for each of it: no broadcast.
-        links = links.union(_around(crowd, max_bits - inner, "src").hint("merge").join(first, ["seed", "center"]).select("seed", "src", "dst"))
+        crowd = staged(sized_semi_join(keys, large, ["key"]).select(seed, "fp").distinct().withColumn("node", F.monotonically_increasing_id()), "crowd")
+        links = links.union(_crowd_links(crowd, max_bits))
     return links.where("src <> dst").distinct()
 
 
