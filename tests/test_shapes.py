@@ -86,3 +86,19 @@ def test_only_missing_months_come_from_the_shape(spark):
     two = named(lands, "EPSG:4326").union(named(lands.withColumn("id", F.lit(8)), "EPSG:3857"))
     with pytest.raises(Exception, match="coordinate systems"):
         grid.country_mean_or_inside(cells, countries, two, "value", "mean").collect()
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_points_of_few_latitudes_need_no_cover(spark, monkeypatch, few):
+    """Edges that span the whole map gave a cover that grows with their square. Points of one latitude go to several tasks."""
+    rng = random.Random(5)
+    zigzag = lambda n: [(rng.uniform(-60, 60), rng.randint(-40, 40) + 0.5 * rng.randint(0, 1)) for _ in range(n)]
+    lands = {1: [zigzag(150), zigzag(3)], 2: [zigzag(40)], 3: []}
+    places = [(rng.uniform(-60, 60), float(y)) for y in range(-42, 43, 4) for _ in range(20)] + [(lands[2][0][0]), (1.5, -0.0), (1.5, 0.0)]
+    points = spark.createDataFrame([*places, (None, 1.0), (1.0, None), (float("nan"), 1.0), (1.0, float("inf"))], "lon double, lat double")
+    monkeypatch.setattr(shapes, "ROWS", 7)
+    monkeypatch.setattr(*((shapes, "cover", lambda *a: pytest.fail("a cover was made")) if few else (shapes, "LINES", 5)))
+    got = sorted(tuple(r) for r in shapes.located(points, spark.createDataFrame(list(lands.items()), RINGS)).collect())
+    assert got == sorted((*p, i) for i, rings in lands.items() for p in places if plain(*p, rings))
+    assert shapes.located(points.where("false"), spark.createDataFrame(list(lands.items()), RINGS)).collect() == []
+    assert shapes.located(points, spark.createDataFrame([], RINGS)).collect() == []

@@ -11,10 +11,14 @@ FAN x FAN; edges are rows that Spark groups by cell, so a ring of any length is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tidewheel.operators.staging import written
 
@@ -22,6 +26,9 @@ from tidewheel.operators.staging import written
 FAN, EDGES, LEVELS = 4, 32, 14
 #: Where in a cell its reference point is: off all simple fractions, as borders and grids lie on these.
 REF_X, REF_Y = 0.41421356237309503, 0.6180339887498949
+#: Different latitudes of points up to which these are looked up along lines; the lines' crossings with edges, at most, for each
+#: point and edge; points of a line that a task takes at once.
+LINES, CROSSINGS, ROWS = 100_000, 32, 50_000
 #: By how much of its size a cell reaches out for edges, against rounding.
 REACH = 1e-9
 
@@ -146,3 +153,77 @@ def members(points: DataFrame, covered: Cover, x: str = "lon", y: str = "lat") -
     cells = covered.cells.toDF("id", "_level", "_ix", "_iy", "_inside", "_edges")
     met = keyed.join(cells, [F.col(f"_cell.{k}") == F.col(f"_{k}") for k in ("level", "ix", "iy")])
     return met.where((F.col("_inside").cast("int") + turns) % 2 == 1).select(*points.columns, "id")
+
+
+def located(points: DataFrame, shapes: DataFrame, id_col: str = "id", rings_col: str = "rings", x: str = "lon", y: str = "lat") -> DataFrame:
+    """points with id, a row for each shape that a point is inside of, as `members` over the `cover` gives them.
+
+    Points of a grid share few latitudes. Each of these is a line; the edges' crossings with it are sorted by shape, and a point is
+    inside a shape of which an odd number of crossings is to its right. The crossings are as many as edges times lines that one
+    spans, so in proportion to the edges, while a cover of long edges that cross one another grows with their square. Where points
+    have too many latitudes, or edges span too many lines, the cover is taken.
+    """
+    px, py = F.col(x).cast("double"), F.col(y).cast("double") + F.lit(0.0)  # no negative zero
+    sound = points.where((F.abs(px) < 1e12) & (F.abs(py) < 1e12))
+    told = sound.groupBy(py.alias("y")).agg(F.count("*").alias("n")).limit(LINES + 1).collect()  # LINES at most
+    edges = written(edges_of(shapes, id_col, rings_col), "edges")
+    lines, salts = np.zeros(0), np.zeros(0, np.int64)
+    if told:
+        told = sorted((r.y, r.n) for r in told)
+        lines, salts = np.array([t[0] for t in told]), -(-np.array([t[1] for t in told]) // ROWS)
+
+    def spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The first line of each edge, and its number of lines: from the lower end, and below the upper one."""
+        a, b = (batch.column(c).to_numpy() for c in ("ay", "by"))
+        first = np.searchsorted(lines, np.minimum(a, b))
+        return first, np.searchsorted(lines, np.maximum(a, b)) - first
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([int(spans(batch)[1].sum())])], names=["edges", "crossings"])
+
+    sums = edges.select("ay", "by").mapInArrow(counted, "edges bigint, crossings bigint").agg(F.sum("edges"), F.sum("crossings")).first() if 0 < len(lines) <= LINES else (0, 0)
+    if len(lines) > LINES or (sums[1] or 0) > CROSSINGS * ((sums[0] or 0) + sum(t[1] for t in told)):
+        return members(points, cover(shapes, id_col, rings_col), x, y)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = spans(batch)[1]
+            ends = np.cumsum(n)
+            start = 0
+            while start < len(n):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 200_000, side="right")))
+                part, start = batch.slice(start, stop - start), stop
+                first, many = spans(part)
+                at = np.repeat(np.arange(len(many)), many)
+                line = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                again = salts[line]
+                salt = np.arange(int(again.sum())) - np.repeat(np.cumsum(again) - again, again)
+                at, line = np.repeat(at, again), np.repeat(line, again)
+                ax, ay, bx, by = (part.column(c).to_numpy()[at] for c in ("ax", "ay", "bx", "by"))
+                across = (bx - ax) * ((lines[line] - ay) / (by - ay)) + ax
+                yield pa.RecordBatch.from_arrays([pa.array(line.astype(np.int32)), pa.array(salt.astype(np.int32)), part.column("id").take(pa.array(at)), pa.array(across)], names=["_line", "_salt", "id", "across"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line = np.searchsorted(lines, batch.column("_y").to_numpy())
+            salt = np.arange(len(line)) % salts[line] if len(line) else line
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(line.astype(np.int32)), pa.array(salt.astype(np.int32))], names=[*batch.schema.names, "_line", "_salt"])
+
+    def inside(left: pa.Table, right: pa.Table) -> pa.Table:
+        value, across = left.column("_x").to_numpy(), right.column("across").to_numpy()
+        ids = right.column("id").combine_chunks()
+        ids = (ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids).dictionary_encode()
+        code = ids.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((across, code))
+        across, bounds = across[order], np.searchsorted(code[order], np.arange(len(ids.dictionary) + 1))
+        found = [np.flatnonzero((b - a - np.searchsorted(across[a:b], value, side="right")) % 2 == 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        rows = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
+        shape = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        return left.select(columns).take(pa.array(rows)).append_column("id", ids.dictionary.take(pa.array(shape.astype(np.int64))))
+
+    columns, place = points.columns, sound.withColumns({"_x": px, "_y": py})
+    kept = place.mapInArrow(dealt, StructType([*place.schema.fields, StructField("_line", IntegerType()), StructField("_salt", IntegerType())]))
+    of = edges.schema["id"]
+    crossed = edges.mapInArrow(cut, StructType([StructField("_line", IntegerType()), StructField("_salt", IntegerType()), of, StructField("across", DoubleType())]))
+    return kept.groupBy("_line", "_salt").cogroup(crossed.groupBy("_line", "_salt")).applyInArrow(inside, StructType([*points.schema.fields, of]))

@@ -215,4 +215,4 @@ def points_in_shapes(spark, sf_dir):
     )
     rings = corners.groupBy("id").agg(F.collect_list(F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("rings"))
     places = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 60).alias("lon"), (F.col("c_custkey") * 7 % 180 - 90).cast("double").alias("lat"))
-    return shapes.members(places, shapes.cover(rings)).select("id", "c_custkey")
+    return shapes.located(places, rings).select("id", "c_custkey")
