@@ -146,3 +146,16 @@ def test_queries_against_sparks_models(spark):
     assert error("boosted_score") < error("gbt_score")
     mean = later.agg(F.stddev_pop("physical_hydropower_0n")).first()[0]
     assert error("deep_forest_score") < 1.05 * mean
+
+
+def test_forests_score_without_being_gathered(spark, monkeypatch):
+    """The finished parts are as many as the rows let grow: no worker and no driver holds them all. Scores are those of the whole model."""
+    x, y, w = made(300, 4)
+    df = frame(spark, x, y, w)
+    model = trees.fit_forest(df, ["a", "b", "c"], "y", {"n_estimators": 3, "min_samples_leaf": 2}, "w", 60)
+    want = model.values(x) * w
+    small = trees.Forest(model.columns, model.base, model.tops, model.parts)
+    monkeypatch.setattr(trees, "LOCAL", 20)  # nodes of more rows are dealt to several tasks
+    monkeypatch.setattr(trees.Forest, "whole", property(lambda self: pytest.fail("the whole model was gathered")))
+    got = {r[:3]: r.p for r in small.predict(df, "w", "p").distinct().select("a", "b", "c", F.col("p") / F.col("w")).toDF("a", "b", "c", "p").collect()}
+    assert len(got) == len({tuple(r) for r in x}) and all(got[tuple(r)] == pytest.approx(v / f) for r, v, f in zip(x.tolist(), want, w, strict=True))

@@ -13,6 +13,7 @@ import math
 import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -114,6 +115,102 @@ class Trees:
         return Trees(**kept | {"trees": [Tree(**t) for t in kept["trees"]], "errors": [tuple(e) for e in kept["errors"]]})
 
 
+class Forest:
+    """A mean of trees that isn't held anywhere as a whole: the upper nodes, and a staged table of what tasks have grown below their
+    leaves (tree, node; feature, threshold, left, right, value: lists by node), which is in proportion to the training rows."""
+
+    mean, best_round, errors = True, None, ()
+
+    def __init__(self, columns: list[str], base: float, tops: list[Tree], parts: DataFrame | None):
+        self.columns, self.base, self.tops, self.parts = columns, base, tops, parts
+
+    @cached_property
+    def whole(self) -> Trees:
+        """The model as one object, for models that fit the driver."""
+        kept = Trees(self.columns, self.base, [Tree(**{k: list(v) for k, v in asdict(t).items()}) for t in self.tops], mean=True)
+        for r in self.parts.collect() if self.parts is not None else []:
+            kept.trees[r.tree].graft(r.node, Tree(r.feature, r.threshold, left=r.left, right=r.right, value=r.value))
+        return kept
+
+    @property
+    def trees(self) -> list[Tree]:
+        return self.whole.trees
+
+    def __eq__(self, other: object) -> bool:
+        return self.whole == (other.whole if isinstance(other, Forest) else other)
+
+    __hash__ = None
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        return self.whole.values(x)
+
+    def save(self, path: str) -> None:
+        self.whole.save(path)
+
+    def predict(self, df: DataFrame, capacity: str | None = None, out: str = "prediction") -> DataFrame:
+        """MDL-7: rows with a missing feature are left out; times capacity, if one is given. A row goes through the upper nodes where
+        it is, and then meets, for each tree, the part that it falls into; nodes of many rows are dealt to several tasks."""
+        if self.parts is None:
+            return Trees(self.columns, self.base, [], mean=True).predict(df, capacity, out)
+        tops, base = self.tops, self.base
+        rows = written(df.dropna(subset=self.columns).withColumn("_row", F.monotonically_increasing_id()), "scored")
+        names = [f"x{i}" for i in range(len(self.columns))]
+        inputs = rows.select("_row", *(F.col(c).cast("double").alias(n) for c, n in zip(self.columns, names, strict=True)))
+
+        def routed(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+            x = np.column_stack([batch.column(n).to_numpy() for n in names])
+            return x, [tree.nodes_of(x) for tree in tops]
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = [np.zeros(len(tree.feature), np.int64) for tree in tops]
+            for batch in batches:
+                if batch.num_rows:
+                    for part, leaf in zip(sums, routed(batch)[1], strict=True):
+                        part += np.bincount(leaf, minlength=len(part))
+            t = np.repeat(np.arange(len(tops)), [len(s) for s in sums])
+            node, n = np.concatenate([np.arange(len(s)) for s in sums]), np.concatenate(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(c[n > 0]) for c in (t, node, n)], names=["tree", "node", "n"])
+
+        salts = [np.ones(len(tree.feature), np.int64) for tree in tops]
+        for r in inputs.mapInArrow(counted, "tree bigint, node bigint, n bigint").groupBy("tree", "node").agg(F.sum("n").alias("n")).where(F.col("n") > LOCAL).collect():  # upper leaves
+            salts[r.tree][r.node] = -(-r.n // LOCAL)
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, leaves = routed(batch)
+                held = pa.array([r.tobytes() for r in x], pa.binary())
+                for t, leaf in enumerate(leaves):
+                    salt = np.arange(len(leaf)) % salts[t][leaf]
+                    arrays = [pa.array(np.full(len(leaf), t, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(salt.astype(np.int32)), batch.column("_row"), held]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["tree", "node", "salt", "_row", "x"])
+
+        def scored(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            t, node, _ = (k.as_py() for k in key)
+            if not left.num_rows:
+                value = np.zeros(0)
+            elif right.num_rows:
+                part = {c: right.column(c).combine_chunks().flatten().to_numpy() for c in ("feature", "threshold", "left", "right", "value")}
+                value = Tree(**part).apply(_matrix(left.column("x"), np.float64))
+            else:
+                value = np.full(left.num_rows, tops[t].value[node])
+            return pa.table({"_row": left.column("_row"), "tree": pa.array(np.full(len(value), t, np.int32)), "value": pa.array(value)})
+
+        several = [(t, v, int(k)) for t, s in enumerate(salts) for v, k in enumerate(s.tolist()) if k > 1]
+        parts = self.parts.withColumn("salts", F.lit(1))
+        if several:
+            many = df.sparkSession.createDataFrame(several, "tree int, node int, many int")
+            parts = self.parts.join(F.broadcast(many), ["tree", "node"], "left").withColumn("salts", F.coalesce("many", F.lit(1))).drop("many")  # upper leaves
+        parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        keys = ["tree", "node", "salt"]
+        each = inputs.mapInArrow(dealt, "tree int, node int, salt int, _row bigint, x binary").groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(scored, "_row bigint, tree int, value double")
+        in_order = F.array_sort(F.collect_list(F.struct("tree", "value")))
+        total = F.aggregate(in_order, F.lit(base), lambda s, v: s + v["value"] / len(tops))
+        value = F.col("_mean") * F.col(capacity) if capacity else F.col("_mean")
+        return rows.join(each.groupBy("_row").agg(total.alias("_mean")), "_row").withColumn(out, value).drop("_row", "_mean")
+
+
 def uniform(uid: np.ndarray, *numbers: int) -> np.ndarray:
     """A number in [0, 1) for each row, the same on every machine and attempt."""
     with np.errstate(over="ignore"):
@@ -127,7 +224,11 @@ def uniform(uid: np.ndarray, *numbers: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+    """Rows of as many numbers as each value's bytes hold, without a copy where the column is one chunk. There must be a row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
 
 
 class Table:
@@ -142,7 +243,7 @@ class Table:
         names = [f"x{i}" for i in range(len(self.columns))]
         picked = lambda df, held: df.select(*(F.col(c).cast("double").alias(n) for c, n in zip(self.columns, names, strict=True)), F.col(label).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), F.lit(held).alias("valid"))
         rows = picked(train, False) if valid is None else picked(train, False).unionByName(picked(valid, True))
-        rows = rows.dropna().where("w > 0")
+        rows = written(rows.dropna().where("w > 0"), "rows")
         fine = self._quantiles(rows.where("not valid"), names)
         self.borders = self._weighted(rows.where("not valid"), names, fine, bins)
         borders = self.borders
@@ -155,7 +256,7 @@ class Table:
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([r.tobytes() for r in x], pa.binary())] if raw else arrays, names=["uid", "y", "w", "valid", "b", "x"][: 6 if raw else 5])
 
         ddl = "uid bigint, y double, w double, valid boolean, b binary" + ", x binary" * raw
-        self.rows = written(written(rows, "rows").withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, ddl), "binned")
+        self.rows = written(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, ddl), "binned")
         sums = self.rows.where("not valid").agg(F.count("*"), F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()
         self.count, self.mean = sums[0], sums[1] or 0.0
 
@@ -430,28 +531,31 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree_number: int, path: st
     return tree
 
 
-def fit_forest(train: DataFrame, columns: Sequence[str], label: str, params: Mapping | None = None, weight: str | None = None, local: int = LOCAL) -> Trees:
+def fit_forest(train: DataFrame, columns: Sequence[str], label: str, params: Mapping | None = None, weight: str | None = None, local: int = LOCAL) -> Forest:
     """MDL-2: a forest of trees of any depth.
 
     params: n_estimators, max_depth, min_samples_leaf, min_samples_split, max_features, bootstrap. Minima count different rows.
     Nodes of more than `local` rows are split by bins in Spark; then the rows of each (tree, node) go to one task that grows the
-    rest exactly. Trees are made TOGETHER at a time, so a row is shuffled so many times at once.
+    rest exactly. Trees are made TOGETHER at a time, so a row is shuffled so many times at once. What tasks grow stays in a table.
     """
     p = {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 1, "min_samples_split": 2, "max_features": None, "bootstrap": True} | dict(params or {})
     table = Table(train, columns, label, weight, raw=True)
     n = len(table.columns)
     p["max_features"] = min(n, p["max_features"] or n)
-    model = Trees(table.columns, 0.0 if table.count else table.mean, [], mean=True)
+    model = Forest(table.columns, 0.0 if table.count else table.mean, [], None)
     rows = table.rows.persist()
     try:
         for first in range(0, p["n_estimators"] if table.count else 0, TOGETHER):
-            model.trees += _trees(rows, table, first, min(TOGETHER, p["n_estimators"] - first), p, local)
+            tops, parts = _trees(rows, table, first, min(TOGETHER, p["n_estimators"] - first), p, local)
+            model.tops += tops
+            model.parts = parts if model.parts is None else model.parts.union(parts)
     finally:
         rows.unpersist()
     return model
 
 
-def _trees(rows: DataFrame, table: Table, first: int, many: int, p: Mapping, local: int) -> list[Tree]:
+def _trees(rows: DataFrame, table: Table, first: int, many: int, p: Mapping, local: int) -> tuple[list[Tree], DataFrame]:
+    """The upper nodes of so many trees, and the written table of what is below."""
     trees = [Tree(value=[table.mean]) for _ in range(many)]
     names = {(t, 0): "" for t in range(many)}
     n, bootstrap = len(table.columns), p["bootstrap"]
@@ -496,10 +600,9 @@ def _trees(rows: DataFrame, table: Table, first: int, many: int, p: Mapping, loc
         t, node = (k.as_py() for k in key)
         part = part.sort_by("uid")
         own = grow(_matrix(part.column("x"), np.float64), part.column("y").to_numpy(), part.column("w").to_numpy(), first + t, names[t, node], p)
-        return pa.table({"tree": pa.array([t], pa.int32()), "node": pa.array([node], pa.int32()), "grown": [json.dumps(asdict(own))]})
+        lists = {k: pa.array([getattr(own, k)], pa.list_(kind)) for k, kind in (("feature", pa.int32()), ("threshold", pa.float64()), ("left", pa.int32()), ("right", pa.int32()), ("value", pa.float64()))}
+        return pa.table({"tree": pa.array([first + t], pa.int32()), "node": pa.array([node], pa.int32())} | lists)
 
     parts = rows.mapInArrow(dealt, "tree int, node int, uid bigint, y double, w double, x binary")
-    grown = parts.groupBy("tree", "node").applyInArrow(finished, "tree int, node int, grown string")
-    for r in grown.collect():  # the model itself
-        trees[r.tree].graft(r.node, Tree(**json.loads(r.grown)))
-    return trees
+    shape = "tree int, node int, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>"
+    return trees, written(parts.groupBy("tree", "node").applyInArrow(finished, shape), "parts")
