@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.operators import models, panel, trees
+from tidewheel.plans import model_queries
 from tidewheel.plans.catalog import QUERIES
 from tidewheel.plans.registry import series
 
@@ -159,3 +160,9 @@ def test_forests_score_without_being_gathered(spark, monkeypatch):
     monkeypatch.setattr(trees.Forest, "whole", property(lambda self: pytest.fail("the whole model was gathered")))
     got = {r[:3]: r.p for r in small.predict(df, "w", "p").distinct().select("a", "b", "c", F.col("p") / F.col("w")).toDF("a", "b", "c", "p").collect()}
     assert len(got) == len({tuple(r) for r in x}) and all(got[tuple(r)] == pytest.approx(v / f) for r, v, f in zip(x.tolist(), want, w, strict=True))
+
+
+def test_lags_are_written_before_models_read_them(spark):
+    """Before, a fit and its scores read the lines and made the lags once for each of their jobs."""
+    rows, _ = model_queries._lagged(spark, SF)
+    assert all("/lagged-" in f for f in rows.inputFiles())

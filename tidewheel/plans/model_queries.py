@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import models, panel, perceptron, splits, trees, tuning
 from tidewheel.plans import pipelines
-from tidewheel.operators.staging import shared_folder
+from tidewheel.operators.staging import shared_folder, written
 from tidewheel.plans.registry import SERIES, query, series, table
 
 _YEARS = {"NATION_3": (1996, 1997, 1998), "NATION_6": (1997, None, 1998), "NATION_12": (1995, 1996, 1999), "NATION_2": (1998, 1999, 2000)}
@@ -111,7 +111,8 @@ def ols_score_all(spark, sf_dir):
 
 
 def _lagged(spark, sf_dir):
-    lagged = panel.lag_features(series(spark, sf_dir), "plant_id", "month", "value").dropna()
+    """The lags, written once: each fit reads them several times, and the lines behind them are read once."""
+    lagged = written(panel.lag_features(series(spark, sf_dir), "plant_id", "month", "value").dropna(), "lagged")
     return lagged.withColumn("season", F.month("month")), [f"physical_hydropower_{k}n" for k in range(1, 7)] + ["season"]
 
 
